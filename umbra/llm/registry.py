@@ -3,10 +3,16 @@
 from .fingerprints import op1_fingerprints
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
+from .simhash import op7_simhash
+from .url_filters import OP3_SQL, op3_url_filters
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_url_filters": op3_url_filters,
+    "op6_warc": op6_warc,
+    "op7_simhash": op7_simhash,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op10_mixing": OP10_SQL}
+SQL = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op10_mixing": OP10_SQL}
