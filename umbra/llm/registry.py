@@ -1,6 +1,8 @@
 """Queries of this subpackage by name, and their SQL."""
 
+from .embeddings import op8_embeddings
 from .fingerprints import op1_fingerprints
+from .language_model import op5_language_model
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
 from .simhash import op7_simhash
@@ -11,8 +13,10 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
+    "op5_language_model": op5_language_model,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
+    "op8_embeddings": op8_embeddings,
     "op10_mixing": op10_mixing,
 }
 SQL = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op10_mixing": OP10_SQL}
