@@ -6,6 +6,7 @@ from .language_model import op5_language_model
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
 from .simhash import op7_simhash
+from .toxicity import op4_toxicity
 from .url_filters import OP3_SQL, op3_url_filters
 from .warc import OP6_SQL, op6_warc
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
     "op5_language_model": op5_language_model,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
