@@ -161,7 +161,7 @@ def packer(path: str | None, capacity: int, end: int, piece: int, windows: int,
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, piece: int = PIECE, windows: int = WINDOWS, with_ids: bool = True) -> DataFrame:
     """One row for each piece, with its token ids if with_ids; path: the tokenizer file (None: the public byte-level one)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(packer(path, capacity, end, piece, windows, with_ids), SCHEMA + ", ids array<long>" * with_ids)
+    return rows.mapInPandas(packer(path, capacity, end, piece, windows, with_ids), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

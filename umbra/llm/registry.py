@@ -5,6 +5,7 @@ from .fingerprints import op1_fingerprints
 from .language_model import op5_language_model
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op2_packing
+from .passages import op9_passages
 from .simhash import op7_simhash
 from .toxicity import op4_toxicity
 from .url_filters import OP3_SQL, op3_url_filters
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_embeddings": op8_embeddings,
+    "op9_passages": op9_passages,
     "op10_mixing": op10_mixing,
 }
 SQL = {"op3_url_filters": OP3_SQL, "op6_warc": OP6_SQL, "op10_mixing": OP10_SQL}

@@ -43,13 +43,14 @@ def bloom(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
     return h.groupBy(_block(F.col("h"), blocks).alias("block")).agg(*[F.bit_or(_mask(F.col("h"), w)).alias(f"w{w}") for w in range(WORDS)]), blocks
 
 
-def passing(candidates: DataFrame, of: DataFrame, blocks: int) -> DataFrame:
-    """The candidates (column key) that the filter lets through."""
-    h = candidates.withColumn("h", F.xxhash64("key"))
-    inside = h.join(F.broadcast(of), _block(F.col("h"), blocks) == F.col("block"))
+def marked(candidates: DataFrame, of: DataFrame, blocks: int) -> DataFrame:
+    """The candidates (column key; null is in no filter) with `may`: whether the filter lets them through."""
+    h = F.xxhash64("key")
+    hit = F.col("key").isNotNull() & F.col("w0").isNotNull()
     for w in range(WORDS):
-        inside = inside.where(F.col(f"w{w}").bitwiseAND(_mask(F.col("h"), w)) != 0)
-    return inside.select(*candidates.columns)
+        hit = hit & (F.col(f"w{w}").bitwiseAND(_mask(h, w)) != 0)
+    joined = candidates.join(F.broadcast(of), _block(h, blocks) == F.col("block"), "left")
+    return joined.select(*candidates.columns, F.coalesce(hit, F.lit(False)).alias("may"))
 
 
 def decide(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> DataFrame:
@@ -64,7 +65,7 @@ def decide(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
         lengths = F.array(*[F.lit(x) for x in sorted(known.lengths)])
         candidates = urls.select("url", "path", "host", ends.alias("ends")).select("url", "path", F.expr("substring_index(host, '.', -ends)").alias("end"), F.explode(F.filter(lengths, lambda x: x <= F.length("path"))).alias("cut"))
         candidates = candidates.select("url", F.concat("end", F.expr("left(path, cut)")).alias("key"))
-        found = passing(candidates, *bloom(rules.select("key"), known.n)).join(rules.select("key", "host_length", "verdict"), "key")
+        found = marked(candidates, *bloom(rules.select("key"), known.n)).where("may").drop("may").join(rules.select("key", "host_length", "verdict"), "key")
         best = found.groupBy("url").agg(F.max(F.struct(F.length("key").alias("length"), "host_length", "key", "verdict")).alias("best"))
     else:
         best = urls.select("url", F.lit(None).cast("struct<length:int,host_length:int,key:string,verdict:string>").alias("best")).limit(0)
