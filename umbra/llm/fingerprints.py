@@ -28,43 +28,59 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _shifted(xs: Column, by: int, merge) -> Column:
-    """merge(x[i], x[i + by]) for each i for which both are there."""
-    ahead = F.slice(xs, by + 1, F.greatest(F.size(xs) - by, F.lit(0)))
-    return F.zip_with(F.slice(xs, 1, F.size(ahead)), ahead, merge)
+def _windowed(h: Column, by: int) -> Column:
+    """The smaller of each value and the one `by` further on; at the end there is none, and the value stays."""
+    return F.zip_with(h, F.slice(h, by + 1, F.size(h)), lambda a, b: F.least(a, b))
+
+
+def _aligned(text: Column) -> Column:
+    """For each code point of a text that is not null the 32-bit hash of the closed syncmer that begins there, else null."""
+    smers = F.regexp_extract_all(text, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{S}}}))"), F.lit(1))
+
+    def of(h: Column) -> Column:
+        least = _let(_let(_windowed(h, 1), lambda x: _windowed(x, 2)), lambda x: _windowed(x, 4))
+
+        def chosen(m: Column, i: Column) -> Column:
+            first, last = F.get(h, i), F.get(h, i + (K - S))
+            # null where the text ends before the k-mer does
+            return F.when((m == first) | (m == last), first.bitwiseXOR(F.shiftrightunsigned(last, 17)).bitwiseAND(0xFFFFFFFF))
+
+        return F.transform(least, chosen)
+
+    return _let(F.transform(smers, lambda x: F.xxhash64(x)), of)
 
 
 def anchors(text: Column) -> Column:
     """array<struct<pos, hash>> of a text's closed syncmers; pos counts code points from 0."""
-    def of(h: Column) -> Column:
-        least = lambda a, b: F.least(a, b)
-        inner = _let(_let(_let(h, lambda x: _shifted(x, 1, least)), lambda x: _shifted(x, 2, least)), lambda x: _shifted(x, 4, least))
-        edge = _shifted(h, 7, lambda a, b: F.struct(F.least(a, b).alias("least"), a.alias("a"), b.alias("b")))
-        chosen = F.zip_with(edge, inner, lambda e, m: F.when(e["least"] == m, F.xxhash64(e["a"], e["b"]).bitwiseAND(0xFFFFFFFF)))
-        numbered = F.transform(chosen, lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
-        return F.filter(numbered, lambda x: x["hash"].isNotNull())
+    numbered = F.transform(_aligned(F.coalesce(text, F.lit(""))), lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
+    return F.filter(numbered, lambda x: x["hash"].isNotNull())
 
-    return _let(_hashes(text), of)
 
+def _present(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x.isNotNull())
 
-def _hashes(text: Column) -> Column:
-    """The hash of the s-mer at each code point (a low surrogate starts none)."""
-    smers = F.regexp_extract_all(text, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{S}}}))"), F.lit(1))
-    return F.transform(smers, lambda x: F.xxhash64(x))
+
+def _bottom(found: Column, text: Column, size: int) -> Column:
+    """The `size` smallest of the anchors found in a text, which stands for itself if there are none."""
+    whole = F.array(F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
+    least = F.slice(F.sort_array(F.array_distinct(found)), 1, size)
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(_let(least, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
 
 
 def sketch(text: Column, size: int = SIZE) -> Column:
     """The `size` smallest anchor hashes of a text that is not null, ascending; array<bigint>."""
-    def of(h: Column) -> Column:
-        least = lambda a, b: F.least(a, b)
-        inner = _let(_let(_let(h, lambda x: _shifted(x, 1, least)), lambda x: _shifted(x, 2, least)), lambda x: _shifted(x, 4, least))
-        ends = _shifted(h, 7, lambda a, b: F.struct(F.least(a, b).alias("least"), a.alias("a"), b.alias("b")))
-        chosen = F.filter(F.zip_with(ends, inner, lambda e, m: F.when(e["least"] == m, e)), lambda e: e.isNotNull())
-        return F.slice(F.sort_array(F.array_distinct(F.transform(chosen, lambda e: F.xxhash64(e["a"], e["b"]).bitwiseAND(0xFFFFFFFF)))), 1, size)
+    return _bottom(_present(_aligned(text)), text, size)
 
-    whole = F.array(F.xxhash64(text).bitwiseAND(0xFFFFFFFF))
-    found = _let(_hashes(text), of)
-    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(_let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
+
+def sketches(text: Column, keep: Column, edited: Column, size: int = SIZE) -> Column:
+    """struct<own, edited>: the sketches of a text and of one that begins with its first `keep` code points.
+
+    An anchor depends on its k-mer alone: those within the common beginning are taken over, and only the rest is read.
+    """
+    inside = F.greatest(keep - (K - 1), F.lit(0))
+    rest = _aligned(F.substring(edited, inside + 1, F.length(edited)))
+    both = lambda x: F.concat(_present(F.slice(x, F.lit(1), inside)), _present(rest))
+    return _let(_aligned(text), lambda x: F.struct(_bottom(_present(x), text, size).alias("own"), F.when(edited.isNotNull(), _bottom(both(x), edited, size)).alias("edited")))
 
 
 def as_text(of: Column) -> Column:
@@ -126,9 +142,9 @@ ORDER = "PARTITION BY bucket ORDER BY NOT ahead, doc_id, tie"
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents"))
     n = F.length("text")
-    cut = F.floor(n / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.expr("substring(next_text, 1, int(floor(length(text) / 2)))"))
-    rows = rows.select("bucket", "ahead", "doc_id", "tie", n.cast("long").alias("n_chars"), F.when(~F.col("ahead"), F.when(cut == 0, F.col("text")).otherwise(edited)).alias("edited"), sketch(F.col("text")).alias("own"))
-    rows = rows.withColumn("next_own", F.expr(f"lag(own) OVER ({ORDER})")).where(~F.col("ahead"))
-    rows = rows.withColumns({"edited_own": sketch(F.col("edited")), "edited_sha256": F.sha2(F.col("edited"), 256)})
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited_own")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited_own")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    rows = rows.withColumn("keep", n - F.floor(n / 2).cast("int"))
+    edited = F.concat(F.expr("substring(text, 1, keep)"), F.expr("substring(next_text, 1, length(text) - keep)"))
+    rows = rows.withColumn("edited", F.when(~F.col("ahead"), edited)).withColumn("of", sketches(F.col("text"), F.col("keep"), F.col("edited")))
+    rows = rows.select("bucket", "ahead", "doc_id", "tie", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "of")
+    rows = rows.withColumn("next_own", F.expr(f"lag(of.own) OVER ({ORDER})")).where(~F.col("ahead"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("of.own")).alias("fingerprint"), as_text(F.col("of.edited")).alias("edited_fingerprint"), likeness(F.col("of.own"), F.col("of.edited")).alias("near_edited"), likeness(F.col("of.own"), F.col("next_own")).alias("near_next"))
