@@ -1,0 +1 @@
+"""Tables, texts and files as DataFrames."""
