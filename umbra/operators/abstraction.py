@@ -104,22 +104,23 @@ def comments(code: Column, salt: str = "") -> Column:
     return relabelled(code, COMMENT, 1, lambda g: label("COMMENT", g[0], salt))
 
 
-def identifiers(code: Column, skip: list[str], salt: str = "") -> Column:
-    """Every identifier outside placeholders and skip words becomes a label."""
+def identifiers(code: Column, skip: list[str], salt: str = "", keep: str | None = None) -> Column:
+    """Every identifier outside placeholders and skip words becomes a label, but those that begin with `keep`."""
     words = F.array(*map(F.lit, skip))
-    return relabelled(code, _edge(IDENTIFIER), 2, lambda g: F.when(g[0] != "", g[0]).when(F.array_contains(words, g[1]), g[1]).otherwise(label("IDENT", g[1], salt)))
+    stays = lambda x: F.array_contains(words, x) if keep is None else F.array_contains(words, x) | x.startswith(keep)
+    return relabelled(code, _edge(IDENTIFIER), 2, lambda g: F.when(g[0] != "", g[0]).when(stays(g[1]), g[1]).otherwise(label("IDENT", g[1], salt)))
 
 
-def abstracted(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "") -> Column:
+def abstracted(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "", keep: str | None = None) -> Column:
     """Strings, then numbers, comments and identifiers of code without a parser."""
-    return identifiers(comments(numbers(strings(code, salt), salt), salt), [*skip_words(language), *(allow or [])], salt)
+    return identifiers(comments(numbers(strings(code, salt), salt), salt), [*skip_words(language), *(allow or [])], salt, keep)
 
 
 def _found(text: Column, pattern: str, groups: int, which: int) -> Column:
     return let(marked(text, pattern, groups), lambda p: F.filter(F.transform(F.slice(p, 2, F.size(p)), lambda x: matched(x)[0][which]), lambda x: x != ""))
 
 
-def mapping(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "") -> Column:
+def mapping(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "", keep: str | None = None) -> Column:
     """array<struct<kind, original, placeholder>> of abstracted(): what each pass replaced, in the text it saw."""
     def of(kind: str, found: Column) -> Column:
         return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), label(kind, x, salt).alias("placeholder")))
@@ -128,7 +129,7 @@ def mapping(code: Column, language: str = "unknown", allow: list[str] | None = N
     a = strings(code, salt)
     b = numbers(a, salt)
     c = comments(b, salt)
-    names = F.filter(_found(c, _edge(IDENTIFIER), 2, 1), lambda x: ~F.array_contains(skip, x))
+    names = F.filter(_found(c, _edge(IDENTIFIER), 2, 1), lambda x: ~F.array_contains(skip, x) & ~(x.startswith(keep) if keep else F.lit(False)))
     return F.concat(of("STRING", _found(code, STRING_JAVA, 1, 0)), of("NUMBER", _found(a, _edge(NUMBER), 1, 0)), of("COMMENT", _found(b, COMMENT, 1, 0)), of("IDENT", names))
 
 
@@ -183,7 +184,7 @@ class _Abstractor(ast.NodeTransformer):
         self.map: dict[str, str] = {}
 
     def label(self, original: str, kind: str) -> str:
-        if original in self.keep:
+        if original in self.keep or original.startswith("__MASK_"):
             return original
         return self.map.setdefault(original, f"<<{kind}_{hashlib.sha256((self.salt + original).encode()).hexdigest()[:12]}>>")
 

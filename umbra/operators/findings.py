@@ -154,7 +154,7 @@ def _diffs(before: pd.Series, after: pd.Series) -> pd.Series:
 
 def diff(before: Column, after: Column) -> Column:
     """A unified diff; empty for texts that differ at their ends only."""
-    return F.pandas_udf(_diffs, "string", F.PandasUDFType.SCALAR)(before, after)
+    return F.pandas_udf(_diffs, "string")(before, after)
 
 
 def _checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -179,4 +179,4 @@ def _checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def ast_checks(code: Column) -> Column:
     """Syntax errors, calls of eval and exec and bare excepts of Python code."""
     kind = "array<struct<id:string,severity:string,message:string,line:int>>"
-    return F.pandas_udf(_checked, kind, F.PandasUDFType.SCALAR_ITER)(code)
+    return F.pandas_udf(_checked, kind)(code)

@@ -50,7 +50,7 @@ def _facts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def facts(code: Column) -> Column:
-    return F.pandas_udf(_facts, "array<struct<kind:string,fn:string,seq:int,pos:int,lock:string>>", F.PandasUDFType.SCALAR_ITER)(code)
+    return F.pandas_udf(_facts, "array<struct<kind:string,fn:string,seq:int,pos:int,lock:string>>")(code)
 
 
 def order_edges(acquires: DataFrame, *by: str) -> DataFrame:

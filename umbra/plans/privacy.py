@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.patterns import CATEGORIES, PATTERNS, fused, ungrouped
 from umbra.operators import abstraction as A
+from umbra.operators import protection as S
 from umbra.operators import redaction as R
 from umbra.sources.readers import table
 
@@ -281,7 +282,33 @@ def privacy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size(F.array_distinct(F.transform("secrets", lambda s: s["placeholder"]))).alias("secrets"), F.expr("greatest(0, length(content) - length(redacted)) div 4").alias("tokens_saved"))
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JavaScript with secrets in the open, in strings and in comments."""
+    secret = F.concat(F.lit("ghp_"), F.lpad(F.col("id").cast("string"), 36, "Z"))
+    body = F.concat("code", F.lit("let key = `"), secret, F.lit("`; // mail m"), "id", F.lit("@example.com\nsend(10.1.2.3)\n"))
+    return code(spark, sf_dir).select(F.concat(F.lit("src/f"), "id", F.lit(".js")).alias("path"), body.alias("content"))
+
+
+def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file is released without its secrets and names, and comes back as it was."""
+    corpus = _corpus(spark, sf_dir)
+    safe = S.protect(corpus, salt=SALT)
+    back = S.written_back(safe.select("path", "safe"), safe).withColumnRenamed("content", "again")
+    gone = ~F.contains("safe", F.lit("ghp_")) & ~F.contains("safe", F.lit("total")) & F.contains("safe", F.lit("function"))
+    return corpus.join(safe, "path").join(back, "path").select("path", "error", gone.alias("hidden"), (F.col("again") == F.col("content")).alias("same")).fillna("", "error")
+
+
+def protect_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files; every tenth can't be parsed and is blocked."""
+    made = F.concat(F.lit("import os\n\ndef wage"), "c_custkey", F.lit("(hours):\n    token = 'ghp_"), F.lpad(F.col("c_custkey").cast("string"), 36, "q"), F.lit("'\n    return hours * 3"), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
+    corpus = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
+    safe = S.protect(corpus, salt=SALT)
+    return safe.select("path", F.col("error").isNotNull().alias("blocked"), F.coalesce(F.contains("safe", F.lit("wage")) | F.contains("safe", F.lit("ghp_")), F.lit(False)).alias("leaks"), F.coalesce(F.contains("safe", F.lit("def ")), F.lit(False)).alias("kept_structure"))
+
+
 QUERIES = {
+    "protect_roundtrip": protect_roundtrip,
+    "protect_python": protect_python,
     "redact_match_inventory": inventory("documents"),
     "redact_match_inventory_pages": inventory("pages"),
     "redact_category_totals": category_totals("built"),
@@ -319,6 +346,8 @@ g AS (SELECT id, seen, CASE WHEN id % 3 = 0 THEN list_filter(seen, lambda x: x <
 v AS (SELECT *, list_filter(list_distinct(regexp_extract_all(safe, {IDENT}, 2)), lambda x: x <> '') AS visible FROM g)"""
 
 SQL = {
+    "protect_roundtrip": "SELECT 'src/f' || c_custkey || '.js' AS path, '' AS error, true AS hidden, true AS same FROM customer",
+    "protect_python": "SELECT 'f' || c_custkey || '.py' AS path, c_custkey % 10 = 0 AS blocked, false AS leaks, c_custkey % 10 <> 0 AS kept_structure FROM customer",
     "redact_match_inventory": sql("documents", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
     "redact_match_inventory_pages": sql("pages", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
     "redact_category_totals": sql("built", "SELECT category, count(*) AS n FROM secret WHERE hidden GROUP BY category"),
