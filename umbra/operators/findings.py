@@ -95,6 +95,23 @@ def parsed_eslint(reports: DataFrame, text: str, *keys: str) -> DataFrame:
     return rows.select(*keys, (F.col("f") * 100_000 + F.col("m")).cast("long").alias("ordinal"), F.concat(F.lit("eslint:"), F.coalesce(F.nullif("r.ruleId", F.lit("")), F.lit("unknown"))).alias("id"), F.lit("eslint").alias("tool"), F.when(F.col("r.severity") == 2, "error").otherwise("warning").alias("severity"), F.col("r.message").alias("message"), F.col("path").alias("file"), safe_int(F.col("r.line")).alias("line"), safe_int(F.col("r.column")).alias("column"), F.lit(None).cast("string").alias("suggestion"))
 
 
+def parsed_all(reports: DataFrame, *keys: str, tool: str = "tool", text: str = "stdout") -> DataFrame:
+    """The findings of a table of reports (tool, text), each by its tool's format; unknown tools by the generic one."""
+    known = {t: lambda r, t=t: parsed(r, t, text, *keys) for t in LINES if t != "generic"}
+    known |= {"bandit": lambda r: parsed_bandit(r, text, *keys), "eslint": lambda r: parsed_eslint(r, text, *keys)}
+    out = parsed(reports.where(~F.coalesce(F.col(tool).isin(list(known)), F.lit(False))), "generic", text, *keys)
+    for name, read in known.items():
+        out = out.unionByName(read(reports.where(F.col(tool) == name)))
+    return out
+
+
+def file_reports(files: DataFrame, findings: DataFrame, by: str = "path") -> DataFrame:
+    """Each file with its counts and status; a file without findings is ok."""
+    counted = summary(capped(findings, by), by).withColumnRenamed(by, "_by")
+    joined = files.join(counted, F.col(by) == F.col("_by"), "left").drop("_by")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("errors", "warnings", "info")} | {"status": F.coalesce("status", F.lit("ok"))})
+
+
 DANGEROUS = ASCII_EDGE + r"(?:eval|exec|system|popen|ProcessBuilder)" + ASCII_EDGE
 
 

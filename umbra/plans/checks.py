@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.operators import findings as G
-from umbra.sources.readers import discovered, table
+from umbra.sources.readers import discovered, shown, table
 
 #: Report lines built from parts, of each tool; one expression for both engines.
 REPORTS = {
@@ -135,6 +135,35 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", G.run_status(k % 11 == 0, k % 7 == 0, F.when(k % 5 != 0, k % 3), language, F.when(k % 2 == 0, "Error: x").otherwise("")).alias("status"))
 
 
+UNION = {0: "flake8", 1: "mypy", 2: "cargo", 3: "clang-tidy"}
+
+
+def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of several tools in one table."""
+    k = F.col("p_partkey") % 4
+    tool, text = F.lit("other"), F.lit("")
+    for i, t in UNION.items():
+        tool, text = F.when(k == i, t).otherwise(tool), F.when(k == i, F.expr(REPORTS[t])).otherwise(text)
+    return _shown(G.parsed_all(table(spark, sf_dir, "part").select("p_partkey", tool.alias("tool"), text.alias("stdout")), "p_partkey"))
+
+
+def file_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, their orders of high priority as findings."""
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
+    null = F.lit(None)
+    found = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("ordinal"), F.lit("t").alias("tool"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'info' END").alias("severity"), F.col("o_orderpriority").alias("message"), null.cast("string").alias("file"), null.cast("int").alias("line"), null.cast("int").alias("column"))
+    return G.file_reports(files, found).select("path", "errors", "warnings", "info", "status")
+
+
+SCAN = "concat('f', CAST(c_custkey AS STRING), CASE c_custkey % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.csv' WHEN 2 THEN '.py' ELSE '' END)"
+
+
+def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a file is shown: bytes, a header, or its text."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(SCAN).alias("path"), F.concat("c_name", F.lit("\nrow")).cast("binary").alias("content"))
+    return rows.select("c_custkey", shown(F.col("path"), F.col("content")).alias("s")).select("c_custkey", "s.kind", "s.body")
+
+
 QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in REPORTS} | {
     "parse_bandit": parse_bandit,
     "parse_eslint": parse_eslint,
@@ -151,6 +180,9 @@ QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in
     "tool_truncated": tool_truncated,
     "byte_truncated": byte_truncated,
     "run_status": run_status,
+    "findings_union": findings_union,
+    "file_reports": file_reports,
+    "typed_scan": typed_scan,
 }
 
 CAPPED = """WITH f AS (SELECT user_id AS path, event_id AS ordinal, event_type AS tool, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END AS severity, 'm' || (event_id % 3) AS message, CAST(event_id % 5 AS INT) AS line FROM events),
@@ -175,5 +207,8 @@ SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'eslint:' || coalesce(r ->
     "autofix_rules": f"SELECT p_partkey, replace(replace(replace({AUTOFIX}, '_init_', '__init__'), 'except:', 'except Exception as e:'), 'requests.post(u)', 'requests.post(u, timeout=10)').replace(CAST(p_partkey AS VARCHAR) || '\")', CAST(p_partkey AS VARCHAR) || '\", timeout=10)') AS fixed FROM part",
     "tool_truncated": "SELECT doc_id, least(length(text), 503) AS n, CASE WHEN length(text) > 500 THEN '...' ELSE right(text, 3) END AS \"end\" FROM documents",
     "byte_truncated": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || chr(10) || '...[truncated]' ELSE text END AS cut FROM documents WHERE strlen(text) = length(text)",
+    "findings_union": " UNION ALL ".join(f"SELECT * FROM ({_report_sql(t)}) WHERE p_partkey % 4 = {i}" for i, t in UNION.items()),
+    "file_reports": "WITH f AS (SELECT o_custkey, o_orderpriority AS m, arg_min(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) FILTER (s = 'F') AS errors, count(*) FILTER (s = 'O') AS warnings, count(*) FILTER (s NOT IN ('F', 'O')) AS info FROM f GROUP BY 1) SELECT c_custkey AS path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status FROM customer LEFT JOIN n ON c_custkey = o_custkey",
+    "typed_scan": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'binary' WHEN 1 THEN 'schema' ELSE 'text' END AS kind, CASE c_custkey % 4 WHEN 0 THEN base64(encode(c_name || chr(10) || 'row')) WHEN 1 THEN c_name ELSE c_name || chr(10) || 'row' END AS body FROM customer",
     "run_status": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'sandbox_error' WHEN o_orderkey % 3 = 0 THEN 'success' WHEN o_orderkey % 4 IN (0, 2) AND o_orderkey % 2 = 0 THEN 'compile_error' ELSE 'test_failure' END AS status FROM orders",
 }

@@ -105,7 +105,14 @@ def parse_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "path", "code")
 
 
-QUERIES = {f.__name__: f for f in (fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, parse_multifile)}
+def retry_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which answers are asked for again, and how long the prompt is."""
+    answer = F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat('sorry, ', c_name) ELSE concat('File: a.py', chr(10), '```', chr(10), 'x', chr(10), '```') END")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", answer.alias("answer")).select("c_custkey", "answer", T.parsed_files(F.col("answer")).alias("files"))
+    return rows.select("c_custkey", F.coalesce(F.length(T.retry_prompt(F.col("files"), F.lit("do it"), F.col("answer"))), F.lit(0)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (retry_prompts, fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, parse_multifile)}
 
 FILES = f"f AS (SELECT o_custkey AS project, {PATH} AS path, {CONTENT} AS content, o_orderkey FROM orders), e AS (SELECT *, CASE WHEN contains(path, '.') THEN CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.FENCE.items())} ELSE lower(regexp_extract(path, '\\.([^.]*)$', 1)) END END AS lang FROM f)"
 BLOCK = "'---' || chr(10) || '**File: ' || path || '**' || chr(10) || '```' || coalesce(nullif(lang, ''), 'plaintext') || chr(10) || replace({content}, '```', '``\\`') || chr(10) || '```' || chr(10) || chr(10)"
@@ -122,6 +129,7 @@ def _template_sql(name: str, fill) -> str:
 
 
 SQL = {
+    "retry_prompts": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN length(" + _template_sql("strict_json_retry", lambda p: {"error": "'no files found'", "instruction": "'do it'", "reply": "'sorry, ' || c_name"}[p]) + ") ELSE 0 END AS n FROM customer",
     "fence_language": f"WITH {FILES} SELECT o_orderkey, lang AS language FROM e",
     "file_tree": f"WITH {FILES} SELECT project, string_agg('- ' || path || chr(10), '' ORDER BY path) AS tree FROM f GROUP BY project",
     "file_blocks": f"WITH {FILES} SELECT project, string_agg({BLOCK.format(content='CASE WHEN length(content) > 12 THEN left(content, 12) || chr(10) || $$... [truncated]$$ ELSE content END')}, '' ORDER BY o_orderkey) AS blocks FROM e GROUP BY project",
