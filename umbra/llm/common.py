@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space separates words; every other character belongs to one.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -16,7 +20,20 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _own: dict[str, str] = {}
 
 
+#: Whole texts go to Python workers so many at a time: memory follows the longest texts, not the default of 10,000 rows.
+BATCH_ROWS = 512
+
+
+def ready(spark: SparkSession) -> None:
+    """Small batches, and a place where workers find this package if it isn't installed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    home, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), home) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,11 +52,24 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/umbra-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there."""
-    path = new_folder(df.sparkSession, tag)
+def stored(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read again: its lineage ends there.
+
+    few: it is small beside the input and cheap to make, and goes to an eighth as many files as a shuffle has partitions.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    if few:
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of a bounded list that the driver holds; by Arrow, so that no Python worker takes part."""
+    of = to_arrow_schema(T._parse_datatype_string(schema))
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(of)
+    return spark.createDataFrame(pa.table([pa.array(c, type=f.type) for c, f in zip(columns, of, strict=True)], schema=of))
 
 
 def mounted(uri: str) -> str:

@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is written to the shared folder, and the result of a step is all that the next one needs. A hub's rows
     meet only in partial minima and in sort-merge joins that can be split.
     """
-    links = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    links = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", few=True)
     before = None
     while True:
         state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -54,4 +54,4 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = stored(small.distinct(), "links")
+        links = stored(small.distinct(), "links", few=True)

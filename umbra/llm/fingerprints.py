@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 #: With K = S + 7 a k-mer has eight s-mers: three doubling steps give its minimum, and its first and last s-mer hold all its characters.
 S, K, SIZE = 9, 16, 128
@@ -129,8 +129,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     if not last:
         return rows.withColumns({"next_text": F.col("text"), "ahead": F.lit(False)})
     edges = [(last[(i + 1) % len(last)][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(last)]
-    small = spark.createDataFrame(edges, "to int, edge_id long, edge_tie long")
-    ahead = rows.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("edge_id")) & (F.col("tie") == F.col("edge_tie")))
+    ends = small(spark, edges, "to int, edge_id long, edge_tie long")
+    ahead = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("edge_id")) & (F.col("tie") == F.col("edge_tie")))
     ahead = ahead.select("doc_id", "text", "tie", F.col("to").alias("bucket"), F.lit(True).alias("ahead")).dropDuplicates(["bucket", "doc_id", "tie"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.withColumn("ahead", F.lit(False)).unionByName(ahead).repartition(parts, "bucket").withColumn("next_text", F.expr(f"lag(text) OVER ({ORDER})"))

@@ -231,7 +231,7 @@ def train(docs: DataFrame) -> Model:
     pair_shards = max(LEAST_SHARDS, n // TOKENS_PER_SHARD)
     blobs = _texts(docs).mapInPandas(_pair_blobs(np.array(hot, dtype=np.uint64), pair_shards), "shard long, data binary")
     stats = blobs.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(_merge(folder), "kind int, key long, n1 long, n2 long, n3 long, total long")
-    stats = stored(stats.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total")]), "stats")
+    stats = stored(stats.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total")]), "stats", few=True)
     of = next(iter(stats.where("kind = 0").select("n1", "n2", "n3", "total").collect()), (0, 0, 0, 0))
     d = discounts(*of)
     k = F.col("total")

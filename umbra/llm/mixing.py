@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, small, stored, table
 
 HASH_BITS, LEVEL_BITS = 60, 10
 #: The table of sources is kept on the driver; more than these is an error, not a cut.
@@ -62,7 +62,7 @@ def plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     shift = HASH_BITS
     while len(below) < len(sizes):
         shift -= LEVEL_BITS
-        open_ = spark.createDataFrame([(s, p) for s, (_, p) in rest.items() if s not in below], "s string, prefix long")
+        open_ = small(spark, [(s, p) for s, (_, p) in rest.items() if s not in below], "s string, prefix long")
         at = F.shiftright("hash", shift)
         part = rows.where("size > 0").join(F.broadcast(open_), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix")))
         sums = part.groupBy("s", at.alias("bucket")).agg(F.sum("size").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")).collect()
@@ -78,13 +78,13 @@ def plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
                 left -= r.n
             else:
                 below[s] = 1 << HASH_BITS if sums and any(r.s == s for r in sums) else 0
-    return spark.createDataFrame([(s, n, float(t), q, below[s]) for (s, n), t, q in zip(sizes, wanted, whole, strict=True)], "source string, source_size long, target double, whole long, below long")
+    return small(spark, [(s, n, float(t), q, below[s]) for (s, n), t, q in zip(sizes, wanted, whole, strict=True)], "source string, source_size long, target double, whole long, below long")
 
 
 def taken(rows: DataFrame, of: DataFrame) -> DataFrame:
     """rows (source, hash and any others) with source_size, target and copies; the plan has one row for each source, MOST_SOURCES at most."""
-    small = of.withColumnRenamed("source", "planned_source")
-    joined = rows.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("planned_source")))
+    planned = of.withColumnRenamed("source", "planned_source")
+    joined = rows.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("planned_source")))
     return joined.withColumn("copies", F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).drop("planned_source", "whole", "below")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CAPACITY, END, PIECE, WINDOWS = 2048, 1, 256, 128
+CAPACITY, END, PIECE, WINDOWS, FLUSH = 2048, 1, 256, 128, 1 << 19
 
 
 def partition(sizes: list[int], ways: int) -> list[list[int]]:
@@ -87,8 +87,16 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(path)
-    return lambda text: whole.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+    whole: list[Tokenizer] = []  # read when first needed
+
+    def encode(text: str) -> list[int]:
+        if not any(s in text for s in special):
+            return fast.encode_ordinary(text)
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return whole[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,15 +113,16 @@ def packer(path: str | None, capacity: int, end: int, piece: int, windows: int,
         number = TaskContext.get().partitionId() << 36
         out: list[tuple] = []
         open_: list[tuple] = []  # doc_id, document's number, ids, start, tokens
-        held = 0
+        held = waiting = 0
 
         def put(pieces: list[tuple]) -> None:
-            nonlocal number
+            nonlocal number, waiting
             at = 0
             for doc_id, _, ids, start, total in pieces:
                 row = (doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, number, at)
-                out.append((*row, ids.tolist()) if with_ids else row)
+                out.append((*row, ids.astype(np.int32)) if with_ids else row)
                 at += len(ids)
+                waiting += len(ids) * with_ids
             number += 1
 
         def close() -> None:
@@ -131,8 +140,10 @@ def packer(path: str | None, capacity: int, end: int, piece: int, windows: int,
 
         def frame() -> pd.DataFrame:
             names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+            nonlocal waiting
             done = pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
             out.clear()
+            waiting = 0
             return done
 
         k = 0
@@ -149,7 +160,7 @@ def packer(path: str | None, capacity: int, end: int, piece: int, windows: int,
                 held += len(ids) - full
                 if held >= windows * capacity:
                     close()
-                if len(out) >= 20_000:
+                if len(out) >= 20_000 or waiting >= FLUSH:
                     yield frame()
         close()
         if out:

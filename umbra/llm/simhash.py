@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, words
+from .common import small, stored, table, words
 from .components import Union, components
 
 RADIUS, SHARD = 2, 256
@@ -134,7 +134,7 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     if radius > 2:
         raise ValueError("two of four bands are sure to be equal only within a radius of 2")
     spark = values.sparkSession
-    masks = spark.createDataFrame(_masks(), "level int, parent int, path int, mask long")
+    masks = small(spark, _masks(), "level int, parent int, path int, mask long")
 
     def deeper(rows: DataFrame, level: int) -> DataFrame:
         of = F.broadcast(masks.where(F.col("level") == level).select("parent", F.col("path").alias("child"), "mask"))
@@ -142,7 +142,7 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
     rows, groups = deeper(values.select(F.lit(0).alias("path"), "fp"), 1), []
     for level in (2, 3):
-        hot = stored(rows.groupBy("path", "part").count().where(F.col("count") > shard).select("path", "part", F.lit(True).alias("hot")), "hot")
+        hot = stored(rows.groupBy("path", "part").count().where(F.col("count") > shard).select("path", "part", F.lit(True).alias("hot")), "hot", few=True)
         if hot.isEmpty():
             break
         marked = rows.join(hot, ["path", "part"], "left")
@@ -158,10 +158,11 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, component_id (the smallest doc_id that its links reach) of every fingerprint of rows (doc_id, fp)."""
-    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps", few=True)
     of = components(links(values.select("fp"), radius))
     rooted = values.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # as a table, so that the join can split a very large component
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", few=True)
     return rooted.join(least, "root").select("fp", "component_id")
 
 

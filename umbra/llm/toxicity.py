@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored, table
 
-POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 400_000
+POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 50_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 64, 5
 STRETCH = 32
 
@@ -65,27 +65,30 @@ def units(word: str) -> list[str]:
 
 
 class Memo(dict):
-    """token -> (number); each distinct token is looked at once."""
+    """token -> row of `of`; each distinct token is looked at once."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         super().__init__()
-        self.lexicon, self.rows = lexicon, []
+        self.lexicon, self.of = lexicon, np.zeros((1024, 10))
 
     def __missing__(self, token: str) -> int:
         word = plain(token)
         weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0)
-        letters = sum(c.isalpha() for c in token)
+        letters = sum(map(str.isalpha, token))
         core = EDGE.sub("", token)
         odd = bool(letters and core and not core.isalpha() and not core.replace("'", "").replace("-", "").replace("’", "").isalpha())
-        self.rows.append((weight, word in ADDRESS, letters > 1 and token.isupper(), sum(c.isupper() for c in token), sum(c in "!?" for c in token), sum(c in "$#@*%&" for c in token), odd, sum(c.isdigit() for c in token), bool(RUN.search(word)), len(token)))
-        n = self[token] = len(self.rows) - 1
+        n = len(self)
+        if n == len(self.of):
+            self.of = np.concatenate([self.of, np.zeros_like(self.of)])
+        self.of[n] = (weight, word in ADDRESS, letters > 1 and token.isupper(), sum(map(str.isupper, token)), token.count("!") + token.count("?"), sum(map(token.count, "$#@*%&")), odd, sum(map(str.isdigit, token)), bool(RUN.search(word)), len(token))
+        self[token] = n
         return n
 
 
 def features(texts: list[str | None], memo: Memo) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
     numbers = [np.fromiter(map(memo.__getitem__, (t or "").split()), dtype=np.int64) for t in texts]
-    of = np.array(memo.rows, dtype=np.float64).reshape(len(memo.rows), 10)
+    of = memo.of
     for i, k in enumerate(numbers):
         n = len(k)
         if not n:
@@ -107,7 +110,6 @@ def features(texts: list[str | None], memo: Memo) -> np.ndarray:
         out[i] = (strong.mean(), (weight > 0).mean() - strong.mean(), weight.mean(), stretch, strong_kinds, near, len(address) / n, x[:, 2].mean(), x[:, 3].sum() / chars, x[:, 4].sum() / chars, x[:, 5].sum() / chars, x[:, 6].mean(), x[:, 7].sum() / chars, x[:, 8].mean(), np.log1p(n))
     if len(memo) > MEMO:
         memo.clear()
-        memo.rows.clear()
     return out
 
 
@@ -259,7 +261,8 @@ def judged(docs: DataFrame, model: Classifier | None, threshold: float = 0.5) ->
             x = features(texts.tolist(), memo)
             yield pd.Series(np.clip(np.interp(margins(x, model.edges, model.trees, model.prior), *model.knots), 0, 1) if len(x) else np.zeros(0))
 
-    score = F.pandas_udf(run, "double")
+    # not to be taken as deterministic: a filter by the score would be pushed below and compute it a second time
+    score = F.pandas_udf(run, "double").asNondeterministic()
     return rows.withColumn("score", score(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

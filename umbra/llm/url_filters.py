@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, small, table
 
 WORDS, BITS_PER_KEY, BLOCK_BITS, MOST_BLOCKS = 8, 12, 512, 65536
 
@@ -79,7 +79,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = small(spark, RULES, "host string, path string, verdict string")
     return decide(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
