@@ -5,8 +5,9 @@ texts with one min-hash of their shingles; two such texts share one of HASHES wi
 BK-tree is searched within RADIUS bits, each text's NEAREST finds are candidates, and candidates become links if the
 shingles of both whole texts are as alike as asked. Copies (equal words) are one text throughout.
 
-A shard of over SHARD texts is divided by each second min-hash; one that stays large (a group of near copies) is dealt
-out by a hash, and about REPRESENTATIVES of its texts go to every part, whose members link to them as to each other.
+A shard of over SHARD texts is divided by the next min-hash (of eight in a ring, two neighbours agree at that likeness
+but for one time in two hundred); one that stays large (a group of near copies) is dealt out by a hash, and about
+REPRESENTATIVES of its texts go to every part: each member links to the nearest of its part and of them.
 
 Defined cases: null and empty texts are copies of each other; fewer words than a shingle needs are one shingle; repeated
 rows are one; a null id counts as the smallest; an empty table stays empty; other columns don't matter.
@@ -27,7 +28,7 @@ from .components import Union, components
 from .passages import Hashes, _mix, shingles, split, with_texts
 from .simhash import BKTree
 
-SHINGLE, SIMILARITY, HASHES, RADIUS, NEAREST, SHARD, REPRESENTATIVES = 5, 0.8, 8, 16, 4, 512, 256
+SHINGLE, SIMILARITY, HASHES, RADIUS, NEAREST, SHARD, REPRESENTATIVES = 5, 0.8, 8, 16, 3, 512, 256
 SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(HASHES)], dtype=np.uint64)
 
 
@@ -65,7 +66,7 @@ def _described(k: int):
 
 
 def _nearest(radius: int, nearest: int):
-    """Candidates of each shard: a text's nearest fingerprints, and of a divided one also its nearest representatives."""
+    """Candidates of each shard: a text's nearest fingerprints, or of one dealt out the nearest of its part and representative."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, members, shared = None, [], []
@@ -92,9 +93,9 @@ def _nearest(radius: int, nearest: int):
             tree, by = indexed(members)
             reps, rep_by = indexed(shared)
             for fp, node in by.items():
-                finds(tree, by, fp, node, nearest)
+                finds(tree, by, fp, node, 1 if shared else nearest)
                 if shared:
-                    finds(reps, rep_by, fp, node, nearest)
+                    finds(reps, rep_by, fp, node, 1)
 
         def frame() -> pd.DataFrame:
             done = pd.DataFrame(sorted(out), columns=["doc", "of"])
@@ -143,11 +144,11 @@ def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
         return known.where(F.col("n") <= shard), known.where(F.col("n") > shard)
 
     few, many = counted(first)
-    many = stored(many, "many")
+    many = stored(many, "many", few=True)
     part = lambda rows, number, rep: rows.select("key", number.cast("long").alias("part"), rep.alias("rep"), "fp", "node")
     every = part(few, F.lit(0), F.lit(False))
     if not many.isEmpty():
-        second = many.select("key", "j", "node", "fp", F.posexplode("least").alias("i", "h")).where("i != j").select(F.xxhash64("key", "i", "h").alias("key"), "node", "fp")
+        second = many.select("key", "j", "node", "fp", F.posexplode("least").alias("i", "h")).where(F.col("i") == (F.col("j") + 1) % HASHES).select(F.xxhash64("key", "i", "h").alias("key"), "node", "fp")
         few, many = counted(second)
         dealt = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / shard))
         chosen = many.where(F.pmod(F.xxhash64("key", "node", F.lit(3)), F.ceil(F.col("n") / REPRESENTATIVES)) == 0)
@@ -162,11 +163,11 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     described = stored(rows.mapInPandas(_described(k), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>"), "copies")
-    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "texts")
-    pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs")
+    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "texts", few=True)
+    pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs", few=True)
     edges = with_texts(pairs, docs.select(node.alias("doc_id"), "text")).mapInPandas(_alike(k, similarity), "u long, v long")
     rooted = texts.join(components(edges).withColumnsRenamed({"node": "n"}), F.col("node") == F.col("n"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
     joined = described.select("node", "doc_id", "d1", "d2").distinct().join(of, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     return joined.select("node", "doc_id", F.col("least.doc_id").alias("group_id"), (F.col("node") == F.col("least.node")).alias("kept"))
@@ -175,10 +176,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
 def without_near_copies(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group (the smallest id), once."""
     names = docs.columns
-    of = stored(groups(docs, k, similarity), "groups")
+    of = stored(groups(docs, k, similarity), "groups", few=True)
     keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.xxhash64("doc_id", "text").alias("node"))
     repeated = keyed.groupBy("node").count().where("count > 1").select(F.col("node").alias("key"))
-    gone = stored(of.where("NOT kept").select(F.col("node").alias("key"), F.lit(True).alias("gone")).unionByName(repeated.withColumn("gone", F.lit(False))).groupBy("key").agg(F.max("gone").alias("gone")), "gone")
+    gone = stored(of.where("NOT kept").select(F.col("node").alias("key"), F.lit(True).alias("gone")).unionByName(repeated.withColumn("gone", F.lit(False))).groupBy("key").agg(F.max("gone").alias("gone")), "gone", few=True)
     inside, outside = split(keyed, gone.select("key"), "node")
     left = inside.join(gone.where("gone").select("key"), F.col("node") == F.col("key"), "left_anti").dropDuplicates(["node"])
     return left.unionByName(outside).select("row.*")
