@@ -91,11 +91,15 @@ def key_provider(key: Column) -> Column:
     return F.when(key.startswith("sk-proj-"), "openai").when(key.startswith("sk-"), "anthropic").when((F.length(key) > 35) & (F.length(key) < 45) & ~key.contains("-"), "gemini").otherwise("unknown")
 
 
+#: The providers that can be named.
+PROVIDERS = ["ollama", "openai", "anthropic", "gemini", "deepseek", "mistral", "qwen", "groq", "openrouter"]
+
+
 def route(name: Column, keys: Column) -> Column:
-    """The provider for a name; auto takes the first that has a key (array of providers), ollama needs none."""
-    low = F.lower(F.coalesce(name, F.lit("auto")))
+    """The provider for a name, null if there is none such; auto (or null) takes the first that has a key (array of providers), ollama needs none."""
+    asked = F.coalesce(name, F.lit("auto"))
     auto = F.when(F.array_contains(keys, "gemini"), "gemini").when(F.array_contains(keys, "openai"), "openai").when(F.array_contains(keys, "anthropic"), "anthropic").otherwise("ollama")
-    return F.when(low == "auto", auto).when(low.isin("gpt", "openai"), "openai").when(low.isin("claude", "anthropic"), "anthropic").otherwise(low)
+    return F.when(asked == "auto", auto).when(asked.isin(PROVIDERS), asked)
 
 
 def sealed(mapping: Column, key: Column) -> Column:

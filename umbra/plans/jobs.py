@@ -106,9 +106,9 @@ def key_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provider_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    name = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'GPT' WHEN 2 THEN 'claude' END")
+    name = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'groq' WHEN 2 THEN 'unheard-of' END")
     keys = F.expr("CASE c_custkey % 3 WHEN 0 THEN array('openai', 'anthropic') WHEN 1 THEN array('anthropic', 'gemini') ELSE array('none') END")
-    return c.select("c_custkey", J.route(name, keys).alias("provider"))
+    return c.select("c_custkey", F.coalesce(J.route(name, keys), F.lit("-")).alias("provider"))
 
 
 def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ SQL = {
     "cache_key_dedupe": "SELECT DISTINCT 'cache:' || sha256('raw:' || lang || ':' || CASE WHEN doc_id % 2 = 0 THEN 'm' ELSE 'default' END || ':' || text) AS key FROM documents",
     "allow_list_parse": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE c_name || '|b' END AS names FROM customer",
     "key_provider": f"SELECT c_custkey, CASE WHEN starts_with(k, 'sk-proj-') THEN 'openai' WHEN starts_with(k, 'sk-') THEN 'anthropic' WHEN length(k) > 35 AND length(k) < 45 AND NOT contains(k, '-') THEN 'gemini' ELSE 'unknown' END AS provider FROM (SELECT c_custkey, {KEY} AS k FROM customer)",
-    "provider_routing": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'openai' WHEN c_custkey % 4 = 2 THEN 'anthropic' WHEN c_custkey % 3 = 0 THEN 'openai' WHEN c_custkey % 3 = 1 THEN 'gemini' ELSE 'ollama' END AS provider FROM customer",
+    "provider_routing": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'groq' WHEN c_custkey % 4 = 2 THEN '-' WHEN c_custkey % 3 = 0 THEN 'openai' WHEN c_custkey % 3 = 1 THEN 'gemini' ELSE 'ollama' END AS provider FROM customer",
     "vault_roundtrip": "SELECT c_custkey, true AS same, true AS shut FROM customer",
     "audit_parse": "SELECT upper(event_type) AS action, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1",
     "audit_tail": f"SELECT event_id, {LOG} AS value FROM events ORDER BY event_id DESC LIMIT 50",

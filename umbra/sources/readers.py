@@ -65,8 +65,8 @@ def unzipped(archives: DataFrame, content: str = "content") -> DataFrame:
 
 
 #: What is passed on as bytes, and of what only the header is shown.
-BINARY = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "ico", "pdf", "mp3", "mp4", "wav", "zip"]
-DATASET = ["csv", "tsv", "xlsx", "xls", "parquet", "sql", "db", "sqlite", "jsonl"]
+BINARY = ["png", "jpg", "jpeg", "gif", "webp", "pdf"]
+DATASET = ["csv", "tsv", "sql", "db", "sqlite", "parquet"]
 
 
 def shown(path: Column, content: Column) -> Column:
