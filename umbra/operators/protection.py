@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.patterns import let
 from umbra.operators import abstraction as A
 from umbra.operators import redaction as R
 
@@ -40,10 +41,13 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
         out = out.unionByName(b)
     if mode != "lenient":
         out = _verified(out, keep)
-    labels = F.transform("secrets", lambda s: s["placeholder"])
-    opened = F.transform("mapping", lambda m: F.struct(m["kind"].alias("kind"), A.unmasked(m["original"], labels).alias("original"), m["placeholder"].alias("placeholder")))
-    out = out.withColumns({"safe": A.unmasked(F.col("safe"), labels), "mapping": opened})
-    survived = F.exists("secrets", lambda s: (F.length(s["value"]) >= 8) & F.contains(F.col("safe"), s["value"]))
+    # each secret's mask once a row; few of the originals hold one
+    masks = F.array_distinct(F.transform("secrets", lambda s: F.struct(A.masked(s["placeholder"]).alias("mask"), s["placeholder"].alias("label"))))
+    unmasked = lambda x, of: F.when(F.contains(x, F.lit(MASK)), F.aggregate(of, x, lambda t, m: F.replace(t, m["mask"], m["label"]))).otherwise(x)
+    # let() holds what a lambda uses: a column would be put into it and computed for each element
+    opened = let(masks, lambda of: F.transform("mapping", lambda m: F.struct(m["kind"].alias("kind"), unmasked(m["original"], of).alias("original"), m["placeholder"].alias("placeholder"))))
+    out = out.withColumns({"safe": let(F.col("safe"), lambda t: unmasked(t, masks)), "mapping": opened})
+    survived = let(F.col("safe"), lambda t: F.exists("secrets", lambda s: (F.length(s["value"]) >= 8) & F.contains(t, s["value"])))
     out = out.withColumn("error", F.coalesce("error", F.when(survived, "a secret survived")))
     return out.select("path", "language", F.when(F.col("error").isNull(), F.col("safe")).alias("safe"), "secrets", "mapping", "error")
 

@@ -205,7 +205,7 @@ SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'eslint:' || coalesce(r ->
     "heuristic_exec": r"SELECT p_partkey, 'warning' AS severity FROM (SELECT p_partkey, 'run ' || CASE p_partkey % 3 WHEN 0 THEN 'exec(' WHEN 1 THEN 'executor(' ELSE 'popen ' END || p_name AS code FROM part) WHERE regexp_matches(code, '\b(eval|exec|system|popen|ProcessBuilder)\b')",
     "discover_files_glob": "WITH p AS (SELECT o_orderkey, concat('/repo/', CASE o_orderkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/unit/' ELSE '' END, 'f', CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.txt' WHEN 3 THEN '.JS' ELSE '' END) AS path FROM orders), r AS (SELECT *, substr(path, 7) AS rel FROM p) SELECT o_orderkey, path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'javascript' END AS language FROM r WHERE (rel LIKE 'src/%' OR rel LIKE '%.py' OR rel LIKE 'tests/%') AND NOT rel LIKE 'tests/%.go' AND (path LIKE '%.py' OR path LIKE '%.go' OR lower(path) LIKE '%.js')",
     "autofix_rules": f"SELECT p_partkey, replace(replace(replace({AUTOFIX}, '_init_', '__init__'), 'except:', 'except Exception as e:'), 'requests.post(u)', 'requests.post(u, timeout=10)').replace(CAST(p_partkey AS VARCHAR) || '\")', CAST(p_partkey AS VARCHAR) || '\", timeout=10)') AS fixed FROM part",
-    "tool_truncated": "SELECT doc_id, least(length(text), 503) AS n, CASE WHEN length(text) > 500 THEN '...' ELSE right(text, 3) END AS \"end\" FROM documents",
+    "tool_truncated": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END AS n, CASE WHEN length(text) > 500 THEN '...' ELSE right(text, 3) END AS \"end\" FROM documents",
     "byte_truncated": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || chr(10) || '...[truncated]' ELSE text END AS cut FROM documents WHERE strlen(text) = length(text)",
     "findings_union": " UNION ALL ".join(f"SELECT * FROM ({_report_sql(t)}) WHERE p_partkey % 4 = {i}" for i, t in UNION.items()),
     "file_reports": "WITH f AS (SELECT o_custkey, o_orderpriority AS m, arg_min(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) FILTER (s = 'F') AS errors, count(*) FILTER (s = 'O') AS warnings, count(*) FILTER (s NOT IN ('F', 'O')) AS info FROM f GROUP BY 1) SELECT c_custkey AS path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status FROM customer LEFT JOIN n ON c_custkey = o_custkey",

@@ -38,8 +38,9 @@ FUSED = _sql_text(fused())
 #: The twin of one redaction in SQL: hits with their category, pieces between them, and what each hit becomes.
 HITS = f"""
   SELECT id, content, regexp_split_to_array(content, {FUSED}) AS pieces, regexp_extract_all(content, {FUSED}, 0) AS hits,
-         list_transform(regexp_extract_all(content, {FUSED}, 0), lambda h, i: CASE {' '.join(f"WHEN coalesce(regexp_extract_all(content, {FUSED}, {k})[i], '') <> '' THEN '{c}'" for k, c in enumerate(CATEGORIES, 1))} END) AS cats
+         CASE WHEN regexp_matches(content, {FUSED}) THEN [{', '.join(f"regexp_extract_all(content, {FUSED}, {k})" for k in range(1, len(CATEGORIES) + 1))}] ELSE [] END AS groups
   FROM src"""
+NAMES_SQL = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 
 
 def _entropy_sql(s: str) -> str:
@@ -47,11 +48,12 @@ def _entropy_sql(s: str) -> str:
 
 
 ITEMS = f"""
-hit AS ({HITS}),
-item AS (
-  SELECT id, i, cats[i] AS category, hits[i] AS raw, pieces[i + 1] AS tail,
-         CASE WHEN cats[i] = 'HIGH_ENTROPY_STRING' THEN substr(hits[i], 2, length(hits[i]) - 2) ELSE hits[i] END AS value
+hit AS MATERIALIZED ({HITS}),
+found AS (
+  SELECT id, i, {NAMES_SQL}[list_position(list_transform(groups, lambda g: coalesce(g[i], '') <> ''), true)] AS category, hits[i] AS raw, pieces[i + 1] AS tail
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hit)),
+item AS (
+  SELECT *, CASE WHEN category = 'HIGH_ENTROPY_STRING' THEN substr(raw, 2, length(raw) - 2) ELSE raw END AS value FROM found),
 secret AS (
   SELECT *, category <> 'HIGH_ENTROPY_STRING' OR (length(value) >= 20 AND {_entropy_sql('value')} > 4) AS hidden,
          '<<REDACTED_' || category || '_' || substr(sha256('{SALT}' || value), 1, 16) || '>>' AS placeholder FROM item),
