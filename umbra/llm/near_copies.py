@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import stored, tidy, words
 from .components import Union, components
 from .passages import Hashes, _mix, shingles, split, with_texts
 from .simhash import BKTree
@@ -148,13 +148,14 @@ def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     part = lambda rows, number, rep: rows.select("key", number.cast("long").alias("part"), rep.alias("rep"), "fp", "node")
     every = part(few, F.lit(0), F.lit(False))
     if not many.isEmpty():
-        second = many.select("key", "j", "node", "fp", F.posexplode("least").alias("i", "h")).where(F.col("i") == (F.col("j") + 1) % HASHES).select(F.xxhash64("key", "i", "h").alias("key"), "node", "fp")
+        following = F.get("least", (F.col("j") + 1) % HASHES)
+        second = many.select(F.xxhash64("key", "j", following).alias("key"), "node", "fp")
         few, many = counted(second)
         dealt = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / shard))
         chosen = many.where(F.pmod(F.xxhash64("key", "node", F.lit(3)), F.ceil(F.col("n") / REPRESENTATIVES)) == 0)
         shared = chosen.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / shard) - 1)).alias("number"), "fp", "node")
         every = every.unionByName(part(few, F.lit(0), F.lit(False))).unionByName(part(many, dealt, F.lit(False))).unionByName(part(shared, F.col("number"), F.lit(True)))
-    found = every.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInPandas(_nearest(radius, NEAREST), "doc long, of long")
+    found = every.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInPandas(tidy(_nearest(radius, NEAREST)), "doc long, of long")
     return found.distinct()
 
 
@@ -162,10 +163,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     """node (a hash of id and text), doc_id, group_id, kept: every distinct row of docs; groups of copies and near copies keep one."""
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    described = stored(rows.mapInPandas(_described(k), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>"), "copies")
+    described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>"), "copies")
     texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "texts", few=True)
     pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs", few=True)
-    edges = with_texts(pairs, docs.select(node.alias("doc_id"), "text")).mapInPandas(_alike(k, similarity), "u long, v long")
+    edges = with_texts(pairs, docs.select(node.alias("doc_id"), "text")).mapInPandas(tidy(_alike(k, similarity)), "u long, v long")
     rooted = texts.join(components(edges).withColumnsRenamed({"node": "n"}), F.col("node") == F.col("n"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
