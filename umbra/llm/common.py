@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -65,6 +69,26 @@ def stored(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that is free again back to the system: a worker waits for its next task with little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, then release()."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of a bounded list that the driver holds; by Arrow, so that no Python worker takes part."""
     of = to_arrow_schema(T._parse_datatype_string(schema))

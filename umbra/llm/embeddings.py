@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 from .components import components
 
 SAMPLE, PER_CELL, MOST_CELLS, PROBES, MARGIN, BLOCK, STEPS = 16384, 512, 1024, 8, 0.25, 1024, 6
@@ -171,14 +171,14 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, sample: int = SAMP
     cells = max(1, min(MOST_CELLS, -(-count // per_cell)))
     centres = {dim: spherical_kmeans(unit(x), min(cells, len(x))) for dim, x in fitted.items()}
     kind = dict(rows.dtypes)["embedding"]
-    placed = stored(vectors.select("id", "n", "embedding").mapInPandas(_cells(centres, probes, margin), f"id long, n long, dim int, home long, cells array<long>, embedding {kind}"), "cells")
+    placed = stored(vectors.select("id", "n", "embedding").mapInPandas(tidy(_cells(centres, probes, margin)), f"id long, n long, dim int, home long, cells array<long>, embedding {kind}"), "cells")
     # one row for each cell, MOST_CELLS at most for each length of vectors
     blocks = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     at = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), ["dim", "cell"])
     numbers = F.when(F.col("cell") == F.col("home"), F.sequence(F.lit(0), own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = at.withColumns({"own": own, "block": F.explode(numbers)}).withColumn("guest", (F.col("cell") != F.col("home")) | (F.col("block") != F.col("own"))).drop("own", "blocks")
-    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(_compare(threshold, probes), "id long, links long, label long"), "found")
+    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(tidy(_compare(threshold, probes)), "id long, links long, label long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("id").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "root")
     of = vectors.select("d1", "d2", "id", "n").join(links, "id", "left").join(reached, F.col("id") == F.col("node"), "left").select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mounted, new_folder, stored, table, words
+from .common import fold, mounted, new_folder, stored, table, tidy, words
 
 START, END = b" <s>", b" </s>"  # the space keeps them apart from any word
 BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE = 1 << 21, 1 << 21, 16, 1000
@@ -223,14 +223,14 @@ def train(docs: DataFrame) -> Model:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = mounted(new_folder(spark, "lm"))
     os.makedirs(folder)
-    counts = stored(_texts(docs).mapInPandas(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    counts = stored(_texts(docs).mapInPandas(tidy(_word_counts), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = tuple(sorted(r.w & (1 << 64) - 1 for r in counts.where(F.col("c") * HOT_SHARE > n).collect()))  # HOT_SHARE of them at most
     # every text begins with START: its context is as frequent as the end, and may be too
     hot = tuple(sorted({*hot, word_hash(START)}))
     pair_shards = max(LEAST_SHARDS, n // TOKENS_PER_SHARD)
-    blobs = _texts(docs).mapInPandas(_pair_blobs(np.array(hot, dtype=np.uint64), pair_shards), "shard long, data binary")
-    stats = blobs.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(_merge(folder), "kind int, key long, n1 long, n2 long, n3 long, total long")
+    blobs = _texts(docs).mapInPandas(tidy(_pair_blobs(np.array(hot, dtype=np.uint64), pair_shards)), "shard long, data binary")
+    stats = blobs.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_merge(folder)), "kind int, key long, n1 long, n2 long, n3 long, total long")
     stats = stored(stats.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total")]), "stats", few=True)
     of = next(iter(stats.where("kind = 0").select("n1", "n2", "n3", "total").collect()), (0, 0, 0, 0))
     d = discounts(*of)
@@ -245,7 +245,7 @@ def train(docs: DataFrame) -> Model:
     word_shards = max(LEAST_SHARDS, types // TOKENS_PER_SHARD)
     every = counts.join(right, "w", "full").join(left, "w", "full").select(F.col("w").alias("key"), F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.coalesce("total", F.lit(0)).cast("double").alias("total"), F.coalesce("mass", F.lit(1.0)).alias("mass"), F.coalesce("p1", F.lit(unknown)).alias("p1"))
     every = every.withColumn("shard", F.pmod("key", F.lit(word_shards)))
-    every.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(_word_arrays(folder), "done boolean").count()
+    every.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_word_arrays(folder)), "done boolean").count()
     return Model(folder, pair_shards, word_shards, hot, d, unknown, int(n), int(types))
 
 
@@ -313,7 +313,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 "perplexity": 10 ** np.minimum(-score / (lengths - 1), 300),
             })
 
-    return _texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return _texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInPandas(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

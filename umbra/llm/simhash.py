@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table, words
+from .common import small, stored, table, tidy, words
 from .components import Union, components
 
 RADIUS, SHARD = 2, 256
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             fps = np.array([simhash(t, k) for t in b["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 class BKTree:
@@ -153,7 +153,7 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     for g in groups[1:]:
         every = every.unionByName(g)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(parts, "path", "part").sortWithinPartitions("path", "part", "fp").mapInPandas(_tree_links(radius), "u long, v long")
+    return every.repartition(parts, "path", "part").sortWithinPartitions("path", "part", "fp").mapInPandas(tidy(_tree_links(radius)), "u long, v long")
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

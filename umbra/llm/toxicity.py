@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, stored, table
+from .common import fold, release, stored, table, tidy
 
 POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 50_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 64, 5
@@ -136,7 +136,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
     n = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     if not n.t or not n.c:
         return {}
-    rows = sample.select("text", "toxic").mapInPandas(_unit_counts, "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    rows = sample.select("text", "toxic").mapInPandas(tidy(_unit_counts), "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     t, c = (F.col("t") + 0.5) / (n.t + 1.0), (F.col("c") + 0.5) / (n.c + 1.0)
     odds = F.log(t / (1 - t)) - F.log(c / (1 - c))
     sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
@@ -236,7 +236,7 @@ def train(sample: DataFrame, rate: float = 1.0) -> Classifier | None:
             yield pd.DataFrame({"x": list(features(batch["text"].tolist(), memo)), "toxic": batch["toxic"]})
 
     def fetched(part: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = part.mapInPandas(run, "x array<double>, toxic int").collect()  # the sample's bound
+        rows = part.mapInPandas(tidy(run), "x array<double>, toxic int").collect()  # the sample's bound
         x, y = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], dtype=np.float64)
         order = np.lexsort((*x.T, y))
         x, y = x[order], y[order]
@@ -260,6 +260,8 @@ def judged(docs: DataFrame, model: Classifier | None, threshold: float = 0.5) ->
         for texts in batches:
             x = features(texts.tolist(), memo)
             yield pd.Series(np.clip(np.interp(margins(x, model.edges, model.trees, model.prior), *model.knots), 0, 1) if len(x) else np.zeros(0))
+        memo = None
+        release()
 
     # not to be taken as deterministic: a filter by the score would be pushed below and compute it a second time
     score = F.pandas_udf(run, "double").asNondeterministic()

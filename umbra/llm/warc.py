@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mounted, new_folder, stored, table
+from .common import mounted, new_folder, stored, table, tidy
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC = 0x184D2A5D, range(0x184D2A50, 0x184D2A60), b"\x28\xb5\x2f\xfd"
@@ -246,7 +246,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pd.DataFrame(done, columns=["archive", "records"])
 
-    return stored(planned(pages).mapInPandas(run, "archive string, records long"), "archives")
+    return stored(planned(pages).mapInPandas(tidy(run), "archive string, records long"), "archives")
 
 
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -281,7 +281,7 @@ def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
             yield frame()
 
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archives.select("archive").repartition(parts, "archive").mapInPandas(run, SCHEMA + ", payload binary" * with_payload)
+    return archives.select("archive").repartition(parts, "archive").mapInPandas(tidy(run), SCHEMA + ", payload binary" * with_payload)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
