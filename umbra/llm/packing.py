@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table, tidy
 
-CAPACITY, END, PIECE, WINDOWS, FLUSH = 2048, 1, 256, 128, 1 << 19
+CAPACITY, END, PIECE, WINDOWS, FLUSH = 2048, 1, 256, 128, 1 << 17
 
 
 def partition(sizes: list[int], ways: int) -> list[list[int]]:
@@ -78,7 +78,6 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -87,12 +86,16 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole: list[Tokenizer] = []  # read when first needed
+    del spec, ranks
+    release()
+    whole = []  # read when first needed
 
     def encode(text: str) -> list[int]:
         if not any(s in text for s in special):
             return fast.encode_ordinary(text)
         if not whole:
+            from tokenizers import Tokenizer
+
             whole.append(Tokenizer.from_file(path))
         return whole[0].encode(text, add_special_tokens=False).ids
 
@@ -172,7 +175,7 @@ def packer(path: str | None, capacity: int, end: int, piece: int, windows: int,
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, piece: int = PIECE, windows: int = WINDOWS, with_ids: bool = True) -> DataFrame:
     """One row for each piece, with its token ids if with_ids; path: the tokenizer file (None: the public byte-level one)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(packer(path, capacity, end, piece, windows, with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    return rows.mapInPandas(tidy(packer(path, capacity, end, piece, windows, with_ids)), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
