@@ -59,3 +59,17 @@ def test_odd_rows(odd, none):
 def test_one_id_two_texts(made):
     a, b = stories(2)
     assert N.without_near_copies(made([(1, a), (1, b), (2, a)])).count() == 2
+
+
+def family(n, r, template, own, edits):
+    """n texts that share a template, and of every tenth a copy with some words changed."""
+    common = stories(1, template, 11)[0]
+    docs = [(i, common + " " + t) for i, t in enumerate(stories(n, own, 12))]
+    return docs + [(n + i, edited(docs[10 * i][1], edits, r)) for i in range(n // 10)]
+
+
+def test_family_of_a_template(made):
+    """Unrelated texts of one template lie nearer than copies do; every copy is found."""
+    docs = family(300, random.Random(6), 200, 60, 4)
+    got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
+    assert got == kept_by_pairs(docs)

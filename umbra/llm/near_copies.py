@@ -9,6 +9,9 @@ A shard of over SHARD texts is divided by the next min-hash (of eight in a ring,
 but for one time in two hundred); one that stays large (a group of near copies) is dealt out by a hash, and about
 REPRESENTATIVES of its texts go to every part: each member links to the nearest of its part and of them.
 
+These links only spare work: afterwards every two texts of a shard within RADIUS that verified links don't connect yet are
+verified too, whatever lies nearer to them.
+
 Defined cases: null and empty texts are copies of each other; fewer words than a shingle needs are one shingle; repeated
 rows are one; a null id counts as the smallest; an empty table stays empty; other columns don't matter.
 """
@@ -122,6 +125,8 @@ def _alike(k: int, similarity: float):
         memo, union = Hashes(), Union()
         for b in batches:
             for u, v, a, c in zip(b["doc"].tolist(), b["of"].tolist(), b["text"], b["of_text"], strict=True):
+                if union.find(u) == union.find(v):
+                    continue
                 x, y = np.unique(grams(a, memo, k)), np.unique(grams(c, memo, k))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= similarity * (len(x) + len(y) - common):
@@ -159,6 +164,56 @@ def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     return found.distinct()
 
 
+def _unlinked(radius: int):
+    """Pairs of each shard's texts within the radius whose roots differ, all of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, out, size = None, [], [], 0
+
+        def close() -> None:
+            nonlocal size
+            fp, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
+            for i in range(0, len(node), 512):
+                near = np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= radius
+                a, b = np.nonzero(near & (root[i : i + 512, None] != root[None, :]) & (node[i : i + 512, None] > node[None, :]))
+                out.append(np.stack([node[i + a], node[b]], axis=1))
+                size += len(a)
+
+        def frame() -> pd.DataFrame:
+            nonlocal size
+            done = pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["doc", "of"])
+            out.clear()
+            size = 0
+            return done
+
+        for b in batches:
+            keys, fp, node, root = b["key"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(b) else []
+            for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
+                if keys[i] != key:
+                    if held:
+                        close()
+                    key, held = keys[i], []
+                    if size > 200_000:
+                        yield frame()
+                held.append((fp[i:j], node[i:j], root[i:j]))
+        if held:
+            close()
+        if out:
+            yield frame()
+
+    return run
+
+
+def remaining(texts: DataFrame, shard: int | None = None) -> DataFrame:
+    """doc, of: all pairs of a shard that are near enough to be verified and whose roots differ; texts: node, fp, least, root."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = texts.select("node", "root", F.posexplode("least").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "node", "root")
+    of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    rows = keyed.join(of.where(F.col("n") <= (shard or SHARD)).select("key"), "key").join(texts.select("node", "fp"), "node")
+    return rows.select("key", "fp", "node", "root").repartition(parts, "key").sortWithinPartitions("key").mapInPandas(tidy(_unlinked(RADIUS)), "doc long, of long").distinct()
+
+
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node (a hash of id and text), doc_id, group_id, kept: every distinct row of docs; groups of copies and near copies keep one."""
     node = F.xxhash64("doc_id", "text")
@@ -166,8 +221,14 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>"), "copies")
     texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "texts", few=True)
     pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs", few=True)
-    edges = with_texts(pairs, docs.select(node.alias("doc_id"), "text")).mapInPandas(tidy(_alike(k, similarity)), "u long, v long")
-    rooted = texts.join(components(edges).withColumnsRenamed({"node": "n"}), F.col("node") == F.col("n"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
+    verified = lambda found: with_texts(found, docs.select(node.alias("doc_id"), "text")).mapInPandas(tidy(_alike(k, similarity)), "u long, v long")
+    linked = components(verified(pairs)).withColumnsRenamed({"node": "n"})
+    rooted = texts.join(linked, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("component", "node")).drop("n", "component")
+    rest = stored(remaining(rooted).join(pairs, ["doc", "of"], "left_anti"), "rest", few=True)
+    if not rest.isEmpty():
+        more = verified(rest).unionByName(linked.select(F.col("n").alias("u"), F.col("component").alias("v")))
+        rooted = texts.join(components(more).withColumnsRenamed({"node": "n"}), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = rooted.select("d1", "d2", "first", "root")
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
     joined = described.select("node", "doc_id", "d1", "d2").distinct().join(of, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
