@@ -73,3 +73,12 @@ def test_family_of_a_template(made):
     docs = family(300, random.Random(6), 200, 60, 4)
     got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
     assert got == kept_by_pairs(docs)
+
+
+def test_family_in_large_shards(made, monkeypatch):
+    """Shards above the bound are compared in blocks, so that no copy is lost."""
+    docs = family(300, random.Random(9), 200, 60, 4)
+    monkeypatch.setattr(N.candidates, "__defaults__", (N.RADIUS, 8))
+    monkeypatch.setattr(N, "SHARD", 8)
+    got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
+    assert got == kept_by_pairs(docs)

@@ -10,7 +10,9 @@ but for one time in two hundred); one that stays large (a group of near copies)
 REPRESENTATIVES of its texts go to every part: each member links to the nearest of its part and of them.
 
 These links only spare work: afterwards every two texts of a shard within RADIUS that verified links don't connect yet are
-verified too, whatever lies nearer to them.
+verified too, whatever lies nearer to them. For that, a shard of over SHARD is divided by HASHES further min-hashes (one
+of which two texts at that likeness share with the same near certainty), and of what stays large all blocks are compared,
+but for those within its largest group of linked texts.
 
 Defined cases: null and empty texts are copies of each other; fewer words than a shingle needs are one shingle; repeated
 rows are one; a null id counts as the smallest; an empty table stays empty; other columns don't matter.
@@ -32,7 +34,7 @@ from .passages import Hashes, _mix, shingles, split, with_texts
 from .simhash import BKTree
 
 SHINGLE, SIMILARITY, HASHES, RADIUS, NEAREST, SHARD, REPRESENTATIVES = 5, 0.8, 8, 16, 3, 512, 256
-SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(HASHES)], dtype=np.uint64)
+SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(2 * HASHES)], dtype=np.uint64)
 
 
 def grams(text: str | None, memo: Hashes, k: int) -> np.ndarray:
@@ -140,7 +142,7 @@ def _alike(k: int, similarity: float):
 def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """doc, of: pairs of nodes of texts (node, fp, least) to be verified."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = texts.select("node", "fp", "least", F.posexplode("least").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "j", "node", "fp", "least")
+    first = texts.select("node", "fp", "least", F.posexplode(F.slice("least", 1, HASHES)).alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "j", "node", "fp", "least")
 
     def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows whose key others have too, in few and in many texts; with n, how many."""
@@ -165,18 +167,24 @@ def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
 
 
 def _unlinked(radius: int):
-    """Pairs of each shard's texts within the radius whose roots differ, all of them."""
+    """All pairs of a block's texts within the radius whose roots differ; with two sides, only pairs across them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held, out, size = None, [], [], 0
 
         def close() -> None:
             nonlocal size
-            fp, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
-            for i in range(0, len(node), 512):
-                near = np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= radius
-                a, b = np.nonzero(near & (root[i : i + 512, None] != root[None, :]) & (node[i : i + 512, None] > node[None, :]))
-                out.append(np.stack([node[i + a], node[b]], axis=1))
+            side, fp, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
+            if key[2] == key[3]:
+                x = y = np.arange(len(node))
+            else:
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i in range(0, len(x), 256):
+                u = x[i : i + 256, None]
+                near = (np.bitwise_count(fp[u] ^ fp[y]) <= radius) & (root[u] != root[y])
+                a, b = np.nonzero(near & (node[u] > node[y]) if x is y else near)
+                m, n = node[x[i + a]], node[y[b]]
+                out.append(np.stack([np.maximum(m, n), np.minimum(m, n)], axis=1))
                 size += len(a)
 
         def frame() -> pd.DataFrame:
@@ -187,16 +195,17 @@ def _unlinked(radius: int):
             return done
 
         for b in batches:
-            keys, fp, node, root = b["key"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(b) else []
+            names = [b[c].to_numpy() for c in ("key", "kind", "x", "y")]
+            rows = [b["side"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()]
+            starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in names], axis=0)]).tolist() if len(b) else []
             for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
-                if keys[i] != key:
+                if (at := tuple(int(c[i]) for c in names)) != key:
                     if held:
                         close()
-                    key, held = keys[i], []
+                    key, held = at, []
                     if size > 200_000:
                         yield frame()
-                held.append((fp[i:j], node[i:j], root[i:j]))
+                held.append([c[i:j] for c in rows])
         if held:
             close()
         if out:
@@ -205,13 +214,45 @@ def _unlinked(radius: int):
     return run
 
 
+def _blocks(rows: DataFrame, shard: int) -> DataFrame:
+    """key, kind, x, y, side, node, root: rows (key, n, major, most, node, root) dealt so that every two whose roots differ meet.
+
+    Of n texts, most have the root major. The others are dealt to parts, and every two parts meet (kind 0); the parts of
+    those of the major root, which needn't meet one another, meet every part of the others (kind 1).
+    """
+    minor = F.ceil((F.col("n") - F.col("most")) / shard).cast("long")
+    major = F.ceil(F.col("most") / shard).cast("long")
+    part = F.pmod(F.xxhash64("node", "key"), F.when(F.col("root") == F.col("major"), major).otherwise(minor))
+    known = rows.select("key", "node", "root", minor.alias("minor"), major.alias("others"), part.alias("part"), (F.col("root") == F.col("major")).alias("big"))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    own = F.transform(numbers("minor"), lambda i: at(0, F.least(i, "part"), F.greatest(i, "part"), F.col("part") > i))
+    few = F.transform(numbers("others"), lambda i: at(1, F.col("part"), -1 - i, F.lit(0)))
+    many = F.transform(numbers("minor"), lambda i: at(1, i, -1 - F.col("part"), F.lit(1)))
+    return known.select("key", "node", "root", F.explode(F.when(F.col("big"), many).otherwise(F.concat(own, few))).alias("b")).select("key", "b.*", "node", "root")
+
+
 def remaining(texts: DataFrame, shard: int | None = None) -> DataFrame:
     """doc, of: all pairs of a shard that are near enough to be verified and whose roots differ; texts: node, fp, least, root."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.select("node", "root", F.posexplode("least").alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "node", "root")
-    of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rows = keyed.join(of.where(F.col("n") <= (shard or SHARD)).select("key"), "key").join(texts.select("node", "fp"), "node")
-    return rows.select("key", "fp", "node", "root").repartition(parts, "key").sortWithinPartitions("key").mapInPandas(tidy(_unlinked(RADIUS)), "doc long, of long").distinct()
+    parts, shard = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), shard or SHARD
+
+    def unlinked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the keys that more than one root has, in few and in many texts."""
+        of = keyed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("m"))
+        of = of.select("key", "n", F.col("m.root").alias("major"), F.col("m.count").alias("most")).where("n > most")
+        rows = stored(keyed.join(of, "key"), "unlinked", few=True)
+        return rows.where(F.col("n") <= shard), rows.where(F.col("n") > shard)
+
+    whole = lambda rows: rows.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "node", "root")
+    hashes = texts.select("node", "root", F.posexplode(F.slice("least", 1, HASHES)).alias("j", "h"))
+    few, many = unlinked(hashes.select(F.xxhash64("j", "h").alias("key"), "node", "root"))
+    every = whole(few)
+    if not many.isEmpty():
+        further = texts.select("node", F.posexplode(F.slice("least", HASHES + 1, HASHES)).alias("j", "h"))
+        few, many = unlinked(many.select("key", "node", "root").join(further, "node").select(F.xxhash64("key", "j", "h").alias("key"), "node", "root"))
+        every = every.unionByName(whole(few)).unionByName(_blocks(many, shard))
+    rows = every.join(texts.select("node", "fp"), "node").repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
+    return rows.mapInPandas(tidy(_unlinked(RADIUS)), "doc long, of long").distinct()
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
