@@ -82,3 +82,13 @@ def test_family_in_large_shards(made, monkeypatch):
     monkeypatch.setattr(N, "SHARD", 8)
     got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
     assert got == kept_by_pairs(docs)
+
+
+def test_repeated_lines(made):
+    """A line many times in one text and twice in the other leaves the likeness as it is."""
+    docs = []
+    for i, body in enumerate(stories(60, 200, 21)):
+        line = " " + stories(1, 12, 100 + i)[0]
+        docs += [(2 * i, body + 3 * line), (2 * i + 1, body + 20 * line)]
+    got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
+    assert got == kept_by_pairs(docs) == set(range(0, 120, 2))

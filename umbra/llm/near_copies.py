@@ -9,8 +9,8 @@ A shard of over SHARD texts is divided by the next min-hash (of eight in a ring,
 but for one time in two hundred); one that stays large (a group of near copies) is dealt out by a hash, and about
 REPRESENTATIVES of its texts go to every part: each member links to the nearest of its part and of them.
 
-These links only spare work: afterwards every two texts of a shard within RADIUS that verified links don't connect yet are
-verified too, whatever lies nearer to them. For that, a shard of over SHARD is divided by HASHES further min-hashes (one
+These links only spare work: afterwards every two texts of a shard within WIDE_RADIUS of 256 bits that verified links don't
+connect yet are verified too, whatever lies nearer to them; fingerprints are of distinct shingles, as the likeness is. For that, a shard of over SHARD is divided by HASHES further min-hashes (one
 of which two texts at that likeness share with the same near certainty), and of what stays large all blocks are compared,
 but for those within its largest group of linked texts.
 
@@ -35,6 +35,8 @@ from .simhash import BKTree
 
 SHINGLE, SIMILARITY, HASHES, RADIUS, NEAREST, SHARD, REPRESENTATIVES = 5, 0.8, 8, 16, 3, 512, 256
 SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(2 * HASHES)], dtype=np.uint64)
+#: Further fingerprints of 64 bits, and the radius of all: two texts at a likeness of 0.8 differ in 39 of 256 bits, very short ones in 48.
+WIDER, WIDE_RADIUS = np.array([xxhash.xxh64_intdigest(b"wider", seed=i) for i in range(3)], dtype=np.uint64), 80
 
 
 def grams(text: str | None, memo: Hashes, k: int) -> np.ndarray:
@@ -59,12 +61,12 @@ def _described(k: int):
         for b in batches:
             out = []
             for text in b["text"]:
-                h = grams(text, memo, k)
+                h = np.unique(grams(text, memo, k))
                 joined = b" ".join(words(text))
                 least = [int(x) for x in np.array([_mix(h ^ s).min() for s in SEEDS], dtype=np.uint64).view(np.int64)] if len(h) else []
                 d = xxhash.xxh128_intdigest(joined)
-                out.append((*(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1)), _bits(h) if len(h) else 0, least))
-            rows = pd.DataFrame(out, columns=["d1", "d2", "fp", "least"])
+                out.append((*(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1)), _bits(h) if len(h) else 0, [_bits(_mix(h ^ s)) if len(h) else 0 for s in WIDER], least))
+            rows = pd.DataFrame(out, columns=["d1", "d2", "fp", "wide", "least"])
             yield pd.DataFrame({"node": b["node"].to_numpy(), "doc_id": b["doc_id"].astype("Int64"), **{c: rows[c].to_numpy() for c in rows}})
 
     return run
@@ -166,6 +168,9 @@ def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     return found.distinct()
 
 
+FPS = ["fp", *(f"fp{i}" for i in range(len(WIDER)))]
+
+
 def _unlinked(radius: int):
     """All pairs of a block's texts within the radius whose roots differ; with two sides, only pairs across them."""
 
@@ -181,7 +186,7 @@ def _unlinked(radius: int):
                 x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             for i in range(0, len(x), 256):
                 u = x[i : i + 256, None]
-                near = (np.bitwise_count(fp[u] ^ fp[y]) <= radius) & (root[u] != root[y])
+                near = (np.bitwise_count(fp[u] ^ fp[y]).sum(axis=2, dtype=np.uint16) <= radius) & (root[u] != root[y])
                 a, b = np.nonzero(near & (node[u] > node[y]) if x is y else near)
                 m, n = node[x[i + a]], node[y[b]]
                 out.append(np.stack([np.maximum(m, n), np.minimum(m, n)], axis=1))
@@ -196,7 +201,7 @@ def _unlinked(radius: int):
 
         for b in batches:
             names = [b[c].to_numpy() for c in ("key", "kind", "x", "y")]
-            rows = [b["side"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()]
+            rows = [b["side"].to_numpy(), np.stack([b[c].to_numpy(np.int64) for c in FPS], axis=1).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()]
             starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in names], axis=0)]).tolist() if len(b) else []
             for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
                 if (at := tuple(int(c[i]) for c in names)) != key:
@@ -233,7 +238,7 @@ def _blocks(rows: DataFrame, shard: int) -> DataFrame:
 
 
 def remaining(texts: DataFrame, shard: int | None = None) -> DataFrame:
-    """doc, of: all pairs of a shard that are near enough to be verified and whose roots differ; texts: node, fp, least, root."""
+    """doc, of: all pairs of a shard that are near enough to be verified and whose roots differ; texts: node, fp, wide, least, root."""
     parts, shard = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), shard or SHARD
 
     def unlinked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,16 +256,17 @@ def remaining(texts: DataFrame, shard: int | None = None) -> DataFrame:
         further = texts.select("node", F.posexplode(F.slice("least", HASHES + 1, HASHES)).alias("j", "h"))
         few, many = unlinked(many.select("key", "node", "root").join(further, "node").select(F.xxhash64("key", "j", "h").alias("key"), "node", "root"))
         every = every.unionByName(whole(few)).unionByName(_blocks(many, shard))
-    rows = every.join(texts.select("node", "fp"), "node").repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
-    return rows.mapInPandas(tidy(_unlinked(RADIUS)), "doc long, of long").distinct()
+    bits = texts.select("node", "fp", *[F.get("wide", F.lit(i)).alias(c) for i, c in enumerate(FPS[1:])])
+    rows = every.join(bits, "node").repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
+    return rows.mapInPandas(tidy(_unlinked(WIDE_RADIUS)), "doc long, of long").distinct()
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node (a hash of id and text), doc_id, group_id, kept: every distinct row of docs; groups of copies and near copies keep one."""
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>"), "copies")
-    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "texts", few=True)
+    described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, wide array<long>, least array<long>"), "copies")
+    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("least").alias("least")), "texts", few=True)
     pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs", few=True)
     verified = lambda found: with_texts(found, docs.select(node.alias("doc_id"), "text")).mapInPandas(tidy(_alike(k, similarity)), "u long, v long")
     linked = components(verified(pairs)).withColumnsRenamed({"node": "n"})
