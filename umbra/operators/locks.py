@@ -94,6 +94,24 @@ def inconsistent(orders: DataFrame, thread: str = "thread", locks: str = "locks"
     return a.join(b, "s").where((F.col("first") < F.col("second")) & (F.col("a_order") != F.col("b_order"))).drop("s")
 
 
+def inconsistent_counts(orders: DataFrame, thread: str = "thread", locks: str = "locks") -> DataFrame:
+    """first, n: for how many greater threads (integers) inconsistent() has a pair, counted without the pairs.
+
+    Those of the same set less those of the same order; of a group, the greater ones are those of later buckets of
+    threads and the greater ones of the own bucket.
+    """
+    rows = orders.select(F.col(thread).alias("t"), F.col(locks).alias("l"), F.array_sort(F.array_distinct(locks)).alias("s")).withColumn("b", F.expr("t div 1024"))
+
+    def greater(rows: DataFrame, of: str, name: str) -> DataFrame:
+        sizes = rows.groupBy(of, "b").agg(F.count("*").alias("c"))
+        later = sizes.select(F.col(of).alias("g"), F.col("b").alias("at"), F.expr(f"coalesce(sum(c) OVER (PARTITION BY {of} ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("later"))
+        own = rows.withColumn("own", F.expr(f"rank() OVER (PARTITION BY {of}, b ORDER BY t DESC) - 1"))
+        return own.join(later, (F.col(of) == F.col("g")) & (F.col("b") == F.col("at"))).withColumn(name, F.col("own") + F.col("later")).drop("g", "at", "own", "later")
+
+    both = greater(greater(rows, "s", "alike"), "l", "equal")
+    return both.groupBy(F.col("t").alias("first")).agg(F.sum(F.col("alike") - F.col("equal")).alias("n")).where("n > 0")
+
+
 def proposed(defs: DataFrame, *by: str) -> DataFrame:
     """The locks in order of their declaration."""
     rows = defs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("line", "lock"))).alias("l"))

@@ -45,6 +45,13 @@ def inconsistent_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("first").agg(F.count("*").alias("n"))
 
 
+def inconsistent_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """inconsistent_order over all events and threads."""
+    e = table(spark, sf_dir, "events")
+    rows = e.groupBy(F.expr("event_id div 10").alias("thread")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("locks"))
+    return L.inconsistent_counts(rows)
+
+
 def proposed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("fn"), F.col("n_nationkey").alias("line"), F.col("n_name").alias("lock"))
     return L.proposed(n, "fn").select("fn", L.order_note(F.col("locks")).alias("note"))
@@ -60,7 +67,7 @@ def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(L.facts(code)).alias("f")).select("n_nationkey", "f.*")
 
 
-QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_findings, lock_facts)}
+QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, inconsistent_order_all, proposed_order, lock_findings, lock_facts)}
 
 ACQ = "q AS (SELECT user_id AS fn, event_id // 100 AS seq, event_id AS pos, event_type || (event_id % 2) AS lock FROM events)"
 EDGES = "e AS (SELECT 'L' || n_nationkey AS a, 'L' || CASE WHEN n_nationkey % 7 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END AS b FROM nation WHERE n_nationkey % 7 <> 6)"
