@@ -15,3 +15,7 @@ def whole(spark, sf_dir, name, *filters):
 
 def test_inconsistent_order(spark, sf_dir):
     whole(spark, sf_dir, "inconsistent_order", (" WHERE event_id % 10 < 3 AND event_id // 10 < 200", ""))
+
+
+def test_lock_with_pairs(spark, sf_dir):
+    whole(spark, sf_dir, "lock_with_pairs", (" WHERE x.fn % 5 = 0", ""))

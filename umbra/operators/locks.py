@@ -61,8 +61,9 @@ def order_edges(acquires: DataFrame, *by: str) -> DataFrame:
 
 def with_pairs(sites: DataFrame, *by: str) -> DataFrame:
     """Both directions of every two locks that one statement takes."""
-    x = sites.select(*by, F.col("pos").alias("p"), F.col("lock").alias("a"))
-    y = sites.select(*by, F.col("pos").alias("q"), F.col("lock").alias("b"))
+    once = sites.groupBy(*by, "lock").agg(F.min("pos").alias("least"), F.max("pos").alias("greatest"))
+    x = once.select(*by, F.col("least").alias("p"), F.col("lock").alias("a"))
+    y = once.select(*by, F.col("greatest").alias("q"), F.col("lock").alias("b"))
     pairs = x.join(y, list(by)).where("p < q").select("a", "b")
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 

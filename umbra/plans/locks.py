@@ -34,6 +34,11 @@ def lock_with_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_pairs(sites, "fn", "seq")
 
 
+def lock_with_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lock_with_pairs over the acquires of all functions."""
+    return L.with_pairs(acquires(spark, sf_dir), "fn", "seq")
+
+
 def double_acquire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.double_acquires(acquires(spark, sf_dir), "fn", "seq")
 
@@ -67,7 +72,7 @@ def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(L.facts(code)).alias("f")).select("n_nationkey", "f.*")
 
 
-QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, inconsistent_order_all, proposed_order, lock_findings, lock_facts)}
+QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, lock_with_pairs_all, double_acquire, inconsistent_order, inconsistent_order_all, proposed_order, lock_findings, lock_facts)}
 
 ACQ = "q AS (SELECT user_id AS fn, event_id // 100 AS seq, event_id AS pos, event_type || (event_id % 2) AS lock FROM events)"
 EDGES = "e AS (SELECT 'L' || n_nationkey AS a, 'L' || CASE WHEN n_nationkey % 7 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END AS b FROM nation WHERE n_nationkey % 7 <> 6)"
