@@ -19,3 +19,11 @@ def test_inconsistent_order(spark, sf_dir):
 
 def test_lock_with_pairs(spark, sf_dir):
     whole(spark, sf_dir, "lock_with_pairs", (" WHERE x.fn % 5 = 0", ""))
+
+
+def test_byte_truncated(spark, sf_dir):
+    rows = views(sf_dir).execute("SELECT doc_id, text FROM documents").fetchall()
+    cut = lambda t: t if t is None or len(t.encode()) <= 300 else t.encode()[:300].decode("utf-8", "replace") + "\n...[truncated]"
+    got = [(r.doc_id, r.cut) for r in plans.QUERIES["byte_truncated_all"](spark, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted(((d, cut(t)) for d, t in rows), key=repr)
+    assert any(t and not t.isascii() for _, t in rows)

@@ -129,6 +129,11 @@ def byte_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("octet_length(text) = length(text)").select("doc_id", G.truncated_bytes(F.col("text"), 300).alias("cut"))
 
 
+def byte_truncated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """byte_truncated over all documents, also those where bytes aren't characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", G.truncated_bytes(F.col("text"), 300).alias("cut"))
+
+
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     language = F.expr("element_at(array('c', 'python', 'rust', 'go'), int(o_orderkey % 4) + 1)")
@@ -179,6 +184,7 @@ QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in
     "ast_checks": ast_checks,
     "tool_truncated": tool_truncated,
     "byte_truncated": byte_truncated,
+    "byte_truncated_all": byte_truncated_all,
     "run_status": run_status,
     "findings_union": findings_union,
     "file_reports": file_reports,
