@@ -27,3 +27,7 @@ def test_byte_truncated(spark, sf_dir):
     got = [(r.doc_id, r.cut) for r in plans.QUERIES["byte_truncated_all"](spark, sf_dir).collect()]
     assert sorted(got, key=repr) == sorted(((d, cut(t)) for d, t in rows), key=repr)
     assert any(t and not t.isascii() for _, t in rows)
+
+
+def test_file_reports(spark, sf_dir):
+    whole(spark, sf_dir, "file_reports", (" WHERE o_orderkey % 3 = 0", ""))
