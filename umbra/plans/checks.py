@@ -126,11 +126,7 @@ def tool_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("octet_length(text) = length(text)").select("doc_id", G.truncated_bytes(F.col("text"), 300).alias("cut"))
-
-
-def byte_truncated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """byte_truncated over all documents, also those where bytes aren't characters."""
+    """All documents, also those where bytes aren't characters."""
     return table(spark, sf_dir, "documents").select("doc_id", G.truncated_bytes(F.col("text"), 300).alias("cut"))
 
 
@@ -153,19 +149,10 @@ def findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as files, every third order (o_orderkey % 3 = 0) as a finding."""
-    return _file_reports(spark, sf_dir, "o_orderkey % 3 = 0")
-
-
-def file_reports_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as files, all their orders as findings."""
-    return _file_reports(spark, sf_dir, "true")
-
-
-def _file_reports(spark: SparkSession, sf_dir: str, chosen: str) -> DataFrame:
+    """Customers as files, their orders as findings."""
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
     null = F.lit(None)
-    found = table(spark, sf_dir, "orders").where(chosen).select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("ordinal"), F.lit("t").alias("tool"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'info' END").alias("severity"), F.col("o_orderpriority").alias("message"), null.cast("string").alias("file"), null.cast("int").alias("line"), null.cast("int").alias("column"))
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("ordinal"), F.lit("t").alias("tool"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'info' END").alias("severity"), F.col("o_orderpriority").alias("message"), null.cast("string").alias("file"), null.cast("int").alias("line"), null.cast("int").alias("column"))
     return G.file_reports(files, found).select("path", "errors", "warnings", "info", "status")
 
 
@@ -193,11 +180,9 @@ QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in
     "ast_checks": ast_checks,
     "tool_truncated": tool_truncated,
     "byte_truncated": byte_truncated,
-    "byte_truncated_all": byte_truncated_all,
     "run_status": run_status,
     "findings_union": findings_union,
     "file_reports": file_reports,
-    "file_reports_all": file_reports_all,
     "typed_scan": typed_scan,
 }
 
@@ -222,9 +207,9 @@ SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'eslint:' || coalesce(r ->
     "discover_files_glob": "WITH p AS (SELECT o_orderkey, concat('/repo/', CASE o_orderkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/unit/' ELSE '' END, 'f', CAST(o_orderkey AS VARCHAR), CASE o_orderkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.txt' WHEN 3 THEN '.JS' ELSE '' END) AS path FROM orders), r AS (SELECT *, substr(path, 7) AS rel FROM p) SELECT o_orderkey, path, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' ELSE 'javascript' END AS language FROM r WHERE (rel LIKE 'src/%' OR rel LIKE '%.py' OR rel LIKE 'tests/%') AND NOT rel LIKE 'tests/%.go' AND (path LIKE '%.py' OR path LIKE '%.go' OR lower(path) LIKE '%.js')",
     "autofix_rules": f"SELECT p_partkey, replace(replace(replace({AUTOFIX}, '_init_', '__init__'), 'except:', 'except Exception as e:'), 'requests.post(u)', 'requests.post(u, timeout=10)').replace(CAST(p_partkey AS VARCHAR) || '\")', CAST(p_partkey AS VARCHAR) || '\", timeout=10)') AS fixed FROM part",
     "tool_truncated": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END AS n, CASE WHEN length(text) > 500 THEN '...' ELSE right(text, 3) END AS \"end\" FROM documents",
-    "byte_truncated": "SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || chr(10) || '...[truncated]' ELSE text END AS cut FROM documents WHERE strlen(text) = length(text)",
+    "byte_truncated": "WITH k AS (SELECT doc_id, text, left(text, len(list_filter(range(1, 301), lambda i: strlen(left(text, i)) <= 300))) AS part FROM documents) SELECT doc_id, CASE WHEN strlen(text) > 300 THEN part || CASE WHEN strlen(part) < 300 THEN chr(65533) ELSE '' END || chr(10) || '...[truncated]' ELSE text END AS cut FROM k",
     "findings_union": " UNION ALL ".join(f"SELECT * FROM ({_report_sql(t)}) WHERE p_partkey % 4 = {i}" for i, t in UNION.items()),
-    "file_reports": "WITH f AS (SELECT o_custkey, o_orderpriority AS m, arg_min(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) FILTER (s = 'F') AS errors, count(*) FILTER (s = 'O') AS warnings, count(*) FILTER (s NOT IN ('F', 'O')) AS info FROM f GROUP BY 1) SELECT c_custkey AS path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status FROM customer LEFT JOIN n ON c_custkey = o_custkey",
+    "file_reports": "WITH f AS (SELECT o_custkey, o_orderpriority AS m, arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) FILTER (s = 'F') AS errors, count(*) FILTER (s = 'O') AS warnings, count(*) FILTER (s NOT IN ('F', 'O')) AS info FROM f GROUP BY 1) SELECT c_custkey AS path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status FROM customer LEFT JOIN n ON c_custkey = o_custkey",
     "typed_scan": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'binary' WHEN 1 THEN 'schema' ELSE 'text' END AS kind, CASE c_custkey % 4 WHEN 0 THEN base64(encode(c_name || chr(10) || 'row')) WHEN 1 THEN c_name ELSE c_name || chr(10) || 'row' END AS body FROM customer",
     "run_status": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'sandbox_error' WHEN o_orderkey % 3 = 0 THEN 'success' WHEN o_orderkey % 4 IN (0, 2) AND o_orderkey % 2 = 0 THEN 'compile_error' ELSE 'test_failure' END AS status FROM orders",
 }
