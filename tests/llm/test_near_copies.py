@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from samples import ODD, stories
 
@@ -31,7 +32,7 @@ def kept_by_pairs(docs):
     return {sets[i][0] for i in range(len(sets)) if find(i) == i}
 
 
-@pytest.mark.parametrize("shard", [N.SHARD, 8])
+@pytest.mark.parametrize("shard", [N.SHARD, 1600])
 def test_against_all_pairs(made, monkeypatch, shard):
     """Copies, near copies, texts that share a passage, and others; with small shards every level is used."""
     r = random.Random(5)
@@ -41,11 +42,8 @@ def test_against_all_pairs(made, monkeypatch, shard):
     for t in base[:20]:
         docs += [(len(docs) + i, x) for i, x in enumerate([t, edited(t, 2, r), edited(t, 3, r), edited(t, 30, r), passage + " " + stories(1, 120, r.random())[0]])]
     docs += [(len(docs) + i, edited(base[30], 2, r)) for i in range(60)]  # a large group of near copies
-    monkeypatch.setattr(N.candidates, "__defaults__", (N.RADIUS, shard))
-    monkeypatch.setattr(N, "REPRESENTATIVES", 32 if shard == 8 else N.REPRESENTATIVES)
-    got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
-    want = kept_by_pairs(docs)
-    assert want <= got and len(got - want) <= (0 if shard == N.SHARD else 2)
+    monkeypatch.setattr(N, "SHARD", shard)
+    assert {x.doc_id for x in N.without_near_copies(made(docs)).collect()} == kept_by_pairs(docs)
 
 
 def test_odd_rows(odd, none):
@@ -78,8 +76,7 @@ def test_family_of_a_template(made):
 def test_family_in_large_shards(made, monkeypatch):
     """Shards above the bound are compared in blocks, so that no copy is lost."""
     docs = family(300, random.Random(9), 200, 60, 4)
-    monkeypatch.setattr(N.candidates, "__defaults__", (N.RADIUS, 8))
-    monkeypatch.setattr(N, "SHARD", 8)
+    monkeypatch.setattr(N, "SHARD", 2000)
     got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
     assert got == kept_by_pairs(docs)
 
@@ -92,3 +89,32 @@ def test_repeated_lines(made):
         docs += [(2 * i, body + 3 * line), (2 * i + 1, body + 20 * line)]
     got = {x.doc_id for x in N.without_near_copies(made(docs)).collect()}
     assert got == kept_by_pairs(docs) == set(range(0, 120, 2))
+
+
+@pytest.mark.parametrize("shard", [N.SHARD, 20_000])
+def test_edits_of_one_text(made, monkeypatch, shard):
+    """Over a thousand edits of one text that isn't there itself, and other texts: exactly what all pairs give."""
+    r = random.Random(31)
+    base = stories(1, 200, 32)[0]
+    docs = [(i, edited(base, r.randrange(1, 6), r)) for i in range(1200)] + [(2000 + i, t) for i, t in enumerate(stories(100, 200, 33))]
+    monkeypatch.setattr(N, "SHARD", shard)
+    assert {x.doc_id for x in N.without_near_copies(made(docs)).collect()} == kept_by_pairs(docs)
+
+
+def test_tree_finds_all():
+    """The array search of a BK-tree against all distances."""
+    x = np.random.default_rng(2).integers(0, 1 << 63, 700).astype(np.uint64)
+    x[300:500] = x[:200] ^ (np.uint64(1) << np.arange(200, dtype=np.uint64) % np.uint64(60))
+    x = np.unique(x)
+    tree = N.Tree(x)
+    for q in x[::50].tolist():
+        found, far = tree.near(np.uint64(q), 26)
+        d = np.bitwise_count(x ^ np.uint64(q))
+        assert sorted(found.tolist()) == np.flatnonzero(d <= 26).tolist() and (d[found] == far).all()
+
+
+def test_recall_on_the_small_table(spark, sf_dir):
+    """Every near copy of the whole small table is found, nothing else goes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {x.doc_id for x in N.without_near_copies(docs).collect()}
+    assert got == kept_by_pairs([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()])

@@ -39,19 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) of every node with a link; edges: longs u, v.
 
     Each step is written to the shared folder, and the result of a step is all that the next one needs. A hub's rows
-    meet only in partial minima and in sort-merge joins that can be split.
+    meet in partial minima and in joins with the stored minima, of which both sides come straight from an exchange, so
+    that adaptive execution can split them. Null ends and loops are no links; no links, no rows.
     """
     links = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", few=True)
-    before = None
     while True:
-        state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if state.n == 0 or state == before:
+        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 OR (up = 1 AND root = 1)").isEmpty():  # stars only
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", few=True)
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", few=True)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low", few=True)
         joined = large.join(low, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links = stored(small.distinct(), "links", few=True)

@@ -1,21 +1,25 @@
 """Near copies of whole texts: SimHash fingerprints in BK-trees, verified by the likeness of their word shingles.
 
-Texts at a likeness of 0.8 differ in ten fingerprint bits or so, too many for shards by equal bits. A shard here is the
-texts with one min-hash of their shingles; two such texts share one of HASHES with near certainty (1 - 0.2^8). A shard's
-BK-tree is searched within RADIUS bits, each text's NEAREST finds are candidates, and candidates become links if the
-shingles of both whole texts are as alike as asked. Copies (equal words) are one text throughout.
-
-A shard of over SHARD texts is divided by the next min-hash (of eight in a ring, two neighbours agree at that likeness
-but for one time in two hundred); one that stays large (a group of near copies) is dealt out by a hash, and about
-REPRESENTATIVES of its texts go to every part: each member links to the nearest of its part and of them.
-
-These links only spare work: afterwards every two texts of a shard within WIDE_RADIUS of 256 bits that verified links don't
-connect yet are verified too, whatever lies nearer to them; fingerprints are of distinct shingles, as the likeness is. For that, a shard of over SHARD is divided by HASHES further min-hashes (one
-of which two texts at that likeness share with the same near certainty), and of what stays large all blocks are compared,
-but for those within its largest group of linked texts.
+Texts at a likeness of 0.8 differ in ten fingerprint bits or so and up to RADIUS, too many for shards by equal bits. A
+shard here is the texts with one min-hash of their distinct shingles; two such texts share one of HASHES with near
+certainty (1 - 0.2^8). A shard holds fingerprints and sets of shingle hashes (32 bits each). Its BK-tree is searched
+within RADIUS bits, of what it finds the nearest come first, and texts that aren't joined yet are joined if their whole
+sets are as alike as asked. A shard returns the joins that it made, not pairs: no more than it has texts. Copies (equal
+words) are one text throughout.
+
+A shard of over SHARD shingles (one copied or templated text a thousand times) is dealt out by a hash first, which joins
+most of a large group. Then its texts meet again by each of HASHES further min-hashes, where more than one root is left;
+what stays over SHARD is compared in all blocks, but for those within its largest group, which is joined already. So
+every two texts of a shard within the radius that aren't joined by others are compared, whatever lies nearer to them.
+Rows grow faster than the input only for a group over SHARD of which most are neither joined nor parted by the further
+min-hashes: texts that share some 60 to 80 % of their shingles.
+
+What can be lost: a pair at a likeness of just 0.8 shares no min-hash (3 in a million) or, in a large shard, none of the
+further ones (the same), or lies beyond RADIUS = 26 of 64 bits (one in a million; of five shingles against four 3).
 
 Defined cases: null and empty texts are copies of each other; fewer words than a shingle needs are one shingle; repeated
-rows are one; a null id counts as the smallest; an empty table stays empty; other columns don't matter.
+rows are one; a null id counts as the smallest; an empty table stays empty; other columns, whatever their names, don't
+matter and are kept; a very long text is one set of its distinct shingles, four bytes each, and may fill a block alone.
 """
 
 from __future__ import annotations
@@ -29,15 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, tidy, words
-from .components import Union, components
-from .passages import Hashes, _mix, shingles, split, with_texts
+from .components import components
+from .passages import Hashes, _mix, shingles, split
 from .simhash import BKTree
 
-SHINGLE, SIMILARITY, HASHES, RADIUS, NEAREST, SHARD, REPRESENTATIVES = 5, 0.8, 8, 16, 3, 512, 256
+#: SHARD: shingles that meet in one task at once.
+SHINGLE, SIMILARITY, HASHES, RADIUS, SHARD = 5, 0.8, 8, 26, 1 << 20
 SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(2 * HASHES)], dtype=np.uint64)
-#: Further fingerprints of 64 bits, and the radius of all: two texts at a likeness of 0.8 differ in 39 of 256 bits, very short ones in 48.
-WIDER, WIDE_RADIUS = np.array([xxhash.xxh64_intdigest(b"wider", seed=i) for i in range(3)], dtype=np.uint64), 80
-
 
 def grams(text: str | None, memo: Hashes, k: int) -> np.ndarray:
     """The hash of each shingle; of all words if there are fewer; none without words."""
@@ -62,154 +64,119 @@ def _described(k: int):
             out = []
             for text in b["text"]:
                 h = np.unique(grams(text, memo, k))
-                joined = b" ".join(words(text))
-                least = [int(x) for x in np.array([_mix(h ^ s).min() for s in SEEDS], dtype=np.uint64).view(np.int64)] if len(h) else []
-                d = xxhash.xxh128_intdigest(joined)
-                out.append((*(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1)), _bits(h) if len(h) else 0, [_bits(_mix(h ^ s)) if len(h) else 0 for s in WIDER], least))
-            rows = pd.DataFrame(out, columns=["d1", "d2", "fp", "wide", "least"])
+                least = [int(_mix(h ^ s).min().view(np.int64)) for s in SEEDS] if len(h) else []
+                d = xxhash.xxh128_intdigest(b" ".join(words(text)))
+                out.append((*(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1)), _bits(h) if len(h) else 0, least, len(h), (h >> np.uint64(32)).astype("<u4").tobytes()))
+            rows = pd.DataFrame(out, columns=["d1", "d2", "fp", "least", "n", "grams"])
             yield pd.DataFrame({"node": b["node"].to_numpy(), "doc_id": b["doc_id"].astype("Int64"), **{c: rows[c].to_numpy() for c in rows}})
 
     return run
 
 
-def _nearest(radius: int, nearest: int):
-    """Candidates of each shard: a text's nearest fingerprints, or of one dealt out the nearest of its part and representative."""
+class Tree:
+    """A BK-tree of distinct fingerprints as arrays: a search looks at all nodes of a level that edges can lead to at once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, members, shared = None, [], []
-        out: set[tuple[int, int]] = set()
-
-        def finds(tree: BKTree, by: dict[int, int], fp: int, node: int, most: int) -> None:
-            near = sorted(((fp ^ x).bit_count(), x) for x in tree.near(fp, radius) if by[x] != node)
-            out.update((max(node, by[x]), min(node, by[x])) for _, x in near[:most])
-
-        def indexed(rows: list[tuple[int, int]]) -> tuple[BKTree, dict[int, int]]:
-            tree, by = BKTree(), {}
-            for fp, node in rows:
-                if fp in by:
-                    if by[fp] != node:
-                        out.add((max(node, by[fp]), min(node, by[fp])))
-                else:
-                    by[fp] = node
-                    tree.add(fp)
-            return tree, by
+    def __init__(self, values: np.ndarray) -> None:
+        tree = BKTree()
+        for x in values.tolist():
+            tree.add(x)
+        self.tree, self.values = tree, values
+        self.count = np.array([len(c) for c in tree.children])
+        self.first = np.cumsum(self.count) - self.count
+        self.edge = np.array([e for c in tree.children for e in c], dtype=np.int64)
+        self.child = np.array([x for c in tree.children for x in c.values()], dtype=np.int64)
 
-        def close() -> None:
-            if len(members) + len(shared) < 2:
-                return
-            tree, by = indexed(members)
-            reps, rep_by = indexed(shared)
-            for fp, node in by.items():
-                finds(tree, by, fp, node, 1 if shared else nearest)
-                if shared:
-                    finds(reps, rep_by, fp, node, 1)
+    def near(self, x: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the values within the radius, and how far they are."""
+        level, found, far = np.zeros(1, dtype=np.int64), [], []
+        while len(level):
+            d = np.bitwise_count(self.values[level] ^ x).astype(np.int64)
+            found.append(level[d <= radius])
+            far.append(d[d <= radius])
+            edges, of = _ranges(self.first[level], self.count[level])
+            level = self.child[edges[np.abs(self.edge[edges] - d[of]) <= radius]]
+        return np.concatenate(found), np.concatenate(far)
 
-        def frame() -> pd.DataFrame:
-            done = pd.DataFrame(sorted(out), columns=["doc", "of"])
-            out.clear()
-            return done
 
-        for b in batches:
-            for k, part, rep, fp, node in zip(b["key"].tolist(), b["part"].tolist(), b["rep"].tolist(), b["fp"].to_numpy(np.int64).view(np.uint64).tolist(), b["node"].tolist(), strict=True):
-                if (k, part) != key:
-                    close()
-                    key, members, shared = (k, part), [], []
-                (shared if rep else members).append((fp, node))
-            if len(out) > 200_000:
-                yield frame()
-        close()
-        if out:
-            yield frame()
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first..first+count of each, one after the other; and whose each is."""
+    of = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(of)) - np.repeat(np.cumsum(count) - count - first, count), of
 
-    return run
 
+def _joins(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Joins of a block's texts (by number) that connect what is alike; label: which are joined already.
 
-def _alike(k: int, similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, union = Hashes(), Union()
-        for b in batches:
-            for u, v, a, c in zip(b["doc"].tolist(), b["of"].tolist(), b["text"], b["of_text"], strict=True):
-                if union.find(u) == union.find(v):
-                    continue
-                x, y = np.unique(grams(a, memo, k)), np.unique(grams(c, memo, k))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (len(x) + len(y) - common):
-                    union.join(u, v)
-        if edges := union.edges():
-            yield pd.DataFrame(edges, columns=["u", "v"])
-
-    return run
-
-
-def candidates(texts: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """doc, of: pairs of nodes of texts (node, fp, least) to be verified."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = texts.select("node", "fp", "least", F.posexplode(F.slice("least", 1, HASHES)).alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "j", "node", "fp", "least")
-
-    def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows whose key others have too, in few and in many texts; with n, how many."""
-        counts = rows.groupBy("key").count().where("count > 1").withColumnRenamed("count", "n")
-        known = rows.join(counts, "key")
-        return known.where(F.col("n") <= shard), known.where(F.col("n") > shard)
-
-    few, many = counted(first)
-    many = stored(many, "many", few=True)
-    part = lambda rows, number, rep: rows.select("key", number.cast("long").alias("part"), rep.alias("rep"), "fp", "node")
-    every = part(few, F.lit(0), F.lit(False))
-    if not many.isEmpty():
-        following = F.get("least", (F.col("j") + 1) % HASHES)
-        second = many.select(F.xxhash64("key", "j", following).alias("key"), "node", "fp")
-        few, many = counted(second)
-        dealt = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / shard))
-        chosen = many.where(F.pmod(F.xxhash64("key", "node", F.lit(3)), F.ceil(F.col("n") / REPRESENTATIVES)) == 0)
-        shared = chosen.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / shard) - 1)).alias("number"), "fp", "node")
-        every = every.unionByName(part(few, F.lit(0), F.lit(False))).unionByName(part(many, dealt, F.lit(False))).unionByName(part(shared, F.col("number"), F.lit(True)))
-    found = every.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInPandas(tidy(_nearest(radius, NEAREST)), "doc long, of long")
-    return found.distinct()
-
-
-FPS = ["fp", *(f"fp{i}" for i in range(len(WIDER)))]
-
-
-def _unlinked(radius: int):
-    """All pairs of a block's texts within the radius whose roots differ; with two sides, only pairs across them."""
+    side: if it is given, only texts of two sides are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    first = np.cumsum(size) - size
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    inside = np.arange(len(fp)) if side is None else np.flatnonzero(side == 1)
+    if not len(inside):
+        return []
+    values, where = np.unique(fp[inside], return_inverse=True)
+    tree = Tree(values)
+    members = inside[np.argsort(where, kind="stable")]
+    held = np.bincount(where)
+    begin = np.cumsum(held) - held
+    out = []
+    for i in inside.tolist() if side is None else np.flatnonzero(side == 0).tolist():
+        found, far = tree.near(fp[i], radius)
+        at, of = _ranges(begin[found], held[found])
+        others, far = members[at], far[of]
+        small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        wanted = (label[others] != label[i]) & (small >= similarity * large)
+        if side is None:
+            wanted &= others < i
+        others = others[wanted][np.argsort(far[wanted], kind="stable")]
+        mark[flat[first[i] : first[i] + size[i]]] = True
+        step = 4
+        while len(others):  # the nearest first: mostly the rest is joined then
+            some, others = others[:step], others[step:]
+            at, of = _ranges(first[some], size[some])
+            common = np.bincount(of, weights=mark[flat[at]], minlength=len(some))
+            for j in some[common >= similarity * (size[some] + size[i] - common)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+            others = others[label[others] != label[i]]
+            step = min(256, 4 * step)
+        mark[flat[first[i] : first[i] + size[i]]] = False
+    return out
+
+
+def _linked(radius: int, similarity: float):
+    """u, v: the joins of each block (key, kind, x, y), whose rows come together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, out, size = None, [], [], 0
+        key, held, out = None, [], []
 
         def close() -> None:
-            nonlocal size
-            side, fp, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
-            if key[2] == key[3]:
-                x = y = np.arange(len(node))
-            else:
-                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            for i in range(0, len(x), 256):
-                u = x[i : i + 256, None]
-                near = (np.bitwise_count(fp[u] ^ fp[y]).sum(axis=2, dtype=np.uint16) <= radius) & (root[u] != root[y])
-                a, b = np.nonzero(near & (node[u] > node[y]) if x is y else near)
-                m, n = node[x[i + a]], node[y[b]]
-                out.append(np.stack([np.maximum(m, n), np.minimum(m, n)], axis=1))
-                size += len(a)
+            side, fp, node, root = (np.concatenate([h[i] for h in held]) for i in range(4))
+            if (root == root[0]).all():
+                return
+            sets = [np.frombuffer(x, "<u4") for h in held for x in h[4]]
+            made = _joins(fp, sets, np.unique(root, return_inverse=True)[1], side if key[2] != key[3] else None, radius, similarity)
+            out.extend((max(a, b), min(a, b)) for a, b in ((int(node[i]), int(node[j])) for i, j in made))
 
         def frame() -> pd.DataFrame:
-            nonlocal size
-            done = pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["doc", "of"])
+            done = pd.DataFrame(sorted(set(out)), columns=["u", "v"])
             out.clear()
-            size = 0
             return done
 
         for b in batches:
             names = [b[c].to_numpy() for c in ("key", "kind", "x", "y")]
-            rows = [b["side"].to_numpy(), np.stack([b[c].to_numpy(np.int64) for c in FPS], axis=1).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy()]
+            rows = [b["side"].to_numpy(), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(), b["root"].to_numpy(), b["grams"].tolist()]
             starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in names], axis=0)]).tolist() if len(b) else []
             for i, j in zip(starts, [*starts[1:], len(b)], strict=True):
                 if (at := tuple(int(c[i]) for c in names)) != key:
                     if held:
                         close()
+                        if len(out) > 100_000:
+                            yield frame()
                     key, held = at, []
-                    if size > 200_000:
-                        yield frame()
                 held.append([c[i:j] for c in rows])
         if held:
             close()
@@ -222,8 +189,8 @@ def _unlinked(radius: int):
 def _blocks(rows: DataFrame, shard: int) -> DataFrame:
     """key, kind, x, y, side, node, root: rows (key, n, major, most, node, root) dealt so that every two whose roots differ meet.
 
-    Of n texts, most have the root major. The others are dealt to parts, and every two parts meet (kind 0); the parts of
-    those of the major root, which needn't meet one another, meet every part of the others (kind 1).
+    Of n shingles, most are of texts with the root major. The others are dealt to parts, and every two parts meet (kind
+    0); the parts of those of the major root, which needn't meet one another, meet every part of the others (kind 1).
     """
     minor = F.ceil((F.col("n") - F.col("most")) / shard).cast("long")
     major = F.ceil(F.col("most") / shard).cast("long")
@@ -237,45 +204,45 @@ def _blocks(rows: DataFrame, shard: int) -> DataFrame:
     return known.select("key", "node", "root", F.explode(F.when(F.col("big"), many).otherwise(F.concat(own, few))).alias("b")).select("key", "b.*", "node", "root")
 
 
-def remaining(texts: DataFrame, shard: int | None = None) -> DataFrame:
-    """doc, of: all pairs of a shard that are near enough to be verified and whose roots differ; texts: node, fp, wide, least, root."""
-    parts, shard = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), shard or SHARD
-
-    def unlinked(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the keys that more than one root has, in few and in many texts."""
-        of = keyed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("m"))
-        of = of.select("key", "n", F.col("m.root").alias("major"), F.col("m.count").alias("most")).where("n > most")
-        rows = stored(keyed.join(of, "key"), "unlinked", few=True)
-        return rows.where(F.col("n") <= shard), rows.where(F.col("n") > shard)
-
-    whole = lambda rows: rows.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "node", "root")
-    hashes = texts.select("node", "root", F.posexplode(F.slice("least", 1, HASHES)).alias("j", "h"))
-    few, many = unlinked(hashes.select(F.xxhash64("j", "h").alias("key"), "node", "root"))
-    every = whole(few)
-    if not many.isEmpty():
-        further = texts.select("node", F.posexplode(F.slice("least", HASHES + 1, HASHES)).alias("j", "h"))
-        few, many = unlinked(many.select("key", "node", "root").join(further, "node").select(F.xxhash64("key", "j", "h").alias("key"), "node", "root"))
-        every = every.unionByName(whole(few)).unionByName(_blocks(many, shard))
-    bits = texts.select("node", "fp", *[F.get("wide", F.lit(i)).alias(c) for i, c in enumerate(FPS[1:])])
-    rows = every.join(bits, "node").repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
-    return rows.mapInPandas(tidy(_unlinked(WIDE_RADIUS)), "doc long, of long").distinct()
+def links(texts: DataFrame, described: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """node, component of every text that is alike to another; texts: node, least, n (a row for each text); described: node, fp, grams."""
+    shard, parts = shard or SHARD, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = lambda x: F.lit(x).cast("long")
+
+    hashes = texts.select("node", "n", F.posexplode(F.slice("least", 1, HASHES)).alias("j", "h")).select(F.xxhash64("j", "h").alias("key"), "node", "n")
+    shared = hashes.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("all")).where("texts > 1").drop("texts")
+    known = stored(hashes.join(shared, "key"), "known", few=True)
+    ids = known.select(F.col("node").alias("key")).distinct()
+    sets = split(described.select("node", "fp", "grams"), ids, "node")[0].groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
+
+    def joined(blocks: DataFrame) -> DataFrame:
+        rows = blocks.join(sets, "node").repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y", "node")
+        return rows.select("key", "kind", "x", "y", "side", "node", "root", "fp", "grams").mapInPandas(tidy(_linked(radius, similarity)), "u long, v long")
+
+    dealt = F.when(F.col("all") > shard, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("all") / shard).cast("long"))).otherwise(long(0))
+    of = components(joined(known.select("key", F.lit(0).alias("kind"), dealt.alias("x"), dealt.alias("y"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))))
+    hot = known.where(F.col("all") > shard).select("key", "node")
+    if hot.isEmpty():
+        return of
+    further = texts.select(F.col("node").alias("t"), "n", F.posexplode(F.slice("least", HASHES + 1, HASHES)).alias("j", "h"))
+    again = hot.join(further, F.col("node") == F.col("t")).select(F.xxhash64("key", "j", "h").alias("key"), "node", "n")
+    roots = of.withColumnsRenamed({"node": "t", "component": "root"})
+    again = again.join(roots, F.col("node") == F.col("t"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = again.groupBy("key", "root").agg(F.sum("n").alias("s")).groupBy("key").agg(F.sum("s").alias("all"), F.max(F.struct("s", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = stored(again.join(sizes.select("key", F.col("all"), F.col("m.root").alias("major"), F.col("m.s").alias("most")), "key").drop("n").withColumnRenamed("all", "n"), "open", few=True)
+    whole = open_.where(F.col("n") <= shard).select("key", F.lit(0).alias("kind"), long(0).alias("x"), long(0).alias("y"), F.lit(0).alias("side"), "node", "root")
+    more = stored(joined(whole.unionByName(_blocks(open_.where(F.col("n") > shard), shard))), "more", few=True)
+    return of if more.isEmpty() else components(more.unionByName(of.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node (a hash of id and text), doc_id, group_id, kept: every distinct row of docs; groups of copies and near copies keep one."""
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, wide array<long>, least array<long>"), "copies")
-    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("least").alias("least")), "texts", few=True)
-    pairs = stored(candidates(texts.select("node", "fp", "least")), "pairs", few=True)
-    verified = lambda found: with_texts(found, docs.select(node.alias("doc_id"), "text")).mapInPandas(tidy(_alike(k, similarity)), "u long, v long")
-    linked = components(verified(pairs)).withColumnsRenamed({"node": "n"})
-    rooted = texts.join(linked, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("component", "node")).drop("n", "component")
-    rest = stored(remaining(rooted).join(pairs, ["doc", "of"], "left_anti"), "rest", few=True)
-    if not rest.isEmpty():
-        more = verified(rest).unionByName(linked.select(F.col("n").alias("u"), F.col("component").alias("v")))
-        rooted = texts.join(components(more).withColumnsRenamed({"node": "n"}), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("component", "node"))
-    rooted = rooted.select("d1", "d2", "first", "root")
+    described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>, n long, grams binary"), "copies")
+    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("least").alias("least"), F.first("n").alias("n")), "texts", few=True)
+    of = links(texts, described, similarity).withColumnRenamed("node", "t")
+    rooted = texts.join(of, F.col("node") == F.col("t"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
     joined = described.select("node", "doc_id", "d1", "d2").distinct().join(of, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, release, stored, table, tidy
 
-POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 50_000
+POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 100_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 64, 5
 STRETCH = 32
 
@@ -69,18 +69,32 @@ class Memo(dict):
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         super().__init__()
-        self.lexicon, self.of = lexicon, np.zeros((1024, 10))
+        self.of = np.zeros((1024, 10))
+        self.whole, self.heads, self.tails = ({u[cut]: x for u, x in lexicon.items() if kind(u)} for cut, kind in ((slice(1, None), lambda u: u[0] == "="), (slice(-1), lambda u: u[0] != "=" and u[-1] == "-" and u[0] != "-"), (slice(1, None), lambda u: u[0] == "-")))
+
+    def weight(self, word: str) -> float:
+        """The greatest of the word's units in the lexicon; none is 0."""
+        best, n = self.whole.get(word, 0.0), len(word)
+        for k in (4, 5, 6):
+            if n <= k:
+                break
+            best = max(best, self.heads.get(word[:k], 0.0), self.tails.get(word[-k:], 0.0))
+        return best
 
     def __missing__(self, token: str) -> int:
-        word = plain(token)
-        weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0)
-        letters = sum(map(str.isalpha, token))
-        core = EDGE.sub("", token)
-        odd = bool(letters and core and not core.isalpha() and not core.replace("'", "").replace("-", "").replace("’", "").isalpha())
         n = len(self)
         if n == len(self.of):
             self.of = np.concatenate([self.of, np.zeros_like(self.of)])
-        self.of[n] = (weight, word in ADDRESS, letters > 1 and token.isupper(), sum(map(str.isupper, token)), token.count("!") + token.count("?"), sum(map(token.count, "$#@*%&")), odd, sum(map(str.isdigit, token)), bool(RUN.search(word)), len(token))
+        row, word = self.of[n], token[:-1] if token[-1] in ".,;:" else token
+        if word.isalpha() and word.islower():  # most tokens: nothing else to see
+            row[:] = 0
+        else:
+            word = plain(token)
+            letters = sum(map(str.isalpha, token))
+            core = EDGE.sub("", token)
+            odd = bool(letters and core and not core.isalpha() and not core.replace("'", "").replace("-", "").replace("’", "").isalpha())
+            row[2:8] = (letters > 1 and token.isupper(), sum(map(str.isupper, token)), token.count("!") + token.count("?"), sum(map(token.count, "$#@*%&")), odd, sum(map(str.isdigit, token)))
+        row[0], row[1], row[8], row[9] = self.weight(word), word in ADDRESS, RUN.search(word) is not None, len(token)
         self[token] = n
         return n
 
