@@ -86,3 +86,48 @@ def test_trees_learn():
 
 def test_plain():
     assert X.plain("M0r0n!!!") == "moron" and X.plain("'idi.ot'") == "idiot" and X.plain("123") == "123" and X.plain("###") == ""
+
+
+def slow_features(text, lexicon):
+    """The features of one text, one token after the other."""
+    tokens = (text or "").split()
+    n = len(tokens)
+    if not n:
+        return [0.0] * len(X.FEATURES)
+    words = [X.plain(t) for t in tokens]
+    weight = [max([lexicon.get(u, 0.0) for u in X.units(w)], default=0.0) for w in words]
+    hits = [i for i in range(n) if weight[i] > 0]
+    strong = [i for i in hits if weight[i] >= 3]
+    address = [i for i in range(n) if words[i] in X.ADDRESS]
+    near = sum(any(abs(i - j) <= 5 for j in address) for i in hits) / n
+    chars = sum(map(len, tokens))
+    letters = [sum(c.isalpha() for c in t) for t in tokens]
+
+    def odd(t):
+        core = X.EDGE.sub("", t)
+        return bool(any(c.isalpha() for c in t) and core and not core.isalpha() and not "".join(c for c in core if c not in "'-’").isalpha())
+
+    return [
+        len(strong) / n, (len(hits) - len(strong)) / n, sum(weight) / n, max(sum(weight[i : i + X.STRETCH]) for i in range(max(1, n - X.STRETCH + 1))), len({tokens[i] for i in strong}), near, len(address) / n,
+        sum(k > 1 and t.isupper() for k, t in zip(letters, tokens)) / n, sum(c.isupper() for c in text) / chars, sum(c in "!?" for c in text) / chars, sum(c in "$#@*%&" for c in text) / chars,
+        sum(map(odd, tokens)) / n, sum(c.isdigit() for c in text) / chars, sum(bool(X.RUN.search(w)) for w in words) / n, np.log1p(n),
+    ]
+
+
+def test_features_one_by_one(spark, sf_dir):
+    """The batch of features against a plain reading, on built texts and the small table's."""
+    lexicon = {"=idiot": 4.0, "scum-": 3.5, "-oron": 2.0, "trot-": 1.6, "-rottel": 3.0}
+    texts = ["You IDIOT!! scumbag, m0r0n $$ trottel.", "", None, "plain words; nothing, else. here:", "du Tro.ttel aaaargh it's co-op 12,5", " ".join(["you", "idiot"] * 60), "x. ,", "scumbags " * 3 + "ok " * 100]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150).collect()]
+    got = X.features(texts, X.Memo(lexicon))
+    assert np.allclose(got, np.array([slow_features(t, lexicon) for t in texts]), atol=1e-9)
+
+
+def test_parts_are_judged_by_others(spark):
+    """A lexicon without a part holds no word that only this part's texts have; few rows take the same way as many."""
+    docs, labels = corpus(spark, 90)
+    model = X.classifier(docs, labels)
+    assert model is not None and model.lexicon
+    sample = spark.createDataFrame([(f"bad word{'xyz'[p]} " + " ".join(f"n{i}" for i in range(5)), 1, p) for p in range(3) for _ in range(8)] + [("fine words here", 0, p) for p in range(3) for _ in range(400)], "text string, toxic int, part int")
+    made = X.lexicons(sample)
+    assert all(f"=word{'xyz'[p]}" not in made[p] and f"=word{'xyz'[p]}" in made[3] and "=bad" in made[p] for p in range(3))

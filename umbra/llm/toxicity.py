@@ -3,12 +3,15 @@
 The lexicon is learned: words, and beginnings and ends of words, that labelled toxic texts hold far oftener than clean
 ones. Features of a text: how dense its strong and its weak hits are (over all words, and in the densest stretch), how
 many hits stand near a word of address, and its rates of capitals, punctuation and obfuscation. Labels teach on a sample
-of at most POSITIVES and NEGATIVES rows (those of lowest id hash), parted by hash: one part gives the lexicon, one the
-trees, one the calibration. Every text is scored whole. Id, language, source and labels are inputs of no score.
+of at most POSITIVES and NEGATIVES rows (those of lowest id hash), cross-fitted over PARTS parts by hash at every size: a
+part's features come from the lexicon of the other parts, and its margins, which teach the calibration, from trees of the
+other parts; the lexicon and the trees that judge are of all parts. Every text is scored whole. Id, language, source and
+labels are inputs of no score.
 
 Defined cases: null and empty texts have no words and all-zero features; null labels and ids teach nothing; of a label
-given twice the toxic one counts; without labels of both kinds every score is 0.0; equal texts have equal scores; the
-words of a very long text are read in blocks, so memory follows the longest text only.
+given twice the toxic one counts; rows of one id all teach; without labels of both kinds, or without documents or labels,
+every score is 0.0 (an empty table has none); equal texts have equal scores; a very long text is scored whole, its memory
+eight bytes a word; other columns, whatever their names but score and predicted, are kept and matter to nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import fold, release, stored, table, tidy
 
 POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 100_000
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 64, 5
+TREES, DEPTH, RATE, BINS, LEAST_LEAF, PARTS = 80, 3, 0.15, 64, 5, 3
 STRETCH = 32
 
 #: Words of address in the corpus' languages.
@@ -128,9 +131,9 @@ def features(texts: list[str | None], memo: Memo) -> np.ndarray:
 
 
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    toxic, clean, known = Counter(), Counter(), {}
+    counts, known = Counter(), {}
     for b in batches:
-        for text, label in zip(b["text"], b["toxic"], strict=True):
+        for text, label, part in zip(b["text"], b["toxic"].tolist(), b["part"].tolist(), strict=True):
             found: set[str] = set()
             for token in set((text or "").split()):
                 if token not in known:
@@ -138,24 +141,32 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         known.clear()
                     known[token] = units(plain(token))
                 found.update(known[token])
-            (toxic if label else clean).update(found)
-    names = list(toxic.keys() | clean.keys())
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pd.DataFrame({"unit": part, "t": [toxic[u] for u in part], "c": [clean[u] for u in part]})
-
-
-def lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Log-odds of units that hold in toxic texts (text, toxic) beyond doubt; the `size` surest."""
-    n = sample.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    if not n.t or not n.c:
-        return {}
-    rows = sample.select("text", "toxic").mapInPandas(tidy(_unit_counts), "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    t, c = (F.col("t") + 0.5) / (n.t + 1.0), (F.col("c") + 0.5) / (n.c + 1.0)
-    odds = F.log(t / (1 - t)) - F.log(c / (1 - c))
-    sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = rows.where("t >= 4").withColumns({"odds": odds, "sure": sure}).where((F.col("odds") > 1.5) & (F.col("sure") > 3.5)).orderBy(F.desc("sure"), "unit").limit(size).collect()
-    return {r.unit: float(r.odds) for r in best}
+            counts.update([(u, part, label) for u in found])
+    rows = list(counts.items())
+    for i in range(0, len(rows), 50_000):
+        some = rows[i : i + 50_000]
+        yield pd.DataFrame({"unit": [k[0] for k, _ in some], "part": [k[1] for k, _ in some], "t": [n * k[2] for k, n in some], "c": [n * (1 - k[2]) for k, n in some]})
+
+
+def lexicons(sample: DataFrame, parts: int = PARTS, size: int = LEXICON) -> list[dict[str, float]]:
+    """Log-odds of units that hold in toxic texts (text, toxic, part) beyond doubt, the `size` surest: without each part, then of all."""
+    texts = {r.part: (r.t, r.c) for r in sample.groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()}
+    sums = [F.sum(F.when(F.col("part") == p, F.col(k)).otherwise(0)).alias(f"{k}{p}") for p in range(parts) for k in "tc"]
+    rows = stored(sample.select("text", "toxic", "part").mapInPandas(tidy(_unit_counts), "unit string, part int, t long, c long").groupBy("unit").agg(*sums).where(" + ".join(f"t{p}" for p in range(parts)) + " >= 4"), "units", few=True)
+    out = []
+    for without in [*range(parts), None]:
+        of = [p for p in range(parts) if p != without]
+        toxic, clean = (sum(texts.get(p, (0, 0))[i] for p in of) for i in (0, 1))
+        if not toxic or not clean:
+            out.append({})
+            continue
+        t, c = (sum((F.col(f"{k}{p}") for p in of), F.lit(0)) for k in "tc")
+        x, y = (t + 0.5) / (toxic + 1.0), (c + 0.5) / (clean + 1.0)
+        odds = F.log(x / (1 - x)) - F.log(y / (1 - y))
+        sure = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        best = rows.select("unit", t.alias("t"), odds.alias("odds"), sure.alias("sure")).where((F.col("t") >= 4) & (F.col("odds") > 1.5) & (F.col("sure") > 3.5)).orderBy(F.desc("sure"), "unit").limit(size).collect()
+        out.append({r.unit: float(r.odds) for r in best})
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -226,40 +237,42 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
-    """text, toxic (0 or 1), part (0 to 9) of the sample: positives and negatives rows of labels at most, so that it is broadcast."""
+    """text, toxic (0 or 1), part (0 to 3599) of the sample: positives and negatives rows of labels at most, so that it is broadcast."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     by = (F.xxhash64("labelled_id"), "labelled_id")
     chosen = known.where("label = 1").orderBy(*by).limit(positives).unionByName(known.where("label = 0").orderBy(*by).limit(negatives))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    return joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(10)).cast("int").alias("part"))
+    return joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
+
 
+def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifier | None:
+    """Cross-fitted: features of a part come from the lexicon of the others, its margins for the calibration from trees of the others.
 
-def train(sample: DataFrame, rate: float = 1.0) -> Classifier | None:
-    """rate: how many clean rows each clean row of the sample stands for, against the toxic ones."""
-    sample = stored(sample, "labelled")
+    rate: how many clean rows each clean row of the sample stands for, against the toxic ones.
+    """
+    sample = stored(sample.withColumn("part", F.col("part") % parts), "labelled")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    few = n[1] < 300  # too few to part: each part is the whole sample
-    a, b, c = (sample,) * 3 if few else (sample.where("part < 4"), sample.where("part BETWEEN 4 AND 7"), sample.where("part > 7"))
-    words = lexicon(a)
+    words = lexicons(sample, parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(words)
+        memos = [Memo(words[p]) for p in range(parts)]
         for batch in batches:
-            yield pd.DataFrame({"x": list(features(batch["text"].tolist(), memo)), "toxic": batch["toxic"]})
-
-    def fetched(part: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = part.mapInPandas(tidy(run), "x array<double>, toxic int").collect()  # the sample's bound
-        x, y = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], dtype=np.float64)
-        order = np.lexsort((*x.T, y))
-        x, y = x[order], y[order]
-        return x, y, np.where(y > 0, 1.0, rate)
-
-    x, y, w = fetched(b)
-    edges, trees, prior = boost(x, y, w)
-    x, y, w = (x, y, w) if few else fetched(c)
-    return Classifier(words, edges, trees, prior, isotonic(margins(x, edges, trees, prior), y, w))
+            for part, rows in batch.groupby("part"):
+                yield pd.DataFrame({"x": list(features(rows["text"].tolist(), memos[part])), "toxic": rows["toxic"], "part": rows["part"]})
+
+    rows = sample.mapInPandas(tidy(run), "x array<double>, toxic int, part int").collect()  # the sample's bound
+    x, y, part = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], dtype=np.float64), np.array([r.part for r in rows])
+    order = np.lexsort((*x.T, y, part))
+    x, y, part = x[order], y[order], part[order]
+    w = np.where(y > 0, 1.0, rate)
+    margin = np.zeros(len(y))
+    for p in range(parts):
+        own = part == p
+        if own.any():
+            margin[own] = margins(x[own], *boost(x[~own], y[~own], w[~own])) if (~own).any() else 0.0
+    return Classifier(words[-1], *boost(x, y, w), isotonic(margin, y, w))
 
 
 def judged(docs: DataFrame, model: Classifier | None, threshold: float = 0.5) -> DataFrame:
