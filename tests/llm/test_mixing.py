@@ -48,3 +48,11 @@ def test_odd_rows(odd, none):
     assert M.mix(odd).columns == odd.columns and M.mix(none).count() == 0
     empty = M.sized(odd.where("text IS NULL OR text = ''"))
     assert all(r.copies == 0 for r in M.taken(empty, M.plan(empty)).collect())
+
+
+def test_many_sources(made):
+    """Thousands of sources cost the driver a row each; each comes as near to its target as one document's words."""
+    docs = made([(i, "w " * (i % 13 + 1), f"s{i % 3000:04d}") for i in range(12_000)])
+    rows = M.sized(docs)
+    got = M.taken(rows, M.plan(rows)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.first("target").alias("t")).collect()
+    assert len(got) == 3000 and all(abs(r.n - r.t) <= 13 for r in got)

@@ -6,21 +6,23 @@ which the rest is used up; only that bucket is summed again by its next bits, un
 taken if that comes nearer to the target. No document is sorted, and the same table gives the same mix every time.
 
 Defined cases: null text has no words; a null source is a source of its own, last in order; a document without words
-counts as taken q times (and is kept in the mix as often as its source's); equal rows share their fate; an empty table
-gives an empty mix.
+counts as taken q times (and is kept in the mix as often as its source's); equal rows share their fate, and documents of
+one hash are taken together or not at all; a source of no words, or one at its cap, has no boundary; a very long text is
+one document, so its source may miss the target by half of it; other columns are kept, whatever their names; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, small, stored, table
 
 HASH_BITS, LEVEL_BITS = 60, 10
-#: The table of sources is kept on the driver; more than these is an error, not a cut.
+#: The table of sources, a row each, is kept on the driver and broadcast; more than these is an error, not a cut.
 MOST_SOURCES = 100_000
 
 
@@ -57,27 +59,27 @@ def plan(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     sizes = sorted(((r.source, r.n) for r in sizes), key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([n for _, n in sizes], weights, share, repeats)
     whole = [int(t // n) if n else 0 for t, (_, n) in zip(wanted, sizes, strict=True)]
-    rest = {s: [t - q * n, 0] for (s, n), t, q in zip(sizes, wanted, whole, strict=True)}  # still to take; the prefix of the boundary bucket
-    below: dict[str | None, int] = {}
-    shift = HASH_BITS
+    rest = {s: (t - q * n, 0) for (s, n), t, q in zip(sizes, wanted, whole, strict=True)}  # still to take; the prefix of the boundary bucket
+    below: dict[str | None, int] = {s: 0 for s, (left, _) in rest.items() if left <= 0}
+    shift, upto = HASH_BITS, Window.partitionBy("s").orderBy("bucket")
     while len(below) < len(sizes):
         shift -= LEVEL_BITS
-        open_ = small(spark, [(s, p) for s, (_, p) in rest.items() if s not in below], "s string, prefix long")
+        open_ = small(spark, [(s, p, float(left)) for s, (left, p) in rest.items() if s not in below], "s string, prefix long, left double")
         at = F.shiftright("hash", shift)
         part = rows.where("size > 0").join(F.broadcast(open_), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix")))
-        sums = part.groupBy("s", at.alias("bucket")).agg(F.sum("size").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")).collect()
+        sums = part.groupBy("s", "left", at.alias("bucket")).agg(F.sum("size").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        # the one bucket of a source in which its rest is used up
+        found = {r.s: r for r in sums.withColumn("upto", F.sum("n").over(upto)).where("upto > left AND upto - n <= left").select("s", "bucket", "n", "low", "high", "upto").collect()}
         for s in [s for s in rest if s not in below]:
-            left, _ = rest[s]
-            for r in sorted((r for r in sums if r.s == s), key=lambda r: r.bucket):
-                if r.n > left:
-                    if r.low == r.high:
-                        below[s] = r.low + (r.n - left < left)
-                    else:
-                        rest[s] = [left, r.bucket]
-                    break
-                left -= r.n
+            left, r = rest[s][0], found.get(s)
+            if r is None:  # by rounding only: all of it is less than the rest
+                below[s] = 1 << HASH_BITS
+                continue
+            left -= r.upto - r.n
+            if r.low == r.high:
+                below[s] = r.low + (r.n - left < left)
             else:
-                below[s] = 1 << HASH_BITS if sums and any(r.s == s for r in sums) else 0
+                rest[s] = (left, r.bucket)
     return small(spark, [(s, n, float(t), q, below[s]) for (s, n), t, q in zip(sizes, wanted, whole, strict=True)], "source string, source_size long, target double, whole long, below long")
 
 
@@ -94,7 +96,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
-    rows = docs.select(F.struct(*names).alias("row"), "source", F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "source", F.conv(F.substring(key, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"))
     return taken(rows, of).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
