@@ -16,6 +16,7 @@ eight bytes a word; other columns, whatever their names but score and predicted,
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -153,6 +154,8 @@ def lexicons(sample: DataFrame, parts: int = PARTS, size: int = LEXICON) -> list
     texts = {r.part: (r.t, r.c) for r in sample.groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()}
     sums = [F.sum(F.when(F.col("part") == p, F.col(k)).otherwise(0)).alias(f"{k}{p}") for p in range(parts) for k in "tc"]
     rows = stored(sample.select("text", "toxic", "part").mapInPandas(tidy(_unit_counts), "unit string, part int, t long, c long").groupBy("unit").agg(*sums).where(" + ".join(f"t{p}" for p in range(parts)) + " >= 4"), "units", few=True)
+    # so many are tried that chance alone gives some beyond a fixed bound: the bound follows their number
+    bound = max(3.5, math.sqrt(2 * math.log(max(1, rows.count()))))
     out = []
     for without in [*range(parts), None]:
         of = [p for p in range(parts) if p != without]
@@ -164,7 +167,7 @@ def lexicons(sample: DataFrame, parts: int = PARTS, size: int = LEXICON) -> list
         x, y = (t + 0.5) / (toxic + 1.0), (c + 0.5) / (clean + 1.0)
         odds = F.log(x / (1 - x)) - F.log(y / (1 - y))
         sure = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        best = rows.select("unit", t.alias("t"), odds.alias("odds"), sure.alias("sure")).where((F.col("t") >= 4) & (F.col("odds") > 1.5) & (F.col("sure") > 3.5)).orderBy(F.desc("sure"), "unit").limit(size).collect()
+        best = rows.select("unit", t.alias("t"), odds.alias("odds"), sure.alias("sure")).where((F.col("t") >= 4) & (F.col("odds") > 1.5) & (F.col("sure") > bound)).orderBy(F.desc("sure"), "unit").limit(size).collect()
         out.append({r.unit: float(r.odds) for r in best})
     return out
 
@@ -242,7 +245,11 @@ def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, neg
     by = (F.xxhash64("labelled_id"), "labelled_id")
     chosen = known.where("label = 1").orderBy(*by).limit(positives).unionByName(known.where("label = 0").orderBy(*by).limit(negatives))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    return joined.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
+    # of copies and near copies one teaches: those with one least hash of five words in a row
+    words = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
+    copy = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 4)), lambda i: F.xxhash64(F.slice("words", i, 5))))
+    first = joined.withColumn("words", words).withColumn("copy", copy).drop("words").groupBy("copy", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    return first.select("label", "r.doc_id", "r.text").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
 
 
 def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifier | None:
