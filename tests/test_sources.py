@@ -3,10 +3,13 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from umbra.operators import answers as N
 from umbra.operators import findings as G
-from umbra.operators import text as T
-from umbra.operators.locks import lock_facts
+from umbra.operators import jobs as J
+from umbra.operators import protection as P
+from umbra.operators.locks import lock_facts, on_cycles
 from umbra.sources import readers as S
+from umbra.streaming.jobs import appended_lines
 
 
 def test_source_tree(spark, tmp_path):
@@ -50,18 +53,107 @@ def test_capped(spark):
     assert out.count() == 1000 and out.agg(F.max("ordinal")).first()[0] == 999
 
 
-def test_read_files():
-    assert T.read_files('{"code": "x"}') == {"<file>": "x\n"}
-    assert T.read_files("**File: a.py**\n```py\n1\n```\n**File: a.py**\n```\n2\n```") == {"a.py": "2\n"}
-    assert T.read_files("File: a.py\n```\n1\n```\nFile: a.py\n```\n2\n```") == {"a.py": "1\n"}
-    assert T.read_files("import os\r\nx") == {"<file>": "import os\nx\n"}
-    assert T.read_files("nothing here") == {} == T.read_files(None)
-    assert T.read_json('so: {"a": [1, 2]} and {b}') == {"a": [1, 2]}
-    assert T.read_json("```json\n{\"a\": 1}\n```") == {"a": 1}
-    assert T.read_json("{broken") is None
+ANSWERS = [
+    ('{"code": "x"}', {"<file>": "x\n"}),
+    ('{"code": 5}', {"<file>": '{"code": 5}\n'}),  # no string, but a brace
+    ('{"files": {" a.py ": "1", "b.py": "2\\n"}}', {"a.py": "1\n", "b.py": "2\n"}),
+    ('{"files": {}}', {}),
+    ('so: [1] and {"files": {"a.py": "1"}}', {"<file>": 'so: [1] and {"files": {"a.py": "1"}}\n'}),  # a list comes first
+    ('so:\n```json\n{"files": {"a.py": "1"}}\n```', {"a.py": "1\n"}),
+    ('so {"files": {"a.py": "{"}} or', {"a.py": "{\n"}),
+    ("**File: a.py**\n```py\n1\n```\n**File: a.py**\n```\n2\n```", {"a.py": "2\n"}),
+    ("**File: a.py**\n```py\n1\n```\ntext\n**File: d/b.js**\n\n```\n2\n\n3\n```", {"a.py": "1\n", "d/b.js": "2\n\n3\n"}),
+    ("File: a.py\n```\n1\n```\nFile: a.py\n```\n2\n```", {"a.py": "1\n"}),
+    ("see src/x.go here\n```go\nf\n```\n" + "z" * 250 + "\n```\ng\n```", {"src/x.go": "f\n", "<file_1>": "g\n"}),
+    ("file:  q.md \nand\n```\nf\n```", {"q.md": "f\n"}),
+    ("```\n\n```", {"<file_0>": "\n"}),
+    ("import os\r\nx", {"<file>": "import os\nx\n"}),
+    ("nothing here", {}),
+    (" \n", {}),
+    (None, {}),
+    ("{broken", {"<file>": "{broken\n"}),
+]
+
+
+def test_parsed_files(spark):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(ANSWERS)], "i int, a string").select("i", N.parsed_files(F.col("a")).alias("f"))
+    got = {r.i: r.f for r in rows.collect()}
+    wrong = {ANSWERS[i][0]: (got[i], want) for i, (_, want) in enumerate(ANSWERS) if got[i] != want}
+    assert not wrong
+    assert "Python" not in rows._jdf.queryExecution().toString()
+
+
+def test_found_json(spark):
+    cases = [('so: {"a": [1, 2]} and {b}', '{"a": [1, 2]}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ("{broken", None), ("[1, {2]", "[1, {2]"), ("x } { y", None), (" 7 ", " 7 "), ("null", None), (None, None), ("", None)]
+    got = [r.j for r in spark.createDataFrame(cases, "t string, w string").select(N.found_json(F.col("t")).alias("j")).collect()]
+    assert got == [w if t != "[1, {2]" else None for t, w in cases]
+
+
+def test_first_errors(spark):
+    rows = spark.createDataFrame([("p", 3, "error", "b"), ("p", 2, "warning", "w"), ("p", 4, "error", "a"), ("q", 1, "info", "i")], "path string, ordinal long, severity string, message string")
+    assert [tuple(r) for r in N.first_errors(rows, "path").collect()] == [("p", "b")]
 
 
 def test_lock_facts():
     got = lock_facts("A = Lock()\ndef f():\n    with A, B:\n        C.acquire()")
-    assert [x[:1] + x[4:] for x in got] == [("def", "A"), ("acquire", "A"), ("acquire", "B"), ("with", "A"), ("with", "B"), ("acquire", "C")]
+    assert [x[:1] + x[4:] for x in got] == [("def", "A"), ("acquire", "A"), ("acquire", "B"), ("acquire", "C"), ("with", "A"), ("with", "B")]
+    twice = lock_facts("def f():\n    with x.acquire(), y.timed(1):\n        pass\ndef f():\n    def g():\n        z.acquire()\nq.acquire()")
+    assert [(k, fn, n, lock) for k, fn, n, _, lock in twice] == [("acquire", "f", 0, "x"), ("acquire", "f", 0, "y"), ("acquire", "f", 0, "x"), ("with", "f", 1, "x"), ("with", "f", 1, "y"), ("acquire", "f", 1, "z"), ("acquire", "g", 0, "z")]
     assert lock_facts("def (") == [] == lock_facts(None)
+
+
+def test_long_ways(spark):
+    """A ring and a chain of hundreds of locks."""
+    edges = [(f"r{i}", f"r{(i + 1) % 300}") for i in range(300)] + [(f"c{i}", f"c{i + 1}") for i in range(300)] + [("r0", "c0"), ("s", "s"), (None, "x")]
+    got = {r.node for r in on_cycles(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"r{i}" for i in range(300)} | {"s"}
+    assert on_cycles(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_validated_path(spark, tmp_path):
+    reports, whole = G.validated_path(spark, str(tmp_path / "nowhere"))
+    assert reports is None and whole.first().error.startswith("Path not found: ")
+    (tmp_path / "a.py").write_text("try:\n    eval(x)\nexcept:\n    pass\n")
+    (tmp_path / "b.py").write_text("def f(:")
+    (tmp_path / "c.js").write_text("let x")
+    reports, whole = G.validated_path(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/")[-1], r.status, r.errors, r.warnings) for r in reports.collect()) == [("a.py", "error", 1, 1), ("b.py", "error", 1, 0), ("c.js", "ok", 0, 0)]
+    assert whole.first().asDict() == {"errors": 2, "warnings": 1, "info": 0, "files_validated": 3, "note": None, "error": None}
+    nothing = G.validated_path(spark, str(tmp_path), ["*.go"])[1].first()
+    assert nothing.files_validated == 0 and nothing.note == "No discoverable files."
+
+
+def test_validated_code(spark):
+    r = G.validated_code(spark, "x = eval('1')", "a.py").first()
+    assert (r.status, r.language, r.findings[0].id) == ("error", "python", "ast:insecure-eval")
+    assert G.validated_code(spark, "popen it").first().findings[0].tool == "heuristic"
+    assert G.validated_code(spark, None).first().status == "ok"
+
+
+def test_tests_of_languages(spark):
+    rows = spark.createDataFrame([("rust",), ("Typescript",), (None,), ("cobol",)], "l string").select(P.placeholder_test(F.col("l")).alias("t"), P.test_command(F.col("l")).alias("c")).collect()
+    assert [r.t.file for r in rows] == ["tests.rs", "test_code.js", "test_code.py", "test_placeholder.txt"]
+    assert rows[2].c.startswith("pytest -q .") and rows[3].c.endswith("exit 2") and all(r.t.content for r in rows)
+
+
+def test_written_back(spark, tmp_path):
+    corpus = spark.createDataFrame([("a.js", "let total = 5"), ("b.py", "def (")], "path string, content string")
+    safe = P.protect(corpus, salt="s")
+    P.saved(safe.select("path", "safe"), safe, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a.js", "let total = 5")]
+    assert str(safe._jdf.queryExecution().optimizedPlan()).count("LogicalRDD") == 1  # the corpus is read once
+
+
+def test_streams_to_sinks(spark, tmp_path):
+    spark.createDataFrame([("[2024-01-02T03:04:05.000006] READ | a.py",)], "value string").write.text(str(tmp_path / "in"))
+    appended_lines(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "log"))
+    assert [r.action for r in S.audit_lines(spark.read.text(str(tmp_path / "log"))).collect()] == ["READ"]
+    job = spark.createDataFrame([("j", "u", None, "fix", "auto", "2024-01-02")], "job_id string, user_id string, ip_address string, task string, provider string, created_at string")
+    for _ in range(2):
+        J.inserted(J.new_jobs(job), str(tmp_path / "jobs"))
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "jobs")).collect()] == ["pending", "pending"]
+
+
+def test_internal(spark):
+    r = spark.range(1).select(G.internal("mypy", F.lit("gone")).alias("f")).first().f
+    assert r.id == "internal:mypy" and r.severity == "error" and r.file is None and r.line is None

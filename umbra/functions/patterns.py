@@ -54,8 +54,17 @@ def fused(patterns: dict[str, str] = PATTERNS) -> str:
     return "(?i)" + "|".join(f"({ungrouped(p)})" for p in patterns.values())
 
 
-def java(pattern: str, ascii_edges: bool = True) -> str:
-    return pattern.replace(r"\b", ASCII_EDGE) if ascii_edges else pattern
+#: Categories that can begin, or end, with another character than a letter, digit or underscore.
+ANY_FIRST, ANY_LAST = {"JWT", "EMAIL", "PHONE_NUMBER"}, {"JWT", "GOOGLE_API_KEY"}
+
+
+def java(name: str, pattern: str) -> str:
+    """A category's pattern with ASCII edges: where it begins or ends with a word character one look is enough."""
+    if pattern.startswith(r"\b") and name not in ANY_FIRST:
+        pattern = r"(?<![A-Za-z0-9_])" + pattern[2:]
+    if pattern.endswith(r"\b") and name not in ANY_LAST:
+        pattern = pattern[:-2] + r"(?![A-Za-z0-9_])"
+    return pattern.replace(r"\b", ASCII_EDGE)
 
 
 def let(value: Column, body) -> Column:

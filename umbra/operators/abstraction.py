@@ -16,15 +16,21 @@ from pyspark.sql import functions as F
 from umbra.functions.patterns import ASCII_EDGE, let, marked, matched, relabelled
 
 #: Words that are part of a language and so hide nothing.
-C_LIKE = (
-    "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with yield let static enum await implements package protected interface private public "
-    "abstract assert boolean byte char double final float goto int long native short synchronized throws transient volatile strictfp "
-    "auto extern register restrict signed sizeof struct typedef union unsigned inline nullptr constexpr decltype "
-    "null true false undefined nil"
-).split()
+# fmt: off
+C_LIKE = [
+    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export",
+    "extends", "finally", "for", "function", "if", "import", "in", "instanceof", "new", "return", "super", "switch",
+    "this", "throw", "try", "typeof", "var", "void", "while", "with", "yield", "let", "static", "enum", "await",
+    "implements", "package", "protected", "interface", "private", "public", "abstract", "assert", "boolean", "byte",
+    "char", "double", "final", "float", "goto", "int", "long", "native", "short", "synchronized", "throws", "transient",
+    "volatile", "strictfp", "auto", "extern", "register", "restrict", "signed", "sizeof", "struct", "typedef", "union",
+    "unsigned", "inline", "nullptr", "constexpr", "decltype", "null", "true", "false", "undefined", "nil",
+]
+# fmt: on
 PYTHON = list(keyword.kwlist)
 NEVER = sorted({*dir(builtins), "self", "cls", "True", "False", "None"})
 
+#: Strings, numbers, comments and identifiers of code; strings in two forms, as possessive quantifiers are Java's only.
 STRING_JAVA = r"(?s)('''.*?'''|\"\"\".*?\"\"\"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|`[^`\\]*+(?:\\.[^`\\]*+)*+`)"
 STRING_SQL = r"(?s)('''.*?'''|\"\"\".*?\"\"\"|'[^'\\]*(?:\\.[^'\\]*)*'|\"[^\"\\]*(?:\\.[^\"\\]*)*\"|`[^`\\]*(?:\\.[^`\\]*)*`)"
 NUMBER = r"(\b-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\b)"
@@ -32,6 +38,10 @@ COMMENT = r"(//[^\n]*|#[^\n]*|/\*(?s:.*?)\*/)"
 IDENTIFIER = r"(<<[^<>]+>>)|(\b[A-Za-z_][A-Za-z0-9_]*\b)"
 
 
+#: Hexadecimal digits of a label.
+DIGITS = 12
+
+
 def skip_words(language: str) -> list[str]:
     own = {"python": PYTHON, "javascript": C_LIKE, "typescript": C_LIKE, "java": C_LIKE}.get(language, [*PYTHON, *C_LIKE])
     return sorted({*own, *NEVER})
@@ -170,10 +180,24 @@ def unmasked(text: Column, placeholders: Column) -> Column:
     return F.aggregate(placeholders, text, lambda t, p: F.replace(t, masked(p), p))
 
 
+#: Line ends, and white space, as Python's splitlines() and rstrip() know them.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+SPACE_AT_END = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+
+
 def restored_lines(text: Column) -> Column:
-    """Lines without white space at their end, nor an end of the last line."""
-    lines = F.transform(F.split(text, "\r\n|\n|\r", -1), lambda x: F.rtrim(x))
-    return F.regexp_replace(F.array_join(lines, "\n"), "\n\\z", "")
+    """Lines without white space at their ends, joined by new lines; a line end at the end of the text goes."""
+    def of(lines: Column) -> Column:
+        whole = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+        return F.array_join(F.transform(whole, lambda x: F.regexp_replace(x, SPACE_AT_END, "")), "\n")
+
+    return F.when(text.isNotNull(), let(F.split(text, LINE_END, -1), of))
+
+
+def restored_code(abstracted: Column, mapping: Column) -> Column:
+    """Code with the originals (mapping: original -> placeholder) for its placeholders, longest first, and its lines trimmed."""
+    pairs = F.transform(F.map_entries(mapping), lambda e: F.struct((-F.length(e["value"])).alias("by"), e["value"].alias("placeholder"), e["key"].alias("value")))
+    return restored_lines(F.aggregate(F.array_sort(pairs), abstracted, lambda t, p: F.replace(t, p["placeholder"], p["value"])))
 
 
 class _Abstractor(ast.NodeTransformer):
@@ -182,11 +206,20 @@ class _Abstractor(ast.NodeTransformer):
     def __init__(self, salt: str, allow: set[str]) -> None:
         self.salt, self.keep = salt, {*dir(builtins), "self", "cls", *allow}
         self.map: dict[str, str] = {}
+        self.used: set[str] = set()
 
     def label(self, original: str, kind: str) -> str:
         if original in self.keep or original.startswith("__MASK_"):
             return original
-        return self.map.setdefault(original, f"<<{kind}_{hashlib.sha256((self.salt + original).encode()).hexdigest()[:12]}>>")
+        if original not in self.map:
+            first = label = f"<<{kind}_{hashlib.sha256((self.salt + original).encode()).hexdigest()[:DIGITS]}>>"
+            n = 0
+            while label in self.used:  # another original has it: _1, _2 and so on
+                n += 1
+                label = f"{first}_{n}"
+            self.used.add(label)
+            self.map[original] = label
+        return self.map[original]
 
     def visit_Name(self, node: ast.Name) -> ast.AST:
         node.id = self.label(node.id, "VAR")
@@ -235,16 +268,19 @@ def abstract_python(code: str, salt: str = "", allow: set[str] = frozenset(), le
     return "\n\n".join([*noise, text]), of.map
 
 
-def python_abstractor(salt: str = "", allow: tuple[str, ...] = (), level: str = "basic"):
-    """An Arrow function code -> struct<abstracted, mapping, error>; what can't be parsed is an error, never a failed task."""
+def python_abstractor(salt: str = "", allow: tuple[str, ...] = (), level: str = "basic", chunks: bool = False):
+    """An Arrow function code -> struct<abstracted, mapping, error>; null has none of them, what can't be parsed an error, and no task fails."""
 
     @F.pandas_udf("struct<abstracted:string,mapping:map<string,string>,error:string>")
     def of(codes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in codes:
             rows = []
             for code in batch:
+                if code is None:
+                    rows.append((None, None, None))
+                    continue
                 try:
-                    rows.append((*abstract_python(code or "", salt, set(allow), level), None))
+                    rows.append((*abstract_python(code, salt, set(allow), level, chunks), None))
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
                     rows.append((None, None, f"Python parse failed: {type(e).__name__}"))
             yield pd.DataFrame(rows, columns=["abstracted", "mapping", "error"])

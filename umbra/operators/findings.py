@@ -7,7 +7,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.patterns import ASCII_EDGE, relabelled
@@ -96,13 +96,19 @@ def parsed_eslint(reports: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def parsed_all(reports: DataFrame, *keys: str, tool: str = "tool", text: str = "stdout") -> DataFrame:
-    """The findings of a table of reports (tool, text), each by its tool's format; unknown tools by the generic one."""
-    known = {t: lambda r, t=t: parsed(r, t, text, *keys) for t in LINES if t != "generic"}
-    known |= {"bandit": lambda r: parsed_bandit(r, text, *keys), "eslint": lambda r: parsed_eslint(r, text, *keys)}
-    out = parsed(reports.where(~F.coalesce(F.col(tool).isin(list(known)), F.lit(False))), "generic", text, *keys)
-    for name, read in known.items():
-        out = out.unionByName(read(reports.where(F.col(tool) == name)))
-    return out
+    """The findings of a table of reports (tool, text), each by its tool's format; unknown tools by the generic one.
+
+    Reports of lines are split once and read in one pass; only those in JSON are branches of their own.
+    """
+    name = F.col(tool)
+    kind = F.when(name.isin([t for t in LINES if t != "generic"]), name).otherwise("generic")
+    rows = reports.where(~F.coalesce(name.isin("bandit", "eslint"), F.lit(False))).select(*keys, kind.alias("_kind"), F.coalesce(text, F.lit("")).alias("_text"))
+    lines = rows.select(*keys, "_kind", F.posexplode(F.split("_text", "\r\n|\n|\r")).alias("ordinal", "raw")).withColumn("raw", F.trim("raw"))
+    fields = F
+    for t in LINES:
+        fields = fields.when((F.col("_kind") == t) & F.col("raw").rlike(LINES[t]), F.struct(*[c.alias(n) for n, c in _finding(t, F.col("raw"), "generic").items()]))
+    found = lines.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), fields.alias("_f")).where("_f IS NOT NULL").select(*keys, "ordinal", "_f.*")
+    return found.unionByName(parsed_bandit(reports.where(name == "bandit"), text, *keys)).unionByName(parsed_eslint(reports.where(name == "eslint"), text, *keys))
 
 
 def file_reports(files: DataFrame, findings: DataFrame, by: str = "path") -> DataFrame:
@@ -154,12 +160,16 @@ def run_status(timed_out: Column, killed: Column, exit_code: Column, language: C
     return F.when(timed_out, "timeout").when(killed | exit_code.isNull(), "sandbox_error").when(exit_code == 0, "success").when(compiled, "compile_error").otherwise("test_failure")
 
 
+#: What is fixed in Python code.
+BARE_EXCEPT, REQUEST, SPELT_INIT = r"(?m)(^\s*)except\s*:\s*$", r"(requests\.(?:get|post)\s*\([^)\n]*\))", r"def\s+_init_\s*\("
+
+
 def fixed_python(code: Column) -> Column:
     """Bare excepts named, timeouts added to requests calls that have none, _init_ spelt out."""
-    named = F.regexp_replace(code, r"(?m)(^\s*)except\s*:\s*$", "$1except Exception as e:")
+    named = F.regexp_replace(code, BARE_EXCEPT, "$1except Exception as e:")
     call = F.regexp_replace
-    timed = relabelled(named, r"(requests\.(?:get|post)\s*\([^)\n]*\))", 1, lambda g: F.when(g[0].contains("timeout="), g[0]).otherwise(call(g[0], r"\)\s*$", ", timeout=10)")))
-    return F.regexp_replace(timed, r"def\s+_init_\s*\(", "def __init__(")
+    timed = relabelled(named, REQUEST, 1, lambda g: F.when(g[0].contains("timeout="), g[0]).otherwise(call(g[0], r"\)\s*$", ", timeout=10)")))
+    return F.regexp_replace(timed, SPELT_INIT, "def __init__(")
 
 
 def _diffs(before: pd.Series, after: pd.Series) -> pd.Series:
@@ -174,26 +184,106 @@ def diff(before: Column, after: Column) -> Column:
     return F.pandas_udf(_diffs, "string")(before, after)
 
 
-def _checked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        out = []
-        for code in batch:
-            try:
-                tree = ast.parse(code or "")
-            except (SyntaxError, ValueError, RecursionError) as e:
-                out.append([("ast:syntax", "error", f"Syntax error: {getattr(e, 'msg', e)}", getattr(e, "lineno", None))])
-                continue
-            rows = []
-            for node in ast.walk(tree):
-                if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in ("eval", "exec"):
-                    rows.append(("ast:dangerous-call", "warning", f"Use of {node.func.id}", node.lineno))
-                elif isinstance(node, ast.ExceptHandler) and node.type is None:
-                    rows.append(("ast:bare-except", "warning", "Bare except", node.lineno))
-            out.append(rows)
-        yield pd.Series(out)
-
-
-def ast_checks(code: Column) -> Column:
-    """Syntax errors, calls of eval and exec and bare excepts of Python code."""
-    kind = "array<struct<id:string,severity:string,message:string,line:int>>"
-    return F.pandas_udf(_checked, kind)(code)
+#: What a finding of the syntax tree says: id, severity, message, suggestion.
+SYNTAX = ("ast:syntax", "error", "SyntaxError: {}", "Fix syntax error.")
+EVAL = ("ast:insecure-eval", "error", "Use of {}() is insecure.", "Avoid eval/exec; validate inputs and avoid dynamic execution.")
+BARE = ("ast:bare-except", "warning", "Bare except detected (catching all exceptions).", "Catch specific exceptions or use `except Exception as e`.")
+#: The same of code in no known language.
+HEURISTIC = ("heuristic:exec", "warning", "Potential use of dangerous execution functions detected.", "Review code for unsafe execution of shell/strings.")
+
+FINDING = "struct<ordinal:long,id:string,tool:string,severity:string,message:string,file:string,line:int,column:int,suggestion:string>"
+
+
+def _tree_findings(code: str | None, file: str | None) -> list[tuple]:
+    out: list[tuple] = []
+
+    def add(kind: tuple, what: str, at: str | None, line: int | None, column: int | None) -> None:
+        out.append((len(out), kind[0], "ast", kind[1], kind[2].format(what), at, line, column, kind[3]))
+
+    try:
+        tree = ast.parse(code or "")
+    except SyntaxError as e:
+        add(SYNTAX, e.msg, e.filename or file, e.lineno, e.offset)
+        return out
+    except (ValueError, RecursionError, MemoryError) as e:  # null bytes, nesting
+        return [(0, "internal:ast", "ast", "error", f"AST analyzer crashed: {e}", None, None, None, None)]
+    for node in ast.walk(tree):
+        match node:
+            case ast.Call(func=ast.Name(id="eval" | "exec" as name)):
+                add(EVAL, name, file, node.lineno, None)
+            case ast.ExceptHandler(type=None):
+                add(BARE, "", file, node.lineno, None)
+    return out
+
+
+def _checked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for codes, files in batches:
+        yield pd.Series([_tree_findings(c, f) for c, f in zip(codes, files, strict=True)], dtype=object)
+
+
+def ast_checks(code: Column, file: Column | None = None) -> Column:
+    """array of findings: syntax errors, calls of eval and exec, and bare excepts of Python code."""
+    return F.pandas_udf(_checked, f"array<{FINDING}>")(code, F.lit(None).cast("string") if file is None else file)
+
+
+def ast_findings(files: DataFrame, *keys: str, code: str = "content", file: str = "path") -> DataFrame:
+    """keys, ordinal and a finding's columns of each file of Python code."""
+    return files.select(*keys, F.explode(ast_checks(F.col(code), F.col(file).cast("string"))).alias("f")).select(*keys, "f.*")
+
+
+def heuristic_findings(files: DataFrame, *keys: str, code: str = "content", file: str = "path") -> DataFrame:
+    """The same of code in no known language."""
+    name, severity, message, suggestion = HEURISTIC
+    null = F.lit(None).cast("int")
+    return files.where(F.col(code).rlike(DANGEROUS)).select(*keys, F.lit(0).cast("long").alias("ordinal"), F.lit(name).alias("id"), F.lit("heuristic").alias("tool"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.col(file).cast("string").alias("file"), null.alias("line"), null.alias("column"), F.lit(suggestion).alias("suggestion"))
+
+
+def tool_results(runs: DataFrame, *keys: str, tool: str = "tool", result: str = "result") -> DataFrame:
+    """keys, tool, stdout, stderr, exit_code, diagnostics of what ran: struct<stdout, stderr, exit_code, returncode>, null where nothing usable came back."""
+    r, none = F.col(result), F.col(result).isNull()
+    text = lambda f: F.when(none, "").otherwise(F.coalesce(r[f], F.lit("")))
+    stderr = F.when(none, F.concat(F.lit("Invalid sandbox result type for "), tool)).otherwise(text("stderr"))
+    code = F.when(none, -1).otherwise(F.coalesce(r["exit_code"], r["returncode"], F.lit(0)))
+    return runs.select(*keys, tool, text("stdout").alias("stdout"), stderr.alias("stderr"), code.cast("int").alias("exit_code"), F.when(none, "invalid-result-type").alias("diagnostics"))
+
+
+def validated(files: DataFrame, reports: DataFrame | None = None, path: str = "path", code: str = "content") -> DataFrame:
+    """path, language, errors, warnings, info, status, findings of each file (path, code): what its language's checks say.
+
+    reports: output of tools (path, tool, stdout) to be read too. The findings of a file are in order, each once, CAP at most.
+    """
+    from umbra.operators.abstraction import language8  # it knows languages, this module findings
+
+    known = files.select(path, code, language8(F.col(code), F.col(path)).alias("language"))
+    found = ast_findings(known.where("language = 'python'"), path, code=code, file=path)
+    found = found.unionByName(heuristic_findings(known.where("language = 'unknown'"), path, code=code, file=path))
+    if reports is not None:
+        found = found.unionByName(parsed_all(reports, path).withColumn("ordinal", F.col("ordinal") + 1_000_000))
+    kept = capped(found, path)
+    lists = kept.groupBy(F.col(path).alias("_p")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "tool", "severity", "message", "file", "line", "column", "suggestion"))).alias("findings"))
+    counted = file_reports(known.select(path, "language"), kept, path)
+    return counted.join(lists, F.col(path) == F.col("_p"), "left").drop("_p").withColumn("findings", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")))
+
+
+def validated_code(spark: SparkSession, code: str, name: str | None = None) -> DataFrame:
+    """The report of one piece of code, which may have a file's name."""
+    return validated(spark.createDataFrame([(name or "snippet", code)], "path string, content string"))
+
+
+def validated_path(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """The report of each code file below a folder, and one row: errors, warnings, info, files_validated, note, error.
+
+    A folder that isn't there is an error and has no report; one without code files has zeros and a note.
+    """
+    from pyspark.errors import AnalysisException
+
+    from umbra.sources.readers import source_tree
+
+    try:
+        files = source_tree(spark, root, include, exclude)
+    except AnalysisException:
+        zero = [F.lit(0).cast("long").alias(c) for c in ("errors", "warnings", "info", "files_validated")]
+        return None, spark.range(1).select(*zero, F.lit(None).cast("string").alias("note"), F.lit(f"Path not found: {root}").alias("error"))
+    reports = validated(files.select("path", "content"))
+    whole = overall(reports).withColumns({"note": F.when(F.col("files_validated") == 0, "No discoverable files."), "error": F.lit(None).cast("string")})
+    return reports, whole

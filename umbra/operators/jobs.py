@@ -39,6 +39,60 @@ def anonymous_quota(jobs: DataFrame, day: str) -> DataFrame:
     return today.withColumn("allowed", F.col("jobs") < TIERS[0][1])
 
 
+def token_user(requests: DataFrame, tokens: DataFrame) -> DataFrame:
+    """requests (session_user, action_token) with user_id: the session's user, else the token's (tokens: token, user_id), else null."""
+    known = tokens.select(F.col("token").alias("_token"), F.col("user_id").alias("_user"))
+    joined = requests.drop("user_id").join(known, F.nullif(F.col("action_token"), F.lit("")) == F.col("_token"), "left")
+    return joined.withColumn("user_id", F.coalesce("session_user", "_user")).drop("_token", "_user")
+
+
+def new_jobs(requests: DataFrame) -> DataFrame:
+    """A row of the job table for each request (job_id, user_id, ip_address, task, provider, created_at), pending."""
+    return requests.select("job_id", "user_id", "ip_address", F.lit("pending").alias("status"), "task", "provider", "created_at")
+
+
+def inserted(jobs: DataFrame, path: str) -> None:
+    """Appends jobs to the table in a folder."""
+    jobs.write.mode("append").parquet(path)
+
+
+def key_reference(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """requests (user_id, provider, key_name) with secret_id and error; keys: user_id, name, secret_id.
+
+    The automatic and the local provider need no key, nor does a request that names none. Of a name given twice the
+    smallest secret counts.
+    """
+    known = keys.groupBy(F.col("user_id").alias("_user"), F.col("name").alias("_name")).agg(F.min("secret_id").alias("_secret"))
+    wanted = ~F.lower("provider").isin("auto", "ollama") & (F.coalesce("key_name", F.lit("")) != "")
+    joined = requests.join(known, wanted & (F.col("user_id") == F.col("_user")) & (F.col("key_name") == F.col("_name")), "left")
+    error = F.when(wanted & F.col("_secret").isNull(), F.concat(F.lit("API key '"), "key_name", F.lit("' not found.")))
+    return joined.withColumns({"secret_id": F.col("_secret"), "error": error}).drop("_user", "_name", "_secret")
+
+
+def listed_keys(keys: DataFrame, users: DataFrame) -> DataFrame:
+    """The names of the keys of users (user_id), never the keys."""
+    return keys.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "name").distinct()
+
+
+def job_answer(requests: DataFrame, memory: DataFrame, table: DataFrame) -> DataFrame:
+    """requests (job_id, asking_user, asking_ip) with code and status: what of a job the asking user, or address without one, may see.
+
+    A job that is in memory and theirs is answered from there, else the table is asked: 404 if it has none, 403 if it is
+    another's. memory, table: job_id, user_id, ip_address, status, a row for each job.
+    """
+    def of(jobs: DataFrame, side: str) -> DataFrame:
+        return jobs.select(F.col("job_id").alias(f"{side}_id"), F.col("user_id").alias(f"{side}_user"), F.col("ip_address").alias(f"{side}_ip"), F.col("status").alias(f"{side}_status"))
+
+    def theirs(side: str) -> Column:
+        own = F.when(F.col("asking_user").isNotNull(), F.col("asking_user") == F.col(f"{side}_user")).otherwise(F.col("asking_ip") == F.col(f"{side}_ip"))
+        return F.coalesce(F.col(f"{side}_id").isNotNull() & own, F.lit(False))
+
+    joined = requests.join(of(memory, "m"), F.col("job_id") == F.col("m_id"), "left").join(of(table, "t"), F.col("job_id") == F.col("t_id"), "left")
+    code = F.when(theirs("m") | theirs("t"), 200).when(F.col("t_id").isNull(), 404).otherwise(403)
+    status = F.when(theirs("m"), F.col("m_status")).when(theirs("t"), F.col("t_status"))
+    return joined.select(*requests.columns, code.alias("code"), status.alias("status"))
+
+
 def country(edge: Column, proxy: Column, ip: Column) -> Column:
     given = F.coalesce(F.nullif(edge, F.lit("")), F.nullif(proxy, F.lit("")))
     return F.when(given.isNotNull(), F.upper(given)).when(ip.isin("127.0.0.1", "localhost", "::1"), "IN").otherwise("US")
@@ -117,6 +171,18 @@ def tail(lines: DataFrame, n: int, *order: str) -> DataFrame:
     return lines.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
+def audit_status(mapping: DataFrame, lines: DataFrame, by: str = "path", value: str = "value", order: str = "n") -> DataFrame:
+    """n, line: what was hidden in the session and in each file, then the last five lines of the log (value, in order of n)."""
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("secret", "identifier")]
+    files = mapping.groupBy(by).agg(*kinds)
+    said = lambda head: F.concat(head, "secret", F.lit(" secrets, "), "identifier", F.lit(" identifiers"))
+    whole = files.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("secret", "identifier")])
+    top = whole.select(F.lit(0).alias("part"), F.lit("").alias("k"), said(F.concat(F.lit("session: "), "files", F.lit(" files, "))).alias("line"))
+    each = files.select(F.lit(1).alias("part"), F.col(by).cast("string").alias("k"), said(F.concat(F.lit("- "), F.col(by).cast("string"), F.lit(": "))).alias("line"))
+    last = lines.orderBy(F.desc(order)).limit(5).select(F.lit(2).alias("part"), F.lpad(F.col(order).cast("string"), 20, "0").alias("k"), F.col(value).alias("line"))
+    return top.unionByName(each).unionByName(last)
+
+
 def session_summary(mapping: DataFrame, *by: str) -> DataFrame:
     """Secrets and identifiers hidden, by the mapping's kind."""
     return mapping.groupBy(*by).agg(F.count_if(F.col("kind") == "secret").alias("secrets"), F.count_if(F.col("kind") == "identifier").alias("identifiers"))

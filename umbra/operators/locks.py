@@ -9,38 +9,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.sources.folders import shared_folder
+
 
 def lock_facts(code: str | None) -> list[tuple[str, str, int, int, str]]:
-    """kind (def, acquire or with), function, sequence, position (or line), lock of Python code; none if it can't be parsed."""
+    """kind (def, acquire or with), function, sequence, position (or line), lock of Python code; none if it can't be parsed.
+
+    A function's sequence is what it takes, functions inside it included: each name of a with statement, or whose method
+    a with statement calls, and each name that is acquired (`with a.acquire()` takes a twice). Statements that take
+    several names at once are numbered.
+    """
     try:
         tree = ast.parse(code or "")
     except (SyntaxError, ValueError, RecursionError):
         return []
-    out: list[tuple[str, str, int, int, str]] = []
 
-    def walk(node: ast.AST, fn: str, seq: list[int]) -> None:
+    def named(node: ast.With) -> list[str]:
+        of = [i.context_expr for i in node.items]
+        return [x.id if isinstance(x, ast.Name) else x.func.value.id for x in of if isinstance(x, ast.Name) or (isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and isinstance(x.func.value, ast.Name))]
+
+    def taken(node: ast.AST) -> Iterator[str]:
+        if isinstance(node, ast.With):
+            yield from named(node)
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "acquire" and isinstance(node.func.value, ast.Name):
+            yield node.func.value.id
+        for child in ast.iter_child_nodes(node):
+            yield from taken(child)
+
+    out: list[tuple[str, str, int, int, str]] = []
+    sequences: dict[str, int] = {}
+    statements = 0
+
+    def walk(node: ast.AST, fn: str) -> None:
+        nonlocal statements
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call) and getattr(node.value.func, "attr", getattr(node.value.func, "id", "")) == "Lock":
+            out.extend(("def", fn, 0, node.lineno, t.id) for t in node.targets if isinstance(t, ast.Name))
+        if isinstance(node, ast.With) and len(names := named(node)) > 1:
+            statements += 1
+            out.extend(("with", fn, statements, i, name) for i, name in enumerate(names))
+        if isinstance(node, ast.FunctionDef):
+            fn = node.name
+            if names := list(taken(node)):
+                n = sequences[fn] = sequences.get(fn, -1) + 1
+                out.extend(("acquire", fn, n, i, name) for i, name in enumerate(names))
         for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                walk(child, child.name, [0, 0])
-                continue
-            if isinstance(child, ast.Assign) and isinstance(child.value, ast.Call):
-                f = child.value.func
-                if getattr(f, "attr", getattr(f, "id", "")) == "Lock":
-                    out.extend(("def", fn, 0, child.lineno, t.id) for t in child.targets if isinstance(t, ast.Name))
-            elif isinstance(child, (ast.With, ast.AsyncWith)):
-                names = [i.context_expr.id for i in child.items if isinstance(i.context_expr, ast.Name)]
-                for name in names:
-                    out.append(("acquire", fn, 0, seq[0], name))
-                    seq[0] += 1
-                if len(names) > 1:
-                    seq[1] += 1
-                    out.extend(("with", fn, seq[1], i, name) for i, name in enumerate(names))
-            elif isinstance(child, ast.Call) and isinstance(child.func, ast.Attribute) and child.func.attr == "acquire" and isinstance(child.func.value, ast.Name):
-                out.append(("acquire", fn, 0, seq[0], child.func.value.id))
-                seq[0] += 1
-            walk(child, fn, seq)
-
-    walk(tree, "<module>", [0, 0])
+            walk(child, fn)
+
+    walk(tree, "<module>")
     return out
 
 
@@ -69,17 +84,26 @@ def with_pairs(sites: DataFrame, *by: str) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """The locks (node) from which a way of edges leads back; edges a, b. The number of locks bounds the recursion."""
-    spark = edges.sparkSession
-    edges.select("a", "b").distinct().createOrReplaceTempView("umbra_lock_edges")
-    # distinct pairs by length of way: a set of ways, as many steps as there are locks
-    return spark.sql("""
-        WITH RECURSIVE reach(a, b, n) MAX RECURSION LEVEL 200 AS (
-          SELECT a, b, 1 FROM umbra_lock_edges
-          UNION ALL
-          SELECT DISTINCT r.a, e.b, r.n + 1 FROM reach r JOIN umbra_lock_edges e ON r.b = e.a
-          WHERE r.a <> r.b AND r.n < (SELECT count(DISTINCT a) FROM umbra_lock_edges))
-        SELECT DISTINCT a AS node FROM reach WHERE a = b""")
+    """The locks (node) from which a way of edges leads back; edges a, b.
+
+    Ways are followed twice as far in each round, as distinct pairs of locks, until a round adds none: a chain or ring of
+    any length takes rounds by its logarithm. Each round is a table in the shared folder.
+    """
+    reach, n = _kept(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "reach")
+    while n:
+        longer = reach.select("a", F.col("b").alias("m")).join(reach.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+        reach, more = _kept(reach.unionByName(longer).distinct(), "reach")
+        if more == n:
+            break
+        n = more
+    return reach.where("a = b").select(F.col("a").alias("node")).distinct()
+
+
+def _kept(rows: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    at = shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(at)
+    kept = rows.sparkSession.read.schema(rows.schema).parquet(at)
+    return kept, kept.count()
 
 
 def double_acquires(acquires: DataFrame, *by: str) -> DataFrame:
@@ -128,5 +152,12 @@ def combined(*findings: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def order_wrapper(locks: Column) -> Column:
+    """Python code that takes locks in their order (array<string>), an example to go with the advice; null without locks."""
+    names = F.concat(F.lit("["), F.array_join(F.transform(locks, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    body = "\n\n\ndef take(**held):\n    for name in LOCK_ORDER:\n        if name in held:\n            held[name].acquire()\n\n\ndef give_back(**held):\n    for name in reversed(LOCK_ORDER):\n        if name in held:\n            held[name].release()\n"
+    return F.when(F.size(locks) > 0, F.concat(F.lit("LOCK_ORDER = "), names, F.lit(body)))
+
+
 def order_note(locks: Column) -> Column:
     return F.concat(F.lit("# acquire in this order: "), F.array_join(locks, ", "))

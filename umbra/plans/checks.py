@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.operators import findings as G
+from umbra.operators.answers import first_errors
+from umbra.plans.privacy import LANGUAGE8_SQL, snippets
 from umbra.sources.readers import discovered, shown, table
 
 #: Report lines built from parts, of each tool; one expression for both engines.
@@ -117,8 +119,29 @@ def autofix_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(G.ast_checks(F.expr(AUTOFIX.replace("requests.post(u)", "eval(u)")))).alias("f"))
-    return rows.select("p_partkey", "f.*")
+    """What the syntax tree of generated Python says, and of every seventh piece that it can't be parsed."""
+    code = F.concat(F.expr(AUTOFIX.replace("requests.post(u)", "eval(u)")), F.when(F.col("p_partkey") % 7 == 0, "\n(").otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), code.alias("content"))
+    return _shown(G.ast_findings(rows, "p_partkey")).withColumn("file", F.coalesce("file", F.lit("-")))
+
+
+def validated_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets by the checks of their language."""
+    rows = snippets(spark, sf_dir).select(F.concat_ws("/", F.col("id").cast("string"), "path").alias("path"), F.col("code").alias("content"))
+    return G.validated(rows).select("path", "language", "errors", "warnings", "info", "status", F.size("findings").alias("findings"))
+
+
+def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of tools in one form, also those that gave nothing usable."""
+    k = F.col("p_partkey")
+    result = F.when(k % 7 != 0, F.struct(F.when(k % 5 != 0, F.col("p_name")).alias("stdout"), F.lit(None).cast("string").alias("stderr"), F.when(k % 3 != 0, F.col("p_size")).alias("exit_code"), F.when(k % 2 == 0, F.lit(9)).alias("returncode")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("flake8").alias("tool"), result.alias("result"))
+    return G.tool_results(rows, "p_partkey").withColumn("diagnostics", F.coalesce("diagnostics", F.lit("-")))
+
+
+def error_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first error of each user's findings."""
+    return first_errors(_findings(spark, sf_dir), "path")
 
 
 def tool_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +201,9 @@ QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in
     "autofix_rules": autofix_rules,
     "autofix_diff": autofix_diff,
     "ast_checks": ast_checks,
+    "validated_snippets": validated_snippets,
+    "tool_results": tool_results,
+    "error_findings": error_findings,
     "tool_truncated": tool_truncated,
     "byte_truncated": byte_truncated,
     "run_status": run_status,
@@ -191,6 +217,17 @@ u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY path, tool, messag
 c AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY path ORDER BY ordinal) <= {cap}),
 s AS (SELECT path, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info FROM c GROUP BY path)"""
 
+
+def _diff_sql(*lines: str) -> str:
+    """Lines of a diff, that end in a line end of their own, as SQL; {k} is the part's key."""
+    whole = "--- original\n+++ suggested\n@@ -1,6 +1,6 @@\n" + "\n".join(lines)
+    return " || chr(10) || ".join("'" + x.replace("{k}", "' || p_partkey || '") + "'" for x in whole.split("\n"))
+
+
+_SAME, _NAMED = (" class A:\n", "-    def _init_(self):\n", "+    def __init__(self):\n", "         try:\n"), ("+        except Exception as e:\n", "+            requests.post(u, timeout=10)")
+DIFF = f"""CASE WHEN p_partkey % 2 = 0 THEN {_diff_sql(*_SAME, '             r = requests.get("http://x/{k}", timeout=3)' + chr(10), "-        except:" + chr(10), "-            requests.post(u)", *_NAMED)}
+ ELSE {_diff_sql(*_SAME, '-            r = requests.get("http://x/{k}")' + chr(10), "-        except:" + chr(10), "-            requests.post(u)", '+            r = requests.get("http://x/{k}", timeout=10)' + chr(10), *_NAMED)} END"""
+
 SQL = {f"parse_{t.replace('-', '_').replace(' ', '_')}": _report_sql(t) for t in REPORTS} | {
     "parse_bandit": f"""WITH t AS (SELECT p_partkey, {BANDIT} AS j FROM part), r AS (SELECT p_partkey, i AS ordinal, json_extract(j, '$.results[' || i || ']') AS r FROM (SELECT *, unnest([0, 1]) AS i FROM t WHERE json_valid(j)))
 SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'bandit:' || coalesce(r ->> 'test_id', 'unknown') AS id, 'bandit' AS tool, CASE lower(coalesce(r ->> 'issue_severity', '')) WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'info' END AS severity,

@@ -83,8 +83,49 @@ def job_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tamper_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"))
-    return J.tamper_hash(d, "lang")
+    """Ten documents are a job's files."""
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("job"), F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"))
+    return J.tamper_hash(d, "job")
+
+
+def token_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a session, with a token, with one that nobody has, or with neither."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN user_id END AS session_user", "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('t', user_id) WHEN 2 THEN 'none' END AS action_token")
+    tokens = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.concat(F.lit("t"), "c_custkey").alias("token"), F.col("c_custkey").alias("user_id"))
+    return J.token_user(e, tokens).select("event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
+
+
+def new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir).selectExpr("job_id", "coalesce(user_id, -1) AS user_id", "coalesce(ip_address, '-') AS ip_address", "concat('task', job_id % 3) AS task", "'auto' AS provider", "created_at")
+    return J.new_jobs(rows).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "concat('k', c_custkey % 3) AS name", "c_name AS secret_id")
+
+
+def key_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with keys that are there or not, and with providers that need none."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "CASE event_id % 4 WHEN 0 THEN 'Auto' WHEN 1 THEN 'openai' WHEN 2 THEN 'groq' ELSE 'ollama' END AS provider", "CASE WHEN event_id % 5 > 0 THEN concat('k', event_id % 3) END AS key_name")
+    return J.key_reference(e, _keys(spark, sf_dir)).select("event_id", F.coalesce("secret_id", F.lit("-")).alias("secret_id"), F.coalesce("error", F.lit("-")).alias("error"))
+
+
+def listed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
+    return J.listed_keys(_keys(spark, sf_dir), users)
+
+
+def job_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second job is in the table, every fifth in memory; users ask for theirs and for others'."""
+    every = jobs(spark, sf_dir)
+    asked = table(spark, sf_dir, "events").selectExpr("event_id AS job_id", "CASE WHEN event_id % 4 <> 0 THEN user_id + CAST(event_id % 3 = 0 AS INT) END AS asking_user", "concat('10.0.0.', event_id % 9) AS asking_ip")
+    memory = every.where("job_id % 5 = 0").withColumn("status", F.lit("running"))
+    return J.job_answer(asked, memory, every.where("job_id % 2 = 0")).select("job_id", "code", F.coalesce("status", F.lit("-")).alias("status"))
+
+
+def audit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.when(F.col("event_id") % 3 == 0, "secret").otherwise("identifier").alias("kind"))
+    return J.audit_status(m, _log(spark, sf_dir).withColumnRenamed("event_id", "n"))
 
 
 def cache_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +181,7 @@ def config_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", J.setting(F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'flag' ELSE '' END"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'env' END"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'file' END")).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (tier_lookup, daily_quota, anonymous_quota, jobs_per_day, country_rule, plan_catalogue, order_price, upgrade_tier, delete_keys, job_latest_status, job_visible, tamper_hash, cache_key_dedupe, allow_list_parse, key_provider, provider_routing, vault_roundtrip, audit_parse, audit_tail, session_summary, config_precedence)}
+QUERIES = {f.__name__: f for f in (tier_lookup, daily_quota, anonymous_quota, jobs_per_day, country_rule, plan_catalogue, order_price, upgrade_tier, delete_keys, job_latest_status, job_visible, tamper_hash, cache_key_dedupe, allow_list_parse, key_provider, provider_routing, vault_roundtrip, audit_parse, audit_tail, audit_status, session_summary, config_precedence, token_user, new_jobs, key_reference, listed_keys, job_answers)}
 
 P = f"p AS (SELECT c_custkey AS id, {TIER} AS tier FROM customer)"
 LOG = "'[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '] ' || upper(event_type) || ' | user ' || user_id"
@@ -156,7 +197,13 @@ SQL = {
     "delete_keys": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)",
     "job_latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "job_visible": f"WITH {JOBS} SELECT CASE WHEN user_id = 3 OR (user_id IS NULL AND ip_address = '10.0.0.1') THEN 200 ELSE 403 END AS answer, count(*) AS n FROM j GROUP BY 1",
-    "tamper_hash": "SELECT lang, sha256(string_agg(text, '' ORDER BY 'f' || doc_id, text)) AS hash FROM documents GROUP BY lang",
+    "tamper_hash": "SELECT doc_id // 10 AS job, sha256(string_agg(coalesce(text, ''), '' ORDER BY 'f' || doc_id, text)) AS hash FROM documents GROUP BY 1",
+    "token_user": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 4 = 1 AND user_id < 100 AND user_id IN (SELECT c_custkey FROM customer) THEN user_id ELSE -1 END AS user_id FROM events",
+    "new_jobs": f"WITH {JOBS} SELECT job_id, coalesce(user_id, -1) AS user_id, coalesce(ip_address, '-') AS ip_address, 'pending' AS status, 'task' || (job_id % 3) AS task, 'auto' AS provider, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM j",
+    "key_reference": "WITH r AS (SELECT event_id, user_id, event_id % 4 IN (1, 2) AND event_id % 5 > 0 AS wanted, 'k' || (event_id % 3) AS name FROM events) SELECT event_id, coalesce(c_name, '-') AS secret_id, CASE WHEN wanted AND c_name IS NULL THEN 'API key ' || chr(39) || name || chr(39) || ' not found.' ELSE '-' END AS error FROM r LEFT JOIN customer ON wanted AND c_custkey = user_id AND 'k' || (c_custkey % 3) = name",
+    "listed_keys": "SELECT c_custkey AS user_id, 'k' || (c_custkey % 3) AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "job_answers": f"WITH {JOBS}, a AS (SELECT event_id AS job_id, CASE WHEN event_id % 4 <> 0 THEN event_id % 3 <> 0 ELSE event_id % 9 = user_id % 9 END AS own, event_type FROM events) SELECT job_id, CASE WHEN own AND (job_id % 5 = 0 OR job_id % 2 = 0) THEN 200 WHEN job_id % 2 = 0 THEN 403 ELSE 404 END AS code, CASE WHEN NOT own THEN '-' WHEN job_id % 5 = 0 THEN 'running' WHEN job_id % 2 = 0 THEN event_type ELSE '-' END AS status FROM a",
+    "audit_status": f"WITH f AS (SELECT user_id AS path, count(*) FILTER (event_id % 3 = 0) AS s, count(*) FILTER (event_id % 3 <> 0) AS i FROM events GROUP BY 1) SELECT 0 AS part, '' AS k, 'session: ' || count(*) || ' files, ' || CAST(sum(s) AS BIGINT) || ' secrets, ' || CAST(sum(i) AS BIGINT) || ' identifiers' AS line FROM f UNION ALL SELECT 1, CAST(path AS VARCHAR), '- ' || path || ': ' || s || ' secrets, ' || i || ' identifiers' FROM f UNION ALL SELECT 2, lpad(CAST(event_id AS VARCHAR), 20, '0'), line FROM (SELECT event_id, {LOG} AS line FROM events ORDER BY event_id DESC LIMIT 5)",
     "cache_key_dedupe": "SELECT DISTINCT 'cache:' || sha256('raw:' || lang || ':' || CASE WHEN doc_id % 2 = 0 THEN 'm' ELSE 'default' END || ':' || text) AS key FROM documents",
     "allow_list_parse": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE c_name || '|b' END AS names FROM customer",
     "key_provider": f"SELECT c_custkey, CASE WHEN starts_with(k, 'sk-proj-') THEN 'openai' WHEN starts_with(k, 'sk-') THEN 'anthropic' WHEN length(k) > 35 AND length(k) < 45 AND NOT contains(k, '-') THEN 'gemini' ELSE 'unknown' END AS provider FROM (SELECT c_custkey, {KEY} AS k FROM customer)",

@@ -54,12 +54,17 @@ def lock_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.combined(cycles, cycles, L.double_acquires(acquires(spark, sf_dir), "fn", "seq").select(F.lit("double_acquire").alias("type"), F.col("lock").alias("node")))
 
 
+def lock_order_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("fn"), F.col("n_nationkey").alias("line"), F.concat(F.lit("l"), "n_nationkey").alias("lock"))
+    return L.proposed(n, "fn").select("fn", F.substring_index(L.order_wrapper(F.col("locks")), "\n", 1).alias("first"))
+
+
 def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.concat(F.lit("import threading\nA"), F.col("n_nationkey"), F.lit(" = threading.Lock()\nB = threading.Lock()\ndef f():\n    with A"), F.col("n_nationkey"), F.lit(", B:\n        B.acquire()\n"))
+    code = F.concat(F.lit("import threading\nA"), F.col("n_nationkey"), F.lit(" = threading.Lock()\nB = threading.Lock()\ndef f():\n    with A"), F.col("n_nationkey"), F.lit(", B:\n        B.acquire()\n    with B.acquire():\n        pass\n"))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(L.facts(code)).alias("f")).select("n_nationkey", "f.*")
 
 
-QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_findings, lock_facts)}
+QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_order_code, lock_findings, lock_facts)}
 
 ACQ = "q AS (SELECT user_id AS fn, event_id // 100 AS seq, event_id AS pos, event_type || (event_id % 2) AS lock FROM events)"
 EDGES = "e AS (SELECT 'L' || n_nationkey AS a, 'L' || CASE WHEN n_nationkey % 7 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END AS b FROM nation WHERE n_nationkey % 7 <> 6)"
@@ -71,5 +76,7 @@ SQL = {
     "double_acquire": f"WITH {ACQ} SELECT fn, seq, pos, lock FROM (SELECT *, row_number() OVER (PARTITION BY fn, seq, lock ORDER BY pos) AS n FROM q) WHERE n > 1",
     "inconsistent_order": "WITH t AS (SELECT event_id // 10 AS thread, list(event_type ORDER BY event_id) AS locks FROM events GROUP BY 1) SELECT x.thread AS first, count(*) AS n FROM t x JOIN t y ON list_sort(list_distinct(x.locks)) = list_sort(list_distinct(y.locks)) AND x.thread < y.thread AND x.locks <> y.locks GROUP BY x.thread",
     "proposed_order": "SELECT n_regionkey AS fn, '# acquire in this order: ' || string_agg(n_name, ', ' ORDER BY n_nationkey, n_name) AS note FROM nation GROUP BY n_regionkey",
+    "lock_order_code": "SELECT n_regionkey AS fn, 'LOCK_ORDER = [' || string_agg(chr(39) || 'l' || n_nationkey || chr(39), ', ' ORDER BY n_nationkey) || ']' AS first FROM nation GROUP BY n_regionkey",
+    "lock_facts": "SELECT n_nationkey, kind, fn, seq, pos, replace(lock, 'A', 'A' || n_nationkey) AS lock FROM nation, (VALUES ('def', '<module>', 0, 2, 'A'), ('def', '<module>', 0, 3, 'B'), ('acquire', 'f', 0, 0, 'A'), ('acquire', 'f', 0, 1, 'B'), ('acquire', 'f', 0, 2, 'B'), ('acquire', 'f', 0, 3, 'B'), ('acquire', 'f', 0, 4, 'B'), ('with', 'f', 1, 0, 'A'), ('with', 'f', 1, 1, 'B')) v(kind, fn, seq, pos, lock)",
     "lock_findings": f"{REACH}, {ACQ} SELECT DISTINCT '{{\"node\":\"' || a || '\",\"type\":\"static_cycle\"}}' AS finding FROM r WHERE a = b UNION SELECT '{{\"node\":\"' || lock || '\",\"type\":\"double_acquire\"}}' FROM (SELECT *, row_number() OVER (PARTITION BY fn, seq, lock ORDER BY pos) AS n FROM q) WHERE n > 1",
 }

@@ -11,7 +11,7 @@ from umbra.functions.patterns import CATEGORIES, PATTERNS, fused, ungrouped
 from umbra.operators import abstraction as A
 from umbra.operators import protection as S
 from umbra.operators import redaction as R
-from umbra.sources.readers import table
+from umbra.sources.readers import spread, table
 
 SALT = "umbra"
 
@@ -72,7 +72,7 @@ def source(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
     if of == "built":
         return built(spark, sf_dir)
     key, text = {"documents": ("doc_id", "text"), "pages": ("page_id", "html")}[of]
-    return table(spark, sf_dir, of).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("content"))
+    return spread(table(spark, sf_dir, of).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("content")))
 
 
 def sql(of: str, body: str) -> str:
@@ -183,7 +183,7 @@ def abstract_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def abstract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of whole pages, an unknown language."""
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(A.identifiers(F.coalesce("html", F.lit("")), A.skip_words("unknown"), SALT), 256).alias("safe"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.sha2(A.identifiers(F.coalesce("html", F.lit("")), A.skip_words("unknown"), SALT), 256).alias("safe"))
 
 
 def abstract_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,13 +275,13 @@ def mask_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def python_ast_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("def area"), F.col("c_custkey").cast("string"), F.lit('(width, height=2):\n    "doc"\n    label = "'), F.col("c_name"), F.lit('"\n    return width * height'), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
     out = A.python_abstractor(SALT, level="paranoid")(made)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), out.alias("r")).select("id", "r.abstracted", F.size("r.mapping").alias("names"), "r.error")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), out.alias("r")).select("id", "r.abstracted", F.coalesce(F.size("r.mapping"), F.lit(-1)).alias("names"), "r.error")
 
 
 def privacy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page: secrets, distinct identifiers and the tokens that abstraction saves, at four characters each."""
+    """Per page: distinct secrets, distinct identifiers of what is left, and the tokens that redaction saves, at four characters each."""
     rows = redacted(spark, sf_dir, "pages")
-    return rows.select("id", F.size(F.array_distinct(F.transform("secrets", lambda s: s["placeholder"]))).alias("secrets"), F.expr("greatest(0, length(content) - length(redacted)) div 4").alias("tokens_saved"))
+    return rows.select("id", F.size(F.array_distinct(F.transform("secrets", lambda s: s["placeholder"]))).alias("secrets"), F.size(A.visible(F.col("redacted"))).alias("identifiers"), F.expr("greatest(0, length(content) - length(redacted)) div 4").alias("tokens_saved"))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,17 +300,26 @@ def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.join(safe, "path").join(back, "path").select("path", "error", gone.alias("hidden"), (F.col("again") == F.col("content")).alias("same")).fillna("", "error")
 
 
+def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("import os\n\ndef wage"), "c_custkey", F.lit("(hours):\n    token = 'ghp_"), F.lpad(F.col("c_custkey").cast("string"), 36, "q"), F.lit("'\n    return hours * 3"), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
+
+
+def secure_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of what a model is shown of a file: what was hidden, or why it is blocked."""
+    return S.shown_to_model(S.protect(_python(spark, sf_dir), salt=SALT)).select("path", F.substring_index("body", "\n", 1).alias("header"))
+
+
 def protect_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files; every tenth can't be parsed and is blocked."""
-    made = F.concat(F.lit("import os\n\ndef wage"), "c_custkey", F.lit("(hours):\n    token = 'ghp_"), F.lpad(F.col("c_custkey").cast("string"), 36, "q"), F.lit("'\n    return hours * 3"), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
-    corpus = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
-    safe = S.protect(corpus, salt=SALT)
+    safe = S.protect(_python(spark, sf_dir), salt=SALT)
     return safe.select("path", F.col("error").isNotNull().alias("blocked"), F.coalesce(F.contains("safe", F.lit("wage")) | F.contains("safe", F.lit("ghp_")), F.lit(False)).alias("leaks"), F.coalesce(F.contains("safe", F.lit("def ")), F.lit(False)).alias("kept_structure"))
 
 
 QUERIES = {
     "protect_roundtrip": protect_roundtrip,
     "protect_python": protect_python,
+    "secure_read": secure_read,
     "redact_match_inventory": inventory("documents"),
     "redact_match_inventory_pages": inventory("pages"),
     "redact_category_totals": category_totals("built"),
@@ -342,6 +351,10 @@ QUERIES = {
     "privacy_report": privacy_report,
 }
 
+def _tag(kind: str, of: str) -> str:
+    return f"('<<{kind}_' || substr(sha256('{SALT}' || {of}), 1, 12) || '>>')"
+
+
 GATE = f"""{ABSTRACTED},
 h AS (SELECT id, code, safe, list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(code, {_sql_text(A.STRING_SQL)}, ' ', 'g'), {_sql_text(A.COMMENT)}, ' ', 'g'), {IDENT}, 2)), lambda x: x <> '' AND NOT list_contains({SKIP_SQL}, x)) AS seen FROM p4),
 g AS (SELECT id, seen, CASE WHEN id % 3 = 0 THEN list_filter(seen, lambda x: x <> 'total') ELSE seen END AS names, CASE WHEN id % 5 = 0 THEN safe || ' total ' ELSE safe END AS safe FROM h),
@@ -367,7 +380,9 @@ SQL = {
     "abstract_numbers": f"WITH {PASSES} SELECT id, n AS safe FROM p2",
     "abstract_comments": f"WITH {PASSES} SELECT id, c AS safe FROM p3",
     "abstract_identifiers": f"WITH {ABSTRACTED} SELECT id, safe FROM p4",
-    "abstract_pages": "WITH " + ABSTRACTED[len(PASSES) + 2 :].replace(SKIP_SQL, "[" + ", ".join(_sql_text(w) for w in A.skip_words("unknown")) + "]").replace("p4 AS (\n  SELECT id, code, c,", "p4 AS (SELECT page_id,").replace("FROM p3)", "FROM (SELECT page_id, coalesce(html, '') AS c FROM pages))") + " SELECT page_id, sha256(safe) AS safe FROM p4",
+    "abstract_pages": f"""WITH h AS (SELECT page_id, regexp_split_to_array(coalesce(html, ''), {IDENT}) AS pieces, regexp_extract_all(coalesce(html, ''), {IDENT}, 0) AS hits FROM pages),
+u AS (SELECT page_id, unnest(pieces) AS piece, unnest(list_append(hits, '')) AS hit, unnest(range(len(pieces))) AS i FROM h)
+SELECT page_id, sha256(string_agg(piece || CASE WHEN hit = '' OR starts_with(hit, '<<') OR hit IN ({', '.join(_sql_text(w) for w in A.skip_words('unknown'))}) THEN hit ELSE '<<IDENT_' || substr(sha256('{SALT}' || hit), 1, 12) || '>>' END, '' ORDER BY i)) AS safe FROM u GROUP BY page_id""",
     "abstract_roundtrip": "SELECT c_custkey AS id, true AS same FROM customer",
     "detect_language_4": LANGUAGE4_SQL,
     "detect_language_8": LANGUAGE8_SQL,
@@ -377,6 +392,12 @@ SQL = {
     "leak_gate_visible": f"WITH {GATE} SELECT id, unnest(list_intersect(names, visible)) AS name FROM v",
     "secret_survival": sql("built", "SELECT s.id, bool_or(hidden AND length(value) >= 8 AND contains(CASE WHEN s.id % 7 = 0 THEN redacted || f.v ELSE redacted END, value)) AS survived FROM secret s JOIN safe USING (id) JOIN (SELECT id, arg_min(value, i) AS v FROM secret WHERE hidden GROUP BY id) f ON f.id = s.id GROUP BY s.id"),
     "mask_placeholders": sql("built", "SELECT id, regexp_replace(redacted, '<<([^<>]+)>>', '__MASK_\\1__', 'g') AS masked, true AS same FROM safe"),
-    "privacy_report": sql("pages", "SELECT s.id, (SELECT count(DISTINCT placeholder) FROM secret x WHERE x.id = s.id AND hidden) AS secrets, CAST(greatest(0, length(content) - length(redacted)) // 4 AS BIGINT) AS tokens_saved FROM safe s"),
+    "python_ast_abstract": f"""WITH c AS (SELECT c_custkey AS id, c_name, c_custkey % 10 = 0 AS broken FROM customer)
+SELECT id, CASE WHEN NOT broken THEN 'class ' || {_tag('NOISE', "'_noisenoise_class'")} || ': pass' || chr(10) || chr(10) || 'def ' || {_tag('NOISE', "'_noisenoise_func'")} || '(): return ' || {_tag('NOISE', "'_noiseNOISE'")} || chr(10) || chr(10)
+ || 'def ' || {_tag('FUNC', "'area' || id")} || '(' || {_tag('PARAM', "'width'")} || ', ' || {_tag('PARAM', "'height'")} || '=' || chr(39) || {_tag('NUM', "'2'")} || chr(39) || '):' || chr(10) || '    ' || repeat(chr(34), 3) || {_tag('DOC', "'DOCSTRING'")} || repeat(chr(34), 3) || chr(10)
+ || '    ' || {_tag('VAR', "'label'")} || ' = ' || chr(39) || {_tag('STR', "c_name")} || chr(39) || chr(10) || '    return ' || {_tag('PARAM', "'width'")} || ' * ' || {_tag('PARAM', "'height'")} END AS abstracted,
+ CASE WHEN broken THEN -1 ELSE 6 END AS names, CASE WHEN broken THEN 'Python parse failed: SyntaxError' END AS error FROM c""",
+    "secure_read": "SELECT 'f' || c_custkey || '.py' AS path, CASE WHEN c_custkey % 10 = 0 THEN 'blocked: Python parse failed: SyntaxError' ELSE 'secrets hidden: 0, names hidden: 8' END AS header FROM customer",
+    "privacy_report": sql("pages", f"SELECT s.id, len(list_filter(list_distinct(regexp_extract_all(redacted, {IDENT}, 2)), lambda x: x <> '')) AS identifiers, (SELECT count(DISTINCT placeholder) FROM secret x WHERE x.id = s.id AND hidden) AS secrets, CAST(greatest(0, length(content) - length(redacted)) // 4 AS BIGINT) AS tokens_saved FROM safe s"),
 }
 assert re.compile(ungrouped("|".join(PATTERNS.values()))).groups == 0

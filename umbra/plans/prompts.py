@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.operators import answers as N
 from umbra.operators import text as T
 from umbra.sources.readers import table
 
@@ -92,8 +93,18 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def format_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).select("project", "path", F.concat(F.lit("**File: "), "path", F.lit("**\n```"), F.coalesce(T.fence_language(F.col("path")), F.lit("")), F.lit("\n"), T.unfenced(T.normalised(F.col("content"))), F.lit("\n```")).alias("block"))
-    return rows.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "block"))), lambda f: f["block"]), "\n\n").alias("text")).select("project", F.md5(F.col("text").cast("binary")).alias("text"))
+    return T.marked_files(files(spark, sf_dir), "project").select("project", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def editor_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("o_orderkey", T.editor_language(F.col("path")).alias("language"))
+
+
+def error_fix_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short or the full form of the prompt, as each customer asks."""
+    c = F.col("c_name")
+    made = T.error_fix_prompt(F.expr("CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END"), task=c, log=c, tree=c, blocks=c)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.md5(made.cast("binary")).alias("prompt"))
 
 
 def parse_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,18 +112,18 @@ def parse_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     answer = F.expr("o_orderkey % 5").cast("int")
     made = F.when(answer == 0, F.concat(F.lit('{"files": {"a'), k, F.lit('.py": "x = 1"}}'))).when(answer == 1, F.concat(F.lit("**File: b"), k, F.lit(".py**\n```python\nx = 2\n```"))).when(answer == 2, F.concat(F.lit("File: c"), k, F.lit(".py\n```\nx = 3\n```"))).when(answer == 3, F.concat(F.lit("see d"), k, F.lit(".py here\n```py\nx = 4\n```"))).otherwise(F.lit("only prose"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(T.parsed_files(made)).alias("path", "code"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(N.parsed_files(made)).alias("path", "code"))
     return rows.select("o_orderkey", "path", "code")
 
 
 def retry_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which answers are asked for again, and how long the prompt is."""
     answer = F.expr("CASE WHEN c_custkey % 3 = 0 THEN concat('sorry, ', c_name) ELSE concat('File: a.py', chr(10), '```', chr(10), 'x', chr(10), '```') END")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", answer.alias("answer")).select("c_custkey", "answer", T.parsed_files(F.col("answer")).alias("files"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", answer.alias("answer")).select("c_custkey", "answer", N.parsed_files(F.col("answer")).alias("files"))
     return rows.select("c_custkey", F.coalesce(F.length(T.retry_prompt(F.col("files"), F.lit("do it"), F.col("answer"))), F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (retry_prompts, fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, parse_multifile)}
+QUERIES = {f.__name__: f for f in (retry_prompts, fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, editor_language, error_fix_prompts, parse_multifile)}
 
 FILES = f"f AS (SELECT o_custkey AS project, {PATH} AS path, {CONTENT} AS content, o_orderkey FROM orders), e AS (SELECT *, CASE WHEN contains(path, '.') THEN CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.FENCE.items())} ELSE lower(regexp_extract(path, '\\.([^.]*)$', 1)) END END AS lang FROM f)"
 BLOCK = "'---' || chr(10) || '**File: ' || path || '**' || chr(10) || '```' || coalesce(nullif(lang, ''), 'plaintext') || chr(10) || replace({content}, '```', '``\\`') || chr(10) || '```' || chr(10) || chr(10)"
@@ -148,5 +159,7 @@ SELECT conv_id, turn, md5(CASE WHEN lower({STRIP.format("string_split(c, chr(10)
     "overlay_merge": "WITH a AS (SELECT c_custkey, c_name AS content FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS content FROM orders GROUP BY 1) SELECT c_custkey, coalesce(b.content, a.content) AS content FROM a FULL JOIN b USING (c_custkey)",
     "size_guard": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) > 30000 AS too_large FROM documents GROUP BY source",
     "format_multifile": f"WITH {FILES} SELECT project, md5(string_agg('**File: ' || path || '**' || chr(10) || '```' || coalesce(lang, '') || chr(10) || replace(content || chr(10), '```', '``\\`') || chr(10) || '```', chr(10) || chr(10) ORDER BY path)) AS text FROM e GROUP BY project",
+    "editor_language": f"WITH {FILES} SELECT o_orderkey, CASE lower(list_extract(string_split(path, '.'), -1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.EDITOR.items())} ELSE 'plaintext' END AS language FROM f",
+    "error_fix_prompts": f"SELECT c_custkey, md5(CASE WHEN c_custkey % 3 = 0 THEN {_template_sql('error_fix_brief', lambda p: 'c_name')} ELSE {_template_sql('error_fix', lambda p: 'c_name')} END) AS prompt FROM customer",
     "parse_multifile": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END || o_orderkey || '.py' AS path, 'x = ' || (o_orderkey % 5 + 1) || chr(10) AS code FROM orders WHERE o_orderkey % 5 < 4",
 }

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores (a table of one small file, say) dealt out; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def glob_regex(pattern: str) -> str:
     """A shell pattern as a Java regular expression; * crosses slashes."""
     return re.sub(r"\\Z$|\\z$", "", fnmatch.translate(pattern)).removesuffix(")").replace("(?s:", "(?s)", 1) + r"\z"

@@ -5,23 +5,10 @@ Late rows: a row that is older than the watermark is dropped by windowed counts
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not named and app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="umbra-")
-    return f"{(named or _own[app]).rstrip('/')}/umbra-{tag}-{uuid.uuid4().hex}"
-
+from umbra.sources.folders import shared_folder
 
 def opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream."""
@@ -66,3 +53,9 @@ def deltas(lines: DataFrame, *by: str, line: str = "line", order: str = "n") ->
     end = F.array_min(F.transform(F.filter("p", lambda x: x["done"]), lambda x: x["n"]))
     kept = F.filter(F.array_sort(F.col("p")), lambda x: end.isNull() | (x["n"] < end))
     return parts.select(*by, F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("text"))
+
+
+def appended_lines(lines: DataFrame, path: str, tag: str = "audit") -> None:
+    """Appends a stream of audit lines (column value) to a log folder, each once, also after a restart from the same state."""
+    at = shared_folder(lines.sparkSession, tag)
+    lines.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
