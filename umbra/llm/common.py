@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -17,20 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from umbra.sources.folders import shared_folder
+
 #: ASCII white space separates words; every other character belongs to one.
 WORD = "[^\\x20\\x09-\\x0D]+"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_own: dict[str, str] = {}
-
-
-#: Whole texts go to Python workers so many at a time: memory follows the longest texts, not the default of 10,000 rows.
-BATCH_ROWS = 512
+#: Whole texts go to Python workers so many rows, or bytes, at a time, not 10,000 rows: memory follows the longest text.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("64MB", "4m")}
 
 
 def ready(spark: SparkSession) -> None:
-    """Small batches, and a place where workers find this package if it isn't installed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small batches, where the session still has Spark's own, and a place where workers find this package if it isn't installed."""
+    for name, (usual, small_) in BATCHES.items():
+        if spark.conf.get(name, usual).lower() in (usual.lower(), "67108864b", "67108864"):
+            spark.conf.set(name, small_)
     home, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), home) if x)
@@ -41,32 +40,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="umbra-")
-    return _own[app]
+ROWS_PER_FILE = 100_000
+
+#: The folders that stored() has made, by application, and have not been dropped.
+_made: dict[str, list[str]] = {}
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/umbra-{tag}-{uuid.uuid4().hex}"
+    """In the shared folder; off local mode spark.checkpoint.dir must name it."""
+    return shared_folder(spark, tag)
 
 
-def stored(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+def stored(df: DataFrame, tag: str, few: bool = False, rows: int | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there.
 
     few: it is small beside the input and cheap to make, and goes to an eighth as many files as a shuffle has partitions.
+    rows: about so many, known beforehand: it goes to a file for each ROWS_PER_FILE, two at least.
     """
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    if few:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if few or rows is not None:
+        df = df.coalesce(max(2, parts // 8 if few else min(parts, -(-rows // ROWS_PER_FILE))))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def made(spark: SparkSession) -> int:
+    """How many tables are stored by now, for dropped()."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def dropped(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Deletes what was stored since then but for the tables of keep: for steps whose result needs them no more."""
+    paths, kept = _made.get(spark.sparkContext.applicationId, []), {x.stored_at for x in keep}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [x for x in paths[since:] if x not in kept]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        paths.remove(path)
 
 
 def release() -> None:

@@ -12,13 +12,16 @@ continuation counts, its mass spread evenly over the V known types and one for a
 backs off wholly to p1. Each conditional distribution sums to one.
 
 Defined cases: null and empty texts are the end alone; equal rows count each; a null id is hashed as an empty text; an
-empty training set leaves one uniform unknown type.
+empty training set leaves one uniform unknown type; an empty table has no scores; a very long text is one block by itself
+(some 16 bytes a token); two words, or pairs, of one 64-bit hash count as one (a chance of n^2 / 2^65 for n of them: one
+in four thousand among a hundred million); other columns don't matter. Counts are kept as wide as the greatest needs.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fold, mounted, new_folder, stored, table, tidy, words
 
 START, END = b" <s>", b" </s>"  # the space keeps them apart from any word
-BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE = 1 << 21, 1 << 21, 16, 1000
+BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE, OPEN = 1 << 21, 1 << 21, 16, 1000, 4096
 
 
 class Model(NamedTuple):
@@ -115,7 +118,7 @@ def _pair_blobs(hot: np.ndarray, shards: int):
             u, w = h[pairs >> 32], h[pairs & 0xFFFFFFFF]
             shard = _shard(u, w, hot, shards)
             order = np.lexsort((w, u, shard))
-            u, w, counts, shard = u[order], w[order], counts[order].astype("<u4"), shard[order]
+            u, w, counts, shard = u[order], w[order], counts[order].astype("<u4"), shard[order]  # a block has fewer tokens than 32 bits count
             edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 contexts, runs = np.unique(u[i:j], return_counts=True)
@@ -158,7 +161,7 @@ def _merge(folder: str):
             c = np.add.reduceat(c[order].astype(np.int64), starts)
             key, u, w = key[starts], u[starts], w[starts]
             _save(f"{folder}/pair-{at:06d}-key.npy", key)
-            _save(f"{folder}/pair-{at:06d}-count.npy", c.astype(np.uint32))
+            _save(f"{folder}/pair-{at:06d}-count.npy", c.astype(np.min_scalar_type(int(c.max(initial=0)))))
             of_counts = np.bincount(np.minimum(c, 5), minlength=6)
             yield pd.DataFrame({"kind": [0], "key": [0], "n1": [of_counts[1]], "n2": [of_counts[2]], "n3": [of_counts[3]], "total": [of_counts[4]]})
             words_, where = np.unique(u, return_inverse=True)
@@ -250,16 +253,20 @@ def train(docs: DataFrame) -> Model:
 
 
 class Reader:
-    """Lookups in the model's arrays; each is mapped into memory when first needed."""
+    """Lookups in the model's arrays; each is mapped into memory when it is needed, the OPEN last used at once."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.open = model, {}
+        self.model, self.open = model, OrderedDict()
 
     def array(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            path = f"{self.model.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.open[name]
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        path = f"{self.model.folder}/{name}.npy"
+        found = self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        if len(self.open) > OPEN:
+            self.open.popitem(last=False)
+        return found
 
     def look(self, kind: str, values: str, shard: np.ndarray, key: np.ndarray, out: np.ndarray) -> np.ndarray:
         order = np.lexsort((key, shard))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stored, table
+from .common import WORD, dropped, made, small, stored, table
 
 HASH_BITS, LEVEL_BITS = 60, 10
 #: The table of sources, a row each, is kept on the driver and broadcast; more than these is an error, not a cut.
@@ -92,7 +92,9 @@ def taken(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
+    since = made(docs.sparkSession)
     of = plan(stored(sized(docs), "sizes"), weights, share, repeats)
+    dropped(docs.sparkSession, since)
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))

@@ -32,22 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy, words
+from .common import dropped, made, stored, tidy, words
 from .components import components
-from .passages import Hashes, _mix, shingles, split
+from .passages import _mix, shingles, split, word_hashes
 from .simhash import BKTree
 
 #: SHARD: shingles that meet in one task at once.
 SHINGLE, SIMILARITY, HASHES, RADIUS, SHARD = 5, 0.8, 8, 26, 1 << 20
 SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(2 * HASHES)], dtype=np.uint64)
 
-def grams(text: str | None, memo: Hashes, k: int) -> np.ndarray:
+def grams(text: str | None, k: int) -> np.ndarray:
     """The hash of each shingle; of all words if there are fewer; none without words."""
-    found = shingles(text, memo, k)
+    found = shingles(text, k)
     if len(found):
         return found
-    w = words(text)
-    return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=1)] if w else [], dtype=np.uint64)
+    w = word_hashes(text)
+    return shingles(text, len(w)) if len(w) else w
 
 
 def _bits(h: np.ndarray) -> int:
@@ -59,11 +59,10 @@ def _bits(h: np.ndarray) -> int:
 
 def _described(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Hashes()
         for b in batches:
             out = []
             for text in b["text"]:
-                h = np.unique(grams(text, memo, k))
+                h = np.unique(grams(text, k))
                 least = [int(_mix(h ^ s).min().view(np.int64)) for s in SEEDS] if len(h) else []
                 d = xxhash.xxh128_intdigest(b" ".join(words(text)))
                 out.append((*(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1)), _bits(h) if len(h) else 0, least, len(h), (h >> np.uint64(32)).astype("<u4").tobytes()))
@@ -240,10 +239,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>, n long, grams binary"), "copies")
-    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("least").alias("least"), F.first("n").alias("n")), "texts", few=True)
+    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("least").alias("least"), F.first("n").alias("n")), "texts")
     of = links(texts, described, similarity).withColumnRenamed("node", "t")
     rooted = texts.join(of, F.col("node") == F.col("t"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
     joined = described.select("node", "doc_id", "d1", "d2").distinct().join(of, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     return joined.select("node", "doc_id", F.col("least.doc_id").alias("group_id"), (F.col("node") == F.col("least.node")).alias("kept"))
@@ -251,11 +250,13 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
 
 def without_near_copies(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group (the smallest id), once."""
-    names = docs.columns
-    of = stored(groups(docs, k, similarity), "groups", few=True)
+    names, spark, since = docs.columns, docs.sparkSession, made(docs.sparkSession)
+    of = stored(groups(docs, k, similarity), "groups")
+    dropped(spark, since, of)
     keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.xxhash64("doc_id", "text").alias("node"))
     repeated = keyed.groupBy("node").count().where("count > 1").select(F.col("node").alias("key"))
     gone = stored(of.where("NOT kept").select(F.col("node").alias("key"), F.lit(True).alias("gone")).unionByName(repeated.withColumn("gone", F.lit(False))).groupBy("key").agg(F.max("gone").alias("gone")), "gone", few=True)
+    dropped(spark, since, gone)
     inside, outside = split(keyed, gone.select("key"), "node")
     left = inside.join(gone.where("gone").select("key"), F.col("node") == F.col("key"), "left_anti").dropDuplicates(["node"])
     return left.unionByName(outside).select("row.*")

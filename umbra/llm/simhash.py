@@ -158,11 +158,11 @@ def links(values: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, component_id (the smallest doc_id that its links reach) of every fingerprint of rows (doc_id, fp)."""
-    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps", few=True)
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     of = components(links(values.select("fp"), radius))
     rooted = values.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     # as a table, so that the join can split a very large component
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", few=True)
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return rooted.join(least, "root").select("fp", "component_id")
 
 

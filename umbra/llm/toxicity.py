@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, release, stored, table, tidy
+from .common import dropped, fold, made, release, stored, table, tidy
 
 POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 100_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, PARTS = 80, 3, 0.15, 64, 5, 3
@@ -257,6 +257,7 @@ def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifie
 
     rate: how many clean rows each clean row of the sample stands for, against the toxic ones.
     """
+    spark, since = sample.sparkSession, made(sample.sparkSession)
     sample = stored(sample.withColumn("part", F.col("part") % parts), "labelled")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -270,6 +271,7 @@ def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifie
                 yield pd.DataFrame({"x": list(features(rows["text"].tolist(), memos[part])), "toxic": rows["toxic"], "part": rows["part"]})
 
     rows = sample.mapInPandas(tidy(run), "x array<double>, toxic int, part int").collect()  # the sample's bound
+    dropped(spark, since)
     x, y, part = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], dtype=np.float64), np.array([r.part for r in rows])
     order = np.lexsort((*x.T, y, part))
     x, y, part = x[order], y[order], part[order]
