@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from umbra.llm import embeddings as E
 
@@ -31,8 +32,11 @@ def test_against_all_pairs(spark, sf_dir):
     assert all(g.kept == (g.vec_id == g.component_id) for g in got.values())
 
 
-def test_many_cells_and_blocks(spark, monkeypatch):
-    """Random vectors with pairs just above the threshold, and one large dense group, over many small cells."""
+@pytest.mark.parametrize("most", [E.MOST_CELLS, 6])
+def test_many_cells_and_blocks(spark, monkeypatch, most):
+    """Random vectors with pairs just above the threshold, and one large dense group, over many small cells; with few also inside cells."""
+    monkeypatch.setattr(E, "MOST_CELLS", most)
+    monkeypatch.setattr(E, "DEALT", 300)
     r = np.random.default_rng(0)
     x = r.normal(size=(1500, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

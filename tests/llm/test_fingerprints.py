@@ -48,6 +48,45 @@ def test_next(made, none):
     assert P.with_next(none).count() == 0
 
 
+def test_next_of_one_id(made, monkeypatch):
+    """Thousands of rows without an id, or of one, are divided by their texts' hashes and still follow each other."""
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 16)
+    rows = [(None, f"n{i}") for i in range(1500)] + [(7, f"s{i}") for i in range(1500)] + [(i, f"t{i}") for i in range(10, 60)]
+    out = P.with_next(made(rows), 8)
+    got = {(r.doc_id, r.text): r.next_text for r in out.where("NOT ahead").collect()}
+    assert len(got) == 3050 and sorted(got.values()) == sorted(t for _, t in rows)
+    assert all(got[(i, f"t{i}")] == f"t{i - 1}" for i in range(11, 60)) and got[(10, "t10")][0] == "s"
+    assert sum(got[(None, f"n{i}")][0] == "n" for i in range(1500)) == 1499 and sum(got[(7, f"s{i}")][0] == "s" for i in range(1500)) == 1499
+    assert out.groupBy("bucket").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_matches_by_place(made):
+    """A text found inside another has its shift; two texts without a common anchor have none."""
+    a, b, c = stories(3, 150, 71)
+    docs = made([(1, a), (2, b + " " + a), (3, a[: len(a) // 2] + b[: len(b) // 2]), (4, c), (5, None), (6, "x y " * 500)])
+    pairs = docs.sparkSession.createDataFrame([(1, 2), (2, 1), (1, 3), (1, 4), (1, 5), (6, 6)], "a long, b long")
+    got = {(r.a, r.b): (r.shift, r.anchors) for r in P.matches(pairs, docs).collect()}
+    assert got[(1, 2)][0] == len(b) + 1 and got[(2, 1)] == (-len(b) - 1, got[(1, 2)][1]) and got[(1, 3)][0] == 0
+    assert set(got) == {(1, 2), (2, 1), (1, 3)} and got[(1, 2)][1] > 1.5 * got[(1, 3)][1]
+
+
+def test_near_columns_by_sets(spark, sf_dir):
+    """The likenesses against those of the fingerprints as sets, and the edited text's own likeness of all anchors."""
+    def parts(f):
+        return {f[i : i + 8] for i in range(0, len(f), 8)}
+
+    def like(x, y):
+        x, y = parts(x), parts(y)
+        u = sorted(x | y)[: P.SIZE]
+        return len(set(u) & x & y) / len(u) if u else 1.0
+
+    got = sorted(P.op1_fingerprints(spark, sf_dir).collect(), key=lambda r: -r.doc_id)
+    for r, following in zip(got, [*got[1:], got[0]], strict=True):
+        assert abs(r.near_edited - like(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        if following.doc_id != r.doc_id:
+            assert abs(r.near_next - like(r.fingerprint, following.fingerprint)) < 1e-12
+
+
 def test_likeness(spark):
     rows = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([], [1])], "a array<long>, b array<long>")
     assert [r.l for r in rows.select(P.likeness(F.col("a"), F.col("b")).alias("l")).collect()] == [0.5, 1.0, 0.0]

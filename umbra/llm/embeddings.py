@@ -2,6 +2,9 @@
 
 Equal vectors are one, with their number. Centres are fitted on a sample of SAMPLE vectors at most (those of lowest hash);
 every vector has a home cell, the nearest, and visits up to PROBES - 1 more whose cosine is within MARGIN of the home's.
+Cells are so many that each holds PER_CELL vectors or so. Where these would be over MOST_CELLS, each cell is divided the
+same way by centres of its own, fitted on some SAMPLE of its members: enough for MOST_CELLS * SAMPLE / 8 cells, a
+thousand million vectors; its vectors are dealt out, and each part is given the cell's centres.
 A cell's members meet its visitors in blocks of about BLOCK by cosine products in double precision; a pair that could be
 met in two cells counts in one. Blocks return sums of links and labels that span them, not pairs. Of each component the
 smallest vec_id is kept.
@@ -10,7 +13,8 @@ Recall: a pair is missed only if neither vector visits the other's home. The tes
 1.0 on the test tables, and at least 0.99 for random pairs planted at cosines just above the threshold.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite values links with nothing; vectors of different
-lengths don't link; a row without vec_id links with nothing and has no component; rows with one vec_id are one node.
+lengths don't link; a row without vec_id links with nothing and has no component; rows with one vec_id are one node; equal
+vectors count as links of each other; an empty table has no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .common import stored, table, tidy
 from .components import components
 
 SAMPLE, PER_CELL, MOST_CELLS, PROBES, MARGIN, BLOCK, STEPS = 16384, 512, 1024, 8, 0.25, 1024, 6
+#: Numbers for the cells inside a cell; vectors of a cell that are given its centres at once.
+INSIDE, DEALT = 1 << 20, 1 << 16
 
 
 def unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -66,18 +72,86 @@ def _cells(centres: dict[int, np.ndarray], probes: int, margin: float):
                     cells = np.zeros((len(rows), 1), dtype=np.int64)
                     visits = np.ones((len(rows), 1), dtype=bool)
                 else:
-                    near = unit(rows["embedding"].tolist()) @ c.T
-                    n = min(probes, near.shape[1])
-                    cells = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                    close = np.take_along_axis(near, cells, axis=1)
-                    order = np.argsort(-close, axis=1, kind="stable")
-                    cells, close = np.take_along_axis(cells, order, axis=1), np.take_along_axis(close, order, axis=1)
-                    visits = close >= close[:, :1] - margin
+                    cells, visits = _nearest(unit(rows["embedding"].tolist()), c, probes, margin)
                 yield pd.DataFrame({"id": rows["id"], "n": rows["n"], "dim": dim, "home": cells[:, 0], "cells": [r[v].tolist() for r, v in zip(cells, visits, strict=True)], "embedding": rows["embedding"]})
 
     return run
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centres of unit rows, the best first, and which of them are within the margin of the best."""
+    near = x @ centres.T
+    n = min(probes, near.shape[1])
+    cells = np.argpartition(-near, n - 1, axis=1)[:, :n]
+    close = np.take_along_axis(near, cells, axis=1)
+    order = np.argsort(-close, axis=1, kind="stable")
+    cells, close = np.take_along_axis(cells, order, axis=1), np.take_along_axis(close, order, axis=1)
+    return cells, close >= close[:, :1] - margin
+
+
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """dim, cell, centres (one after the other) of each cell's sample; k says how many."""
+    at, held = None, []
+
+    def done() -> pd.DataFrame:
+        rows = pd.concat(held)
+        x = unit(rows["embedding"].tolist())
+        k = min(int(rows["k"].iloc[0]), max(1, len(x) // 8))
+        return pd.DataFrame({"dim": [at[0]], "cell": [at[1]], "centres": [spherical_kmeans(x, k).ravel()]})
+
+    for b in batches:
+        for key, rows in b.groupby(["dim", "cell"], sort=False):
+            if key != at:
+                if held:
+                    yield done()
+                at, held = key, []
+            held.append(rows)
+    if held:
+        yield done()
+
+
+def _inside(probes: int, margin: float):
+    """id, home and cells of vectors that follow the centres of their cell (head)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, centres = None, None
+        for b in batches:
+            for (dim, cell, _), rows in b.groupby(["dim", "cell", "part"], sort=False):
+                first = rows["head"].to_numpy(dtype=bool)
+                if first.any():
+                    at, centres = (dim, cell), np.asarray(rows["centres"][first].iloc[0], dtype=np.float64).reshape(-1, dim)
+                rows = rows[~first]
+                if not len(rows):
+                    continue
+                if at != (dim, cell):  # no member of the sample: one cell
+                    cells, close = np.zeros((len(rows), 1), dtype=np.int64), np.ones((len(rows), 1), dtype=bool)
+                else:
+                    cells, close = _nearest(unit(rows["embedding"].tolist()), centres, probes, margin)
+                cells = cells + int(cell) * INSIDE
+                home = np.where(rows["own"].to_numpy(dtype=bool), cells[:, 0], -1)
+                yield pd.DataFrame({"id": rows["id"], "home": home, "cells": [r[v].tolist() for r, v in zip(cells, close, strict=True)]})
+
+    return run
+
+
+def divided(placed: DataFrame, sample: int, per_cell: int, probes: int, margin: float) -> DataFrame:
+    """placed (id, n, dim, home, cells, embedding) with cells inside the cells."""
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = dict(placed.dtypes)["embedding"]
+    members = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("members"))  # MOST_CELLS rows for each length
+    own = placed.select("id", "dim", F.col("home").alias("cell"), "embedding").join(F.broadcast(members), ["dim", "cell"])
+    few = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("members")
+    chosen = own.where(few).withColumn("k", F.ceil(F.col("members") / per_cell).cast("int"))
+    centres = stored(chosen.repartition(parts, "dim", "cell").sortWithinPartitions("dim", "cell", F.xxhash64("id"), "id").mapInPandas(tidy(_fit), "dim int, cell long, centres array<double>"), "centres")
+    at = placed.select("id", "dim", "home", F.explode("cells").alias("cell"), "embedding").join(F.broadcast(members), ["dim", "cell"], "left")
+    count = F.ceil(F.coalesce("members", F.lit(1)) / DEALT)
+    rows = at.select("dim", "cell", F.pmod(F.xxhash64("id", F.lit(2)), count).alias("part"), F.lit(False).alias("head"), "id", (F.col("cell") == F.col("home")).alias("own"), F.lit(None).cast("array<double>").alias("centres"), "embedding")
+    heads = centres.join(F.broadcast(members), ["dim", "cell"]).select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / DEALT) - 1)).alias("part"), F.lit(True).alias("head"), F.lit(0).cast("long").alias("id"), F.lit(False).alias("own"), "centres", F.lit(None).cast(kind).alias("embedding"))
+    inside = heads.unionByName(rows).repartition(parts, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", F.desc("head"), "id").mapInPandas(tidy(_inside(probes, margin)), "id long, home long, cells array<long>")
+    found = inside.groupBy("id").agg(F.max("home").alias("home"), F.flatten(F.collect_list("cells")).alias("cells"))
+    return placed.drop("home", "cells").join(found, "id").select("id", "n", "dim", "home", "cells", "embedding")
+
+
 def _compare(threshold: float, most: int):
     """Rows of one block after another, its members first: what each vector gained in links, and its label in the block."""
 
@@ -172,13 +246,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, sample: int = SAMP
     centres = {dim: spherical_kmeans(unit(x), min(cells, len(x))) for dim, x in fitted.items()}
     kind = dict(rows.dtypes)["embedding"]
     placed = stored(vectors.select("id", "n", "embedding").mapInPandas(tidy(_cells(centres, probes, margin)), f"id long, n long, dim int, home long, cells array<long>, embedding {kind}"), "cells")
-    # one row for each cell, MOST_CELLS at most for each length of vectors
+    most = probes
+    if -(-count // per_cell) > MOST_CELLS:
+        placed, most = stored(divided(placed, sample, per_cell, probes, margin), "cells"), probes * probes
     blocks = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    at = placed.withColumn("cell", F.explode("cells")).join(F.broadcast(blocks), ["dim", "cell"])
+    at = placed.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"])
     numbers = F.when(F.col("cell") == F.col("home"), F.sequence(F.lit(0), own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = at.withColumns({"own": own, "block": F.explode(numbers)}).withColumn("guest", (F.col("cell") != F.col("home")) | (F.col("block") != F.col("own"))).drop("own", "blocks")
-    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(tidy(_compare(threshold, probes)), "id long, links long, label long"), "found")
+    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(tidy(_compare(threshold, most)), "id long, links long, label long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("id").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "root")
     of = vectors.select("d1", "d2", "id", "n").join(links, "id", "left").join(reached, F.col("id") == F.col("node"), "left").select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))

@@ -6,7 +6,9 @@ The choice depends on the k-mer alone, so a passage keeps its anchors wherever i
 the smallest hashes of both that both hold, an estimate of the Jaccard likeness of their anchor sets.
 
 Defined cases: a null text counts as empty; an empty text has the fingerprint '' and is like (1.0) empty texts only; a
-text without anchor (shorter than k, or by chance) has its own hash as its only anchor.
+text without anchor (shorter than k, or by chance) has its own hash as its only anchor; repeated rows, and texts that are
+equal, have equal fingerprints; an empty table has none; other columns are kept, whatever their names but `fingerprint`;
+a very long text is one row's arrays (some 100 bytes for each code point), so an executor's memory bounds it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import small, table
 
 #: With K = S + 7 a k-mer has eight s-mers: three doubling steps give its minimum, and its first and last s-mer hold all its characters.
 S, K, SIZE = 9, 16, 128
-ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 256, 64, 65536
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS, TIE_BITS = 256, 64, 65536, 20
 
 
 def _let(value: Column, body) -> Column:
@@ -99,15 +101,36 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataF
     return docs.withColumn("fingerprint", as_text(sketch(F.coalesce(F.col(text), F.lit("")), size)))
 
 
+def places(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, hash, pos: the anchors that a document holds once, and where; what it repeats says nothing about places."""
+    found = docs.select("doc_id", F.explode(anchors(F.col(text))).alias("a")).select("doc_id", "a.*")
+    return found.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where("n = 1").drop("n")
+
+
+def matches(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """a, b, shift, anchors, first, last of pairs of documents (a, b): positional matching by anchors that both hold once.
+
+    shift is by how many code points b's text lies behind a's where most anchors agree (the smallest of equals), first and
+    last are the places in a of the first and last of them. Pairs without a common anchor are left out. doc_id names one
+    document; rows of one id are read as one text's anchors.
+    """
+    at = places(docs.join(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi"), text)
+    left = pairs.select("a", "b").distinct().join(at.select(F.col("doc_id").alias("a"), "hash", F.col("pos").alias("a_pos")), "a")
+    both = left.join(at.select(F.col("doc_id").alias("b"), "hash", F.col("pos").alias("b_pos")), ["b", "hash"])
+    lines = both.groupBy("a", "b", (F.col("b_pos") - F.col("a_pos")).alias("shift")).agg(F.count("*").alias("anchors"), F.min("a_pos").alias("first"), F.max("a_pos").alias("last"))
+    best = lines.groupBy("a", "b").agg(F.max(F.struct("anchors", (-F.col("shift")).alias("by"), "shift", "first", "last")).alias("m"))
+    return best.select("a", "b", "m.shift", "m.anchors", "m.first", "m.last")
+
+
 def _bucket(x: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most x, looked up in two steps; null: 0."""
+    """How many of the ascending bounds are at most x, looked up in two steps; null: -1."""
     if not bounds:
-        return F.lit(0)
+        return F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0))
     step = max(1, math.isqrt(len(bounds)))
     array = lambda xs: F.array(*[F.lit(v) for v in xs]) if len(xs) < 2 else F.expr(f"array({','.join(f'{v}L' for v in xs)})")
     upper = F.size(F.filter(array(bounds[step - 1 :: step]), lambda b: b <= x)) * step
     lower = _let(upper, lambda n: n + F.size(F.filter(F.slice(array(bounds), n + 1, step), lambda b: b <= x)))
-    return F.when(x.isNull(), F.lit(0)).otherwise(lower)
+    return F.when(x.isNull(), F.lit(-1)).otherwise(lower)
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -123,13 +146,22 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
     shares = [i / buckets for i in range(1, buckets)]
     found = docs.agg(F.percentile_approx("doc_id", shares, 10 * buckets).alias("x")).first().x or []
-    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(found))))
-    # one row for each range, at most MOST_BUCKETS
+    # an id at which several shares lie is a range of its own
+    bounds = sorted({*found, *(x + 1 for x, y in zip(found, found[1:], strict=False) if x == y)})
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("bucket", _bucket(F.col("doc_id"), bounds).cast("long") * F.lit(1 << TIE_BITS))
+    # a range of one id (or of null ids) that holds far too many rows is divided by their ties
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    hot = {r.bucket: min(1 << TIE_BITS, -(-r.n // ROWS_PER_BUCKET)) for r in sizes.where(F.col("n") > 4 * max(ROWS_PER_BUCKET, n // MOST_BUCKETS)).collect() if not r.ids or (r.ids == r.n and r.low == r.high)}
+    if hot:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]).cast("map<bigint,bigint>"), F.col("bucket"))
+        upper = F.shiftright("tie", 40) + (1 << 23)  # 24 bits, in the order of ties
+        rows = rows.withColumn("bucket", F.col("bucket") + F.coalesce(F.shiftright(upper * share, 24), F.lit(0)))
+    # one row for each range: MOST_BUCKETS and one for each ROWS_PER_BUCKET rows of an id at most
     last = sorted((r.bucket, r.m.doc_id, r.m.tie) for r in rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("m")).collect())
     if not last:
         return rows.withColumns({"next_text": F.col("text"), "ahead": F.lit(False)})
     edges = [(last[(i + 1) % len(last)][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(last)]
-    ends = small(spark, edges, "to int, edge_id long, edge_tie long")
+    ends = small(spark, edges, "to long, edge_id long, edge_tie long")
     ahead = rows.join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("edge_id")) & (F.col("tie") == F.col("edge_tie")))
     ahead = ahead.select("doc_id", "text", "tie", F.col("to").alias("bucket"), F.lit(True).alias("ahead")).dropDuplicates(["bucket", "doc_id", "tie"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,8 @@ Only distinct fingerprints enter the trees; a shard returns a spanning set of li
 
 Defined cases: null and empty texts have no shingle and the fingerprint 0, which links like any other; fewer words than
 a shingle needs are one shingle; equal rows share a fingerprint; a null id is never the name of a component that has
-another id; an empty table has no rows.
+another id; an empty table has no rows; other columns don't matter; the shingles of a very long text are hashed 65,536 at a time
+and counted, in memory of some 100 bytes a word.
 """
 
 from __future__ import annotations

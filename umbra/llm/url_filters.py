@@ -3,12 +3,14 @@
 A listed URL is a host and the beginning of a path; it fits its host and all subdomains if the path starts so. Every
 distinct url has few candidates: the ends of its host by labels, each with the beginnings of its path at the lengths
 that are listed. The filter (64-byte blocks, one bit in each of eight words a key) drops nearly all that aren't
-listed; the hash join with the list itself removes the false positives. The filter has at most MOST_BLOCKS rows (4 MiB)
+listed; the hash join with the list itself removes the false positives. The filter has at most MOST_BLOCKS rows (16 MiB, eleven million keys)
 however long the list is, so it is broadcast; a longer list only lets more candidates through to the join.
 
 Defined cases: a null url or one without `://` has an empty host and path and fits nothing; listed rows with a null
 host or path, or an empty host, fit nothing; of a key listed twice `allow` counts; the longest key wins, then the longer
-host; what fits nothing has the verdict `otherwise`.
+host; what fits nothing has the verdict `otherwise`; repeated urls are judged once, repeated rows are kept; without pages
+there is no row, without a list every page has the verdict `otherwise`; a very long url has one candidate for each end of
+its host and each listed length of a path; other columns are kept, whatever their names but host, path, rule and verdict.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, table
 
-WORDS, BITS_PER_KEY, BLOCK_BITS, MOST_BLOCKS = 8, 12, 512, 65536
+WORDS, BITS_PER_KEY, BLOCK_BITS, MOST_BLOCKS = 8, 12, 512, 1 << 18
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -69,9 +71,12 @@ def decide(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
         best = found.groupBy("url").agg(F.max(F.struct(F.length("key").alias("length"), "host_length", "key", "verdict")).alias("best"))
     else:
         best = urls.select("url", F.lit(None).cast("struct<length:int,host_length:int,key:string,verdict:string>").alias("best")).limit(0)
-    best = best.withColumnRenamed("url", "judged_url")
-    joined = pages.join(best, F.col("url") == F.col("judged_url"), "left")
-    return joined.select(*[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")], host.alias("host"), path.alias("path"), F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    # a page is carried in a struct, so that its columns clash with nothing
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"))
+    joined = rows.join(best.select(F.col("url").alias("judged_url"), "best"), F.col("page.url") == F.col("judged_url"), "left")
+    host, path = host_and_path(F.col("page.url"))
+    kept = [F.col(f"page.`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    return joined.select(*kept, host.alias("host"), path.alias("path"), F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
 #: The rules of the query: host, path, verdict.
