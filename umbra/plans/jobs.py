@@ -63,12 +63,12 @@ def order_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upgrade_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paid = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id"), F.lit("enterprise").alias("tier")).distinct()
+    paid = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"), F.lit("enterprise").alias("tier")).distinct()
     return J.upserted(profiles(spark, sf_dir), paid, "id").select("id", F.coalesce("tier", F.lit("-")).alias("tier"))
 
 
 def delete_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id"))
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
     return J.deleted(profiles(spark, sf_dir), gone, "id").select("id")
 
 
@@ -193,8 +193,8 @@ SQL = {
     "country_rule": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'DE' WHEN c_custkey % 3 = 1 THEN 'FR' WHEN c_custkey % 2 = 0 THEN 'IN' ELSE 'US' END AS country FROM customer",
     "plan_catalogue": f"SELECT id, name, features, 'INR' AS currency, price_monthly_inr AS monthly, price_yearly_inr AS yearly FROM ({PLANS}) WHERE active ORDER BY price_monthly_usd, id",
     "order_price": f"SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN price_yearly_inr ELSE price_monthly_inr END ELSE CASE WHEN o_orderkey % 2 = 0 THEN price_yearly_usd ELSE price_monthly_usd END END, -1) AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'INR' ELSE 'USD' END AS currency FROM orders LEFT JOIN ({PLANS}) ON o_custkey % 30 = id",
-    "upgrade_tier": f"WITH {P}, c AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 50 = 0) SELECT id, coalesce(CASE WHEN c.id IS NOT NULL THEN 'enterprise' ELSE tier END, '-') AS tier FROM p FULL JOIN c USING (id)",
-    "delete_keys": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)",
+    "upgrade_tier": f"WITH {P}, c AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT') SELECT id, coalesce(CASE WHEN c.id IS NOT NULL THEN 'enterprise' ELSE tier END, '-') AS tier FROM p FULL JOIN c USING (id)",
+    "delete_keys": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "job_latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "job_visible": f"WITH {JOBS} SELECT CASE WHEN user_id = 3 OR (user_id IS NULL AND ip_address = '10.0.0.1') THEN 200 ELSE 403 END AS answer, count(*) AS n FROM j GROUP BY 1",
     "tamper_hash": "SELECT doc_id // 10 AS job, sha256(string_agg(coalesce(text, ''), '' ORDER BY 'f' || doc_id, text)) AS hash FROM documents GROUP BY 1",

@@ -20,9 +20,10 @@ def lock_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations' locks: some rings, some chains."""
-    n = table(spark, sf_dir, "nation")
-    return n.where("n_nationkey % 7 != 6").select(F.concat(F.lit("L"), "n_nationkey").alias("a"), F.expr("concat('L', CASE WHEN n_nationkey % 7 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END)").alias("b"))
+    """Customers' locks: rings of forty and chains of forty."""
+    k = F.col("c_custkey")
+    follows = F.when(k % 80 == 39, k - 39).when(k % 80 != 79, k + 1)
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("L"), k).alias("a"), F.concat(F.lit("L"), follows).alias("b"))
 
 
 def lock_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_order_code, lock_findings, lock_facts)}
 
 ACQ = "q AS (SELECT user_id AS fn, event_id // 100 AS seq, event_id AS pos, event_type || (event_id % 2) AS lock FROM events)"
-EDGES = "e AS (SELECT 'L' || n_nationkey AS a, 'L' || CASE WHEN n_nationkey % 7 = 2 THEN n_nationkey - 2 ELSE n_nationkey + 1 END AS b FROM nation WHERE n_nationkey % 7 <> 6)"
+EDGES = "e AS (SELECT * FROM (SELECT 'L' || c_custkey AS a, 'L' || CASE WHEN c_custkey % 80 = 39 THEN c_custkey - 39 WHEN c_custkey % 80 <> 79 THEN c_custkey + 1 END AS b FROM customer) WHERE b IS NOT NULL)"
 REACH = f"WITH RECURSIVE {EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
 SQL = {
     "lock_edges": f"WITH {ACQ} SELECT DISTINCT a, b FROM (SELECT lock AS a, lead(lock) OVER (PARTITION BY fn, seq ORDER BY pos) AS b FROM q) WHERE b IS NOT NULL",
