@@ -245,6 +245,14 @@ SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'eslint:' || coalesce(r ->
     "autofix_rules": f"SELECT p_partkey, replace(replace(replace({AUTOFIX}, '_init_', '__init__'), 'except:', 'except Exception as e:'), 'requests.post(u)', 'requests.post(u, timeout=10)').replace(CAST(p_partkey AS VARCHAR) || '\")', CAST(p_partkey AS VARCHAR) || '\", timeout=10)') AS fixed FROM part",
     "tool_truncated": "SELECT doc_id, CASE WHEN length(text) > 500 THEN 503 ELSE length(text) END AS n, CASE WHEN length(text) > 500 THEN '...' ELSE right(text, 3) END AS \"end\" FROM documents",
     "byte_truncated": "WITH k AS (SELECT doc_id, text, left(text, len(list_filter(range(1, 301), lambda i: strlen(left(text, i)) <= 300))) AS part FROM documents) SELECT doc_id, CASE WHEN strlen(text) > 300 THEN part || CASE WHEN strlen(part) < 300 THEN chr(65533) ELSE '' END || chr(10) || '...[truncated]' ELSE text END AS cut FROM k",
+    "autofix_diff": f"SELECT p_partkey, {DIFF} AS diff FROM part",
+    "ast_checks": f"""SELECT p_partkey, ordinal, id, 'ast' AS tool, severity, message, file, line, "column", suggestion FROM (
+ SELECT p_partkey, CAST(0 AS BIGINT) AS ordinal, 'ast:bare-except' AS id, 'warning' AS severity, 'Bare except detected (catching all exceptions).' AS message, 'p' || p_partkey || '.py' AS file, 5 AS line, -1 AS "column", 'Catch specific exceptions or use `except Exception as e`.' AS suggestion FROM part WHERE p_partkey % 7 <> 0
+ UNION ALL SELECT p_partkey, 1, 'ast:insecure-eval', 'error', 'Use of eval() is insecure.', 'p' || p_partkey || '.py', 6, -1, 'Avoid eval/exec; validate inputs and avoid dynamic execution.' FROM part WHERE p_partkey % 7 <> 0
+ UNION ALL SELECT p_partkey, 0, 'ast:syntax', 'error', 'SyntaxError: ''('' was never closed', '<unknown>', 7, 1, 'Fix syntax error.' FROM part WHERE p_partkey % 7 = 0)""",
+    "validated_snippets": f"SELECT id || '/' || path AS path, language, CAST(e AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS info, CASE WHEN e = 1 THEN 'error' ELSE 'ok' END AS status, e AS findings FROM (SELECT *, CASE WHEN language = 'python' AND id % 12 IN (1, 2, 3, 5, 6, 7, 10, 11) THEN 1 ELSE 0 END AS e FROM ({LANGUAGE8_SQL}))",
+    "tool_results": "SELECT p_partkey, 'flake8' AS tool, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 THEN '' ELSE p_name END AS stdout, CASE WHEN p_partkey % 7 = 0 THEN 'Invalid sandbox result type for flake8' ELSE '' END AS stderr, CASE WHEN p_partkey % 7 = 0 THEN -1 WHEN p_partkey % 3 <> 0 THEN p_size WHEN p_partkey % 2 = 0 THEN 9 ELSE 0 END AS exit_code, CASE WHEN p_partkey % 7 = 0 THEN 'invalid-result-type' ELSE '-' END AS diagnostics FROM part",
+    "error_findings": CAPPED.format(cap=1000) + " SELECT path, arg_min(message, ordinal) AS message FROM f WHERE severity = 'error' GROUP BY path",
     "findings_union": " UNION ALL ".join(f"SELECT * FROM ({_report_sql(t)}) WHERE p_partkey % 4 = {i}" for i, t in UNION.items()),
     "file_reports": "WITH f AS (SELECT o_custkey, o_orderpriority AS m, arg_min(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2), n AS (SELECT o_custkey, count(*) FILTER (s = 'F') AS errors, count(*) FILTER (s = 'O') AS warnings, count(*) FILTER (s NOT IN ('F', 'O')) AS info FROM f GROUP BY 1) SELECT c_custkey AS path, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(info, 0) AS info, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status FROM customer LEFT JOIN n ON c_custkey = o_custkey",
     "typed_scan": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'binary' WHEN 1 THEN 'schema' ELSE 'text' END AS kind, CASE c_custkey % 4 WHEN 0 THEN base64(encode(c_name || chr(10) || 'row')) WHEN 1 THEN c_name ELSE c_name || chr(10) || 'row' END AS body FROM customer",
