@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ROWS_PER_FILE = 100_000
+ROWS_PER_FILE = 50_000
 
 #: The folders that stored() has made, by application, and have not been dropped.
 _made: dict[str, list[str]] = {}
@@ -51,17 +51,21 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return shared_folder(spark, tag)
 
 
-def stored(df: DataFrame, tag: str, few: bool = False, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, few: bool = False, rows: int | None = None, gathered: bool = False) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there.
 
-    few: it is small beside the input and cheap to make, and goes to an eighth as many files as a shuffle has partitions.
-    rows: about so many, known beforehand: it goes to a file for each ROWS_PER_FILE, two at least.
+    few: it is small beside the input (some dozen bytes a document) and cheap to make, and goes to an eighth as many files
+    as a shuffle has partitions. rows: about so many, known beforehand: it goes to a file for each ROWS_PER_FILE, two at
+    least. gathered: it is small but dear to make: it is made in all tasks and then shuffled to as few files.
     """
     spark = df.sparkSession
     path = new_folder(spark, tag)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if few or rows is not None:
-        df = df.coalesce(max(2, parts // 8 if few else min(parts, -(-rows // ROWS_PER_FILE))))
+    files = max(2, min(parts, -(-rows // ROWS_PER_FILE)) if rows is not None else parts // 8)
+    if gathered:
+        df = df.repartition(files)
+    elif few or rows is not None:
+        df = df.coalesce(files)
     df.write.parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)

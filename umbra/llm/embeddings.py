@@ -254,7 +254,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, sample: int = SAMP
     at = placed.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"])
     numbers = F.when(F.col("cell") == F.col("home"), F.sequence(F.lit(0), own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = at.withColumns({"own": own, "block": F.explode(numbers)}).withColumn("guest", (F.col("cell") != F.col("home")) | (F.col("block") != F.col("own"))).drop("own", "blocks")
-    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(tidy(_compare(threshold, most)), "id long, links long, label long"), "found")
+    found = stored(met.repartition(parts, "dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "guest", "id").mapInPandas(tidy(_compare(threshold, most)), "id long, links long, label long"), "found", gathered=True)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("id").alias("u"), F.col("label").alias("v"))).withColumnRenamed("component", "root")
     of = vectors.select("d1", "d2", "id", "n").join(links, "id", "left").join(reached, F.col("id") == F.col("node"), "left").select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fold, mounted, new_folder, stored, table, tidy, words
 
 START, END = b" <s>", b" </s>"  # the space keeps them apart from any word
-BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE, OPEN = 1 << 21, 1 << 21, 16, 1000, 4096
+BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE, OPEN, BLOB_BYTES = 1 << 21, 1 << 19, 16, 1000, 4096, 4 << 20
 
 
 class Model(NamedTuple):
@@ -120,11 +120,17 @@ def _pair_blobs(hot: np.ndarray, shards: int):
             order = np.lexsort((w, u, shard))
             u, w, counts, shard = u[order], w[order], counts[order].astype("<u4"), shard[order]  # a block has fewer tokens than 32 bits count
             edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            out, held = [], 0
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 contexts, runs = np.unique(u[i:j], return_counts=True)
                 head = np.array([len(contexts), j - i], dtype="<u8")
-                data = b"".join(x.tobytes() for x in (head, contexts, runs.astype("<u4"), w[i:j], counts[i:j]))
-                yield pd.DataFrame({"shard": [int(shard[i])], "data": [data]})
+                out.append((int(shard[i]), b"".join(x.tobytes() for x in (head, contexts, runs.astype("<u4"), w[i:j], counts[i:j]))))
+                held += len(out[-1][1])
+                if held >= BLOB_BYTES:
+                    yield pd.DataFrame(out, columns=["shard", "data"])
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["shard", "data"])
 
     return run
 

@@ -38,7 +38,7 @@ from .passages import _mix, shingles, split, word_hashes
 from .simhash import BKTree
 
 #: SHARD: shingles that meet in one task at once.
-SHINGLE, SIMILARITY, HASHES, RADIUS, SHARD = 5, 0.8, 8, 26, 1 << 20
+SHINGLE, SIMILARITY, HASHES, RADIUS, SHARD = 5, 0.8, 8, 26, 1 << 18
 SEEDS = np.array([xxhash.xxh64_intdigest(b"copies", seed=i) for i in range(2 * HASHES)], dtype=np.uint64)
 
 def grams(text: str | None, k: int) -> np.ndarray:
@@ -230,7 +230,7 @@ def links(texts: DataFrame, described: DataFrame, similarity: float = SIMILARITY
     sizes = again.groupBy("key", "root").agg(F.sum("n").alias("s")).groupBy("key").agg(F.sum("s").alias("all"), F.max(F.struct("s", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     open_ = stored(again.join(sizes.select("key", F.col("all"), F.col("m.root").alias("major"), F.col("m.s").alias("most")), "key").drop("n").withColumnRenamed("all", "n"), "open", few=True)
     whole = open_.where(F.col("n") <= shard).select("key", F.lit(0).alias("kind"), long(0).alias("x"), long(0).alias("y"), F.lit(0).alias("side"), "node", "root")
-    more = stored(joined(whole.unionByName(_blocks(open_.where(F.col("n") > shard), shard))), "more", few=True)
+    more = stored(joined(whole.unionByName(_blocks(open_.where(F.col("n") > shard), shard))), "more", gathered=True)
     return of if more.isEmpty() else components(more.unionByName(of.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -239,10 +239,10 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
     node = F.xxhash64("doc_id", "text")
     rows = docs.select(node.alias("node"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     described = stored(rows.mapInPandas(tidy(_described(k)), "node long, doc_id long, d1 long, d2 long, fp long, least array<long>, n long, grams binary"), "copies")
-    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("least").alias("least"), F.first("n").alias("n")), "texts")
+    texts = stored(described.groupBy("d1", "d2").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "node")).alias("first"), F.first("least").alias("least"), F.first("n").alias("n")), "texts", few=True)
     of = links(texts, described, similarity).withColumnRenamed("node", "t")
     rooted = texts.join(of, F.col("node") == F.col("t"), "left").select("d1", "d2", "first", F.coalesce("component", "node").alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least", few=True)
     of = rooted.join(least, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "least")
     joined = described.select("node", "doc_id", "d1", "d2").distinct().join(of, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     return joined.select("node", "doc_id", F.col("least.doc_id").alias("group_id"), (F.col("node") == F.col("least.node")).alias("kept"))
@@ -251,7 +251,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) ->
 def without_near_copies(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group (the smallest id), once."""
     names, spark, since = docs.columns, docs.sparkSession, made(docs.sparkSession)
-    of = stored(groups(docs, k, similarity), "groups")
+    of = stored(groups(docs, k, similarity), "groups", few=True)
     dropped(spark, since, of)
     keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.xxhash64("doc_id", "text").alias("node"))
     repeated = keyed.groupBy("node").count().where("count > 1").select(F.col("node").alias("key"))

@@ -258,7 +258,7 @@ def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifie
     rate: how many clean rows each clean row of the sample stands for, against the toxic ones.
     """
     spark, since = sample.sparkSession, made(sample.sparkSession)
-    sample = stored(sample.withColumn("part", F.col("part") % parts), "labelled")
+    sample = stored(sample.withColumn("part", F.col("part") % parts), "labelled", few=True)
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
