@@ -96,6 +96,12 @@ def format_multifile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.marked_files(files(spark, sf_dir), "project").select("project", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+def json_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON in lines that hold some, in a fence, in a sentence or bare."""
+    line = F.expr("CASE event_id % 3 WHEN 0 THEN concat('so: ', props, ' and so on') WHEN 1 THEN concat('```json', chr(10), props, chr(10), '```') ELSE props END")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(N.found_json(line), F.lit("-")).alias("found"))
+
+
 def editor_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("o_orderkey", T.editor_language(F.col("path")).alias("language"))
 
@@ -123,7 +129,7 @@ def retry_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.coalesce(F.length(T.retry_prompt(F.col("files"), F.lit("do it"), F.col("answer"))), F.lit(0)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (retry_prompts, fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, editor_language, error_fix_prompts, parse_multifile)}
+QUERIES = {f.__name__: f for f in (retry_prompts, fence_language, file_tree, file_blocks, prompt_assembly, prompt_variants, prompt_truncate, normalise_newlines, fenced_blocks, extract_code, analysis_tag, scrub_placeholders, main_file, main_test_file, overlay_merge, size_guard, format_multifile, json_in_text, editor_language, error_fix_prompts, parse_multifile)}
 
 FILES = f"f AS (SELECT o_custkey AS project, {PATH} AS path, {CONTENT} AS content, o_orderkey FROM orders), e AS (SELECT *, CASE WHEN contains(path, '.') THEN CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.FENCE.items())} ELSE lower(regexp_extract(path, '\\.([^.]*)$', 1)) END END AS lang FROM f)"
 BLOCK = "'---' || chr(10) || '**File: ' || path || '**' || chr(10) || '```' || coalesce(nullif(lang, ''), 'plaintext') || chr(10) || replace({content}, '```', '``\\`') || chr(10) || '```' || chr(10) || chr(10)"
@@ -159,6 +165,7 @@ SELECT conv_id, turn, md5(CASE WHEN lower({STRIP.format("string_split(c, chr(10)
     "overlay_merge": "WITH a AS (SELECT c_custkey, c_name AS content FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS content FROM orders GROUP BY 1) SELECT c_custkey, coalesce(b.content, a.content) AS content FROM a FULL JOIN b USING (c_custkey)",
     "size_guard": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) > 30000 AS too_large FROM documents GROUP BY source",
     "format_multifile": f"WITH {FILES} SELECT project, md5(string_agg('**File: ' || path || '**' || chr(10) || '```' || coalesce(lang, '') || chr(10) || replace(content || chr(10), '```', '``\\`') || chr(10) || '```', chr(10) || chr(10) ORDER BY path)) AS text FROM e GROUP BY project",
+    "json_in_text": "SELECT event_id, CASE WHEN json_valid(props) THEN props ELSE '-' END AS found FROM events",
     "editor_language": f"WITH {FILES} SELECT o_orderkey, CASE lower(list_extract(string_split(path, '.'), -1)) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.EDITOR.items())} ELSE 'plaintext' END AS language FROM f",
     "error_fix_prompts": f"SELECT c_custkey, md5(CASE WHEN c_custkey % 3 = 0 THEN {_template_sql('error_fix_brief', lambda p: 'c_name')} ELSE {_template_sql('error_fix', lambda p: 'c_name')} END) AS prompt FROM customer",
     "parse_multifile": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END || o_orderkey || '.py' AS path, 'x = ' || (o_orderkey % 5 + 1) || chr(10) AS code FROM orders WHERE o_orderkey % 5 < 4",
