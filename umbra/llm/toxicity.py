@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, fold, made, release, stored, table, tidy
 
-POSITIVES, NEGATIVES, LEXICON, MEMO = 6000, 12000, 1024, 100_000
+POSITIVES, NEGATIVES, LEXICON, MEMO, HELD = 6000, 12000, 1024, 50_000, 200_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, PARTS = 80, 3, 0.15, 64, 5, 3
 STRETCH = 32
 
@@ -132,7 +132,16 @@ def features(texts: list[str | None], memo: Memo) -> np.ndarray:
 
 
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """unit, part, t, c: in how many toxic and clean texts; sums of some texts after another, HELD units at once."""
     counts, known = Counter(), {}
+
+    def frames() -> Iterator[pd.DataFrame]:
+        rows = list(counts.items())
+        counts.clear()
+        for i in range(0, len(rows), 50_000):
+            some = rows[i : i + 50_000]
+            yield pd.DataFrame({"unit": [k[0] for k, _ in some], "part": [k[1] for k, _ in some], "t": [n * k[2] for k, n in some], "c": [n * (1 - k[2]) for k, n in some]})
+
     for b in batches:
         for text, label, part in zip(b["text"], b["toxic"].tolist(), b["part"].tolist(), strict=True):
             found: set[str] = set()
@@ -143,10 +152,9 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     known[token] = units(plain(token))
                 found.update(known[token])
             counts.update([(u, part, label) for u in found])
-    rows = list(counts.items())
-    for i in range(0, len(rows), 50_000):
-        some = rows[i : i + 50_000]
-        yield pd.DataFrame({"unit": [k[0] for k, _ in some], "part": [k[1] for k, _ in some], "t": [n * k[2] for k, n in some], "c": [n * (1 - k[2]) for k, n in some]})
+            if len(counts) > HELD:
+                yield from frames()
+    yield from frames()
 
 
 def lexicons(sample: DataFrame, parts: int = PARTS, size: int = LEXICON) -> list[dict[str, float]]:
