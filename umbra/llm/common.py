@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import threading
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -42,8 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 ROWS_PER_FILE = 50_000
 
-#: The folders that stored() has made, by application, and have not been dropped.
-_made: dict[str, list[str]] = {}
+#: The folders that stored() has made and that haven't been dropped; each thread of an application has its own.
+_made: dict[tuple[str, int], list[str]] = {}
+
+
+def _mine(spark: SparkSession) -> list[str]:
+    return _made.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -67,7 +72,7 @@ def stored(df: DataFrame, tag: str, few: bool = False, rows: int | None = None,
     elif few or rows is not None:
         df = df.coalesce(files)
     df.write.parquet(path)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _mine(spark).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -75,12 +80,12 @@ def stored(df: DataFrame, tag: str, few: bool = False, rows: int | None = None,
 
 def made(spark: SparkSession) -> int:
     """How many tables are stored by now, for dropped()."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+    return len(_mine(spark))
 
 
 def dropped(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
     """Deletes what was stored since then but for the tables of keep: for steps whose result needs them no more."""
-    paths, kept = _made.get(spark.sparkContext.applicationId, []), {x.stored_at for x in keep}
+    paths, kept = _mine(spark), {x.stored_at for x in keep}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in [x for x in paths[since:] if x not in kept]:
         at = jvm.org.apache.hadoop.fs.Path(path)
