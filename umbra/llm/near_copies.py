@@ -220,11 +220,12 @@ def links(texts: DataFrame, described: DataFrame, similarity: float = SIMILARITY
 
     dealt = F.when(F.col("all") > shard, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("all") / shard).cast("long"))).otherwise(long(0))
     of = components(joined(known.select("key", F.lit(0).alias("kind"), dealt.alias("x"), dealt.alias("y"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))))
-    hot = known.where(F.col("all") > shard).select("key", "node")
+    hot = known.where(F.col("all") > shard).select("node").distinct()
     if hot.isEmpty():
         return of
+    # the further hashes are keys of their own: a text of several hot shards meets the others once by each
     further = texts.select(F.col("node").alias("t"), "n", F.posexplode(F.slice("least", HASHES + 1, HASHES)).alias("j", "h"))
-    again = hot.join(further, F.col("node") == F.col("t")).select(F.xxhash64("key", "j", "h").alias("key"), "node", "n")
+    again = hot.join(further, F.col("node") == F.col("t")).select(F.xxhash64(F.lit("further"), "j", "h").alias("key"), "node", "n")
     roots = of.withColumnsRenamed({"node": "t", "component": "root"})
     again = again.join(roots, F.col("node") == F.col("t"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     sizes = again.groupBy("key", "root").agg(F.sum("n").alias("s")).groupBy("key").agg(F.sum("s").alias("all"), F.max(F.struct("s", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
