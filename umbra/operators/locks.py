@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.sources.folders import shared_folder
+from umbra.operators.cycles import strong_components, witnesses
 
 
 def lock_facts(code: str | None) -> list[tuple[str, str, int, int, str]]:
@@ -84,26 +84,21 @@ def with_pairs(sites: DataFrame, *by: str) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """The locks (node) from which a way of edges leads back; edges a, b.
+    """The locks (node) from which a way of edges (a, b) leads back."""
+    return strong_components(edges).select("node")
 
-    Ways are followed twice as far in each round, as distinct pairs of locks, until a round adds none: a chain or ring of
-    any length takes rounds by its logarithm. Each round is a table in the shared folder.
-    """
-    reach, n = _kept(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct(), "reach")
-    while n:
-        longer = reach.select("a", F.col("b").alias("m")).join(reach.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        reach, more = _kept(reach.unionByName(longer).distinct(), "reach")
-        if more == n:
-            break
-        n = more
-    return reach.where("a = b").select(F.col("a").alias("node")).distinct()
 
+def cycle_reports(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """lock (its component's least), length, cycle: the locks of one cycle of each component, the first again at the end.
 
-def _kept(rows: DataFrame, tag: str) -> tuple[DataFrame, int]:
-    at = shared_folder(rows.sparkSession, tag)
-    rows.write.parquet(at)
-    kept = rows.sparkSession.read.schema(rows.schema).parquet(at)
-    return kept, kept.count()
+    A cycle of more than `most` locks is told by its first ones and its length, so no row grows with the graph; witnesses()
+    has all of it, a row for each lock.
+    """
+    steps = witnesses(edges)
+    length = steps.groupBy("component").agg(F.count("*").alias("length"))
+    shown = steps.where(F.col("position") < most).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda x: x["node"]).alias("locks"))
+    whole = F.concat("locks", F.when(F.col("length") <= most, F.slice("locks", 1, 1)).otherwise(F.slice("locks", 1, 0)))
+    return shown.join(length, "component").select(F.col("component").alias("lock"), "length", whole.alias("cycle"))
 
 
 def double_acquires(acquires: DataFrame, *by: str) -> DataFrame:
@@ -112,15 +107,8 @@ def double_acquires(acquires: DataFrame, *by: str) -> DataFrame:
     return acquires.withColumn("n", n).where("n > 1").drop("n")
 
 
-def inconsistent(orders: DataFrame, thread: str = "thread", locks: str = "locks") -> DataFrame:
-    """first, second: threads that took the same set of locks in another order; joined on the set, not on all pairs."""
-    rows = orders.select(F.col(thread).alias("t"), F.col(locks).alias("l"), F.array_sort(F.array_distinct(locks)).alias("s"))
-    a, b = rows.select(F.col("t").alias("first"), F.col("l").alias("a_order"), "s"), rows.select(F.col("t").alias("second"), F.col("l").alias("b_order"), "s")
-    return a.join(b, "s").where((F.col("first") < F.col("second")) & (F.col("a_order") != F.col("b_order"))).drop("s")
-
-
 def inconsistent_counts(orders: DataFrame, thread: str = "thread", locks: str = "locks") -> DataFrame:
-    """first, n: for how many greater threads (integers) inconsistent() has a pair, counted without the pairs.
+    """first, n: how many greater threads (integers) took the same set of locks in another order, counted without the pairs.
 
     Those of the same set less those of the same order; of a group, the greater ones are those of later buckets of
     threads and the greater ones of the own bucket.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.operators import locks as L
+from umbra.operators.cycles import strong_components
 from umbra.sources.readers import table
 
 
@@ -30,6 +31,22 @@ def lock_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.on_cycles(sparse_edges(spark, sf_dir))
 
 
+def lock_cycle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = L.cycle_reports(sparse_edges(spark, sf_dir))
+    return r.select("lock", "length", F.array_join("cycle", " > ").alias("cycle"))
+
+
+def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows what on a user's day; each day has locks of its own."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    lock = F.concat_ws(":", F.col("user_id"), F.date_format("day", "yyyy-MM-dd"), F.col("event_type"))
+    return L.order_edges(e.select("user_id", "day", F.struct("ts", "event_id").alias("pos"), lock.alias("lock")), "user_id", "day")
+
+
+def lock_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong_components(session_edges(spark, sf_dir))
+
+
 def lock_with_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.with_pairs(acquires(spark, sf_dir), "fn", "seq")
 
@@ -65,7 +82,7 @@ def lock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(L.facts(code)).alias("f")).select("n_nationkey", "f.*")
 
 
-QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_order_code, lock_findings, lock_facts)}
+QUERIES = {f.__name__: f for f in (lock_edges, lock_cycles, lock_cycle_reports, lock_components, lock_with_pairs, double_acquire, inconsistent_order, proposed_order, lock_order_code, lock_findings, lock_facts)}
 
 ACQ = "q AS (SELECT user_id AS fn, event_id // 100 AS seq, event_id AS pos, event_type || (event_id % 2) AS lock FROM events)"
 EDGES = "e AS (SELECT * FROM (SELECT 'L' || c_custkey AS a, 'L' || CASE WHEN c_custkey % 80 = 39 THEN c_custkey - 39 WHEN c_custkey % 80 <> 79 THEN c_custkey + 1 END AS b FROM customer) WHERE b IS NOT NULL)"
@@ -73,6 +90,8 @@ REACH = f"WITH RECURSIVE {EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.
 SQL = {
     "lock_edges": f"WITH {ACQ} SELECT DISTINCT a, b FROM (SELECT lock AS a, lead(lock) OVER (PARTITION BY fn, seq ORDER BY pos) AS b FROM q) WHERE b IS NOT NULL",
     "lock_cycles": f"{REACH} SELECT DISTINCT a AS node FROM r WHERE a = b",
+    "lock_cycle_reports": f"WITH RECURSIVE {EDGES}, w(lock, at, n, way) AS (SELECT a, b, 1, a FROM e UNION ALL SELECT lock, e.b, n + 1, way || ' > ' || at FROM w JOIN e ON w.at = e.a WHERE at > lock) SELECT lock, CAST(n AS BIGINT) AS length, way || ' > ' || lock AS cycle FROM w WHERE at = lock",
+    "lock_components": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type AS a, lead(user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "lock_with_pairs": f"WITH {ACQ} SELECT DISTINCT x.lock AS a, y.lock AS b FROM q x JOIN q y ON x.fn = y.fn AND x.seq = y.seq AND x.pos <> y.pos",
     "double_acquire": f"WITH {ACQ} SELECT fn, seq, pos, lock FROM (SELECT *, row_number() OVER (PARTITION BY fn, seq, lock ORDER BY pos) AS n FROM q) WHERE n > 1",
     "inconsistent_order": "WITH t AS (SELECT event_id // 10 AS thread, list(event_type ORDER BY event_id) AS locks FROM events GROUP BY 1) SELECT x.thread AS first, count(*) AS n FROM t x JOIN t y ON list_sort(list_distinct(x.locks)) = list_sort(list_distinct(y.locks)) AND x.thread < y.thread AND x.locks <> y.locks GROUP BY x.thread",
