@@ -90,7 +90,7 @@ REACH = f"WITH RECURSIVE {EDGES}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.
 SQL = {
     "lock_edges": f"WITH {ACQ} SELECT DISTINCT a, b FROM (SELECT lock AS a, lead(lock) OVER (PARTITION BY fn, seq ORDER BY pos) AS b FROM q) WHERE b IS NOT NULL",
     "lock_cycles": f"{REACH} SELECT DISTINCT a AS node FROM r WHERE a = b",
-    "lock_cycle_reports": f"WITH RECURSIVE {EDGES}, w(lock, at, n, way) AS (SELECT a, b, 1, a FROM e UNION ALL SELECT lock, e.b, n + 1, way || ' > ' || at FROM w JOIN e ON w.at = e.a WHERE at > lock) SELECT lock, CAST(n AS BIGINT) AS length, way || ' > ' || lock AS cycle FROM w WHERE at = lock",
+    "lock_cycle_reports": f"WITH RECURSIVE {EDGES}, w(lock, here, n, way) AS (SELECT a, b, 1, a FROM e UNION ALL SELECT lock, e.b, n + 1, way || ' > ' || here FROM w JOIN e ON w.here = e.a WHERE here > lock) SELECT lock, CAST(n AS BIGINT) AS length, way || ' > ' || lock AS cycle FROM w WHERE here = lock",
     "lock_components": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM (SELECT user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type AS a, lead(user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) || ':' || event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
     "lock_with_pairs": f"WITH {ACQ} SELECT DISTINCT x.lock AS a, y.lock AS b FROM q x JOIN q y ON x.fn = y.fn AND x.seq = y.seq AND x.pos <> y.pos",
     "double_acquire": f"WITH {ACQ} SELECT fn, seq, pos, lock FROM (SELECT *, row_number() OVER (PARTITION BY fn, seq, lock ORDER BY pos) AS n FROM q) WHERE n > 1",
