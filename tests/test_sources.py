@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from umbra.operators import answers as N
@@ -37,8 +38,11 @@ def test_shown(spark):
 def test_audit(spark, tmp_path):
     lines = spark.createDataFrame([("[2024-01-02T03:04:05.000006] READ | a.py | 2",), ("noise",)], "value string")
     S.append_audit(lines, f"{tmp_path}/log")
-    S.append_audit(lines, f"{tmp_path}/log")
-    got = S.audit_lines(spark.read.text(f"{tmp_path}/log")).collect()
+    for _ in range(2):  # the second one replaces the first
+        S.append_audit(lines, f"{tmp_path}/log", "job-7")
+    got = S.audit_lines(S.audit_log(spark, f"{tmp_path}/log")).collect()
+    with pytest.raises(ValueError, match="name of a batch"):
+        S.append_audit(lines, f"{tmp_path}/log", "../x")
     assert len(got) == 2 and got[0].action == "READ" and got[0].details == "a.py | 2"
 
 
@@ -146,8 +150,8 @@ def test_written_back(spark, tmp_path):
 
 def test_streams_to_sinks(spark, tmp_path):
     spark.createDataFrame([("[2024-01-02T03:04:05.000006] READ | a.py",)], "value string").write.text(str(tmp_path / "in"))
-    appended_lines(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "log"))
-    assert [r.action for r in S.audit_lines(spark.read.text(str(tmp_path / "log"))).collect()] == ["READ"]
+    appended_lines(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state"))
+    assert [r.action for r in S.audit_lines(S.audit_log(spark, str(tmp_path / "log"))).collect()] == ["READ"]
     job = spark.createDataFrame([("j", "u", None, "fix", "auto", "2024-01-02")], "job_id string, user_id string, ip_address string, task string, provider string, created_at string")
     for _ in range(2):
         J.inserted(J.new_jobs(job), str(tmp_path / "jobs"))

@@ -16,6 +16,7 @@ def batches(spark, tmp_path, *rows):
     n = 0
     for i, part in enumerate(rows):
         made = [(u, t, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), (n := n + 1)) for u, t, h in part]
+        (tmp_path / "in").parent.mkdir(exist_ok=True)
         spark.createDataFrame(made, KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(0.02)
         for f in os.listdir(tmp_path / "in"):  # in order of time

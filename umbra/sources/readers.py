@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -99,6 +100,14 @@ def audit_line(ts: Column, action: Column, details: Column) -> Column:
     return F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("] "), action, F.lit(" | "), details)
 
 
-def append_audit(lines: DataFrame, path: str) -> None:
-    """Appends lines (column value) to a log folder."""
-    lines.select("value").write.mode("append").text(path)
+def append_audit(lines: DataFrame, path: str, batch: str | None = None) -> None:
+    """Appends lines (column value) to a log, as its folder of that batch: a name given again replaces what it wrote before."""
+    name = batch or f"one-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError(f"{name!r} can't be the name of a batch")
+    lines.select("value").write.mode("overwrite").text(f"{path}/batch={name}")
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """value, batch: the lines of a log."""
+    return spark.read.option("basePath", path).schema("value string, batch string").text(f"{path}/batch=*")

@@ -1,14 +1,20 @@
-"""Streams of jobs and answers, as Structured Streaming queries that end when their input does.
+"""Streams of jobs and answers, as Structured Streaming queries that end when their input does, and logs that streams append to.
 
-Late rows: a row that is older than the watermark is dropped by windowed counts in append mode and by the deduplication.
+Late rows: a row that is older than the watermark is dropped by windowed counts in append mode, by the deduplication and by
+the machines.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.sources.folders import shared_folder
+from umbra.streaming.machines import with_rocksdb
+
 
 def opened(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream."""
@@ -20,12 +26,13 @@ def finished(stream: DataFrame, tag: str, mode: str) -> DataFrame:
     """Runs a stream over what there is, and returns its rows; in complete mode those of the last batch."""
     spark = stream.sparkSession
     at = shared_folder(spark, tag)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "complete":
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")).start()
-    else:
-        query = writer.format("parquet").option("path", f"{at}/rows").start()
-    query.awaitTermination()
+    with with_rocksdb(spark):
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        if mode == "complete":
+            query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/rows")).start()
+        else:
+            query = writer.format("parquet").option("path", f"{at}/rows").start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -36,7 +43,7 @@ def daily_counts(events: DataFrame, at: str = "ts", user: str = "user_id", late:
 
 
 def first_within(events: DataFrame, *keys: str, at: str = "ts", ttl: str = "1 hour") -> DataFrame:
-    """One row for each key until its time to live has passed."""
+    """One row for each key until the watermark, which is ttl behind, has passed it; machines.cache_answers() counts from the write instead."""
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", ttl).dropDuplicatesWithinWatermark(list(keys)).drop("_at")
 
 
@@ -45,7 +52,7 @@ def latest_states(events: DataFrame, by: str, at: str = "ts", tie: str = "event_
 
 
 def deltas(lines: DataFrame, *by: str, line: str = "line", order: str = "n") -> DataFrame:
-    """The text of server-sent events by answer: `data: ` lines up to [DONE] in order; bad JSON adds nothing."""
+    """The text of server-sent events by answer, of a table: `data: ` lines up to [DONE] in order; bad JSON adds nothing."""
     data = F.when(F.col(line).startswith("data: "), F.substring(line, 7, F.length(line)))
     rows = lines.select(*by, F.col(order).alias("n"), data.alias("d")).where("d IS NOT NULL")
     content = F.when(F.col("d") == "[DONE]", None).otherwise(F.get_json_object("d", "$.choices[0].delta.content"))
@@ -55,7 +62,21 @@ def deltas(lines: DataFrame, *by: str, line: str = "line", order: str = "n") ->
     return parts.select(*by, F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("text"))
 
 
-def appended_lines(lines: DataFrame, path: str, tag: str = "audit") -> None:
-    """Appends a stream of audit lines (column value) to a log folder, each once, also after a restart from the same state."""
-    at = shared_folder(lines.sparkSession, tag)
-    lines.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def writer_of(state: str) -> str:
+    """The name under which a stream with that state folder writes."""
+    return hashlib.sha256(state.rstrip("/").encode()).hexdigest()[:16]
+
+
+def into_log(path: str, state: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch as the log's folder of that stream and batch, over what a run that ended early may have left there."""
+    return lambda rows, batch: rows.select("value").write.mode("overwrite").text(f"{path}/batch={writer_of(state)}-{batch:09d}")
+
+
+def appended_lines(lines: DataFrame, path: str, state: str) -> None:
+    """Appends a stream of audit lines (column value) to a log, each once.
+
+    state: the stream's own folder, which the caller names and keeps. It numbers batches, also over runs, and a batch's place
+    in the log follows from both; so a second run adds only new lines, and a batch that is repeated after a stop, or replayed
+    from a state that was set back, replaces itself. Several streams with states of their own may share a log.
+    """
+    lines.select("value").writeStream.foreachBatch(into_log(path, state)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
