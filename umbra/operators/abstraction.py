@@ -7,7 +7,7 @@ import builtins
 import hashlib
 import keyword
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -116,38 +116,92 @@ def comments(code: Column, salt: str = "") -> Column:
 
 def identifiers(code: Column, skip: list[str], salt: str = "", keep: str | None = None) -> Column:
     """Every identifier outside placeholders and skip words becomes a label, but those that begin with `keep`."""
-    words = F.array(*map(F.lit, skip))
-    stays = lambda x: F.array_contains(words, x) if keep is None else F.array_contains(words, x) | x.startswith(keep)
+    stays = staying(skip, keep)
     return relabelled(code, _edge(IDENTIFIER), 2, lambda g: F.when(g[0] != "", g[0]).when(stays(g[1]), g[1]).otherwise(label("IDENT", g[1], salt)))
 
 
-def abstracted(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "", keep: str | None = None) -> Column:
-    """Strings, then numbers, comments and identifiers of code without a parser."""
-    return identifiers(comments(numbers(strings(code, salt), salt), salt), [*skip_words(language), *(allow or [])], salt, keep)
+#: One scan of code, in Java: strings; comments, with strings inside them; labels that hold none of the others; numbers; identifiers.
+_S = STRING_JAVA.removeprefix("(?s)(").removesuffix(")")
+_STRING, _NUMBER = f"(?s:{_S})", _edge(NUMBER)[1:-1]
+_COMMENT = rf"(?://|#)(?:{_STRING}|[^\n])*+|/\*(?:{_STRING}|(?!\*/)(?s:.))*+\*/"
+_LABEL = rf"<<(?:(?!{_STRING}|//|#|/\*(?:{_STRING}|(?!\*/)(?s:.))*+\*/|{_NUMBER})[^<>])++>>"
+TOKEN = rf"({_STRING})|({_COMMENT})|({_LABEL})|({_NUMBER})|({_edge(IDENTIFIER.rpartition('|(')[2][:-1])})"
+INSIDE = rf"({_STRING})|({_NUMBER})"
+MAPPED = "array<struct<kind:string,original:string>>"
 
 
-def _found(text: Column, pattern: str, groups: int, which: int) -> Column:
-    return let(marked(text, pattern, groups), lambda p: F.filter(F.transform(F.slice(p, 2, F.size(p)), lambda x: matched(x)[0][which]), lambda x: x != ""))
+def _entry(kind: str, original: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), original.alias("original"))
+
+
+def _token(out: Column, entries: Column, tail: Column) -> Column:
+    return F.struct(F.concat(out, tail).alias("out"), entries.alias("entries"))
+
+
+def folded(code: Column, stays: Callable[[Column], Column], salt: str = "") -> Column:
+    """struct<safe, entries: array<struct<kind, original>>> of code without a parser, in one scan.
+
+    The tokens of code are read in order. Strings and numbers become labels, also those inside comments, which become
+    labels with them; identifiers do that don't stay. The result is that of strings(), numbers(), comments() and
+    identifiers() one after the other, each over the text that the one before it left.
+    """
+    nothing = F.array().cast(MAPPED)
+
+    def inner(part: Column) -> Column:
+        groups, tail = matched(part)
+        return let(groups, lambda g: F.when(g[0] != "", _token(label("STRING", g[0], salt), F.array(_entry("STRING", g[0])), tail)).otherwise(_token(label("NUMBER", g[1], salt), F.array(_entry("NUMBER", g[1])), tail)))
+
+    def comment(text: Column) -> Column:
+        opened = lambda p: F.struct(F.concat(p[0], F.array_join(F.transform(F.transform(F.slice(p, 2, F.size(p)), inner), lambda x: x["out"]), "")).alias("text"), F.flatten(F.transform(F.transform(F.slice(p, 2, F.size(p)), inner), lambda x: x["entries"])).alias("inside"))
+        return let(marked(text, INSIDE, 2), opened)
+
+    def one(part: Column) -> Column:
+        groups, tail = matched(part)
+        of = lambda g: (
+            F.when(g[4] != "", F.when(stays(g[4]), _token(g[4], nothing, tail)).otherwise(_token(label("IDENT", g[4], salt), F.array(_entry("IDENT", g[4])), tail)))
+            .when(g[0] != "", _token(label("STRING", g[0], salt), F.array(_entry("STRING", g[0])), tail))
+            .when(g[3] != "", _token(label("NUMBER", g[3], salt), F.array(_entry("NUMBER", g[3])), tail))
+            .when(g[1] != "", let(comment(g[1]), lambda c: _token(label("COMMENT", c["text"], salt), F.concat(c["inside"], F.array(_entry("COMMENT", c["text"]))), tail)))
+            .otherwise(_token(g[2], nothing, tail))
+        )
+        return let(groups, of)
+
+    whole = lambda head, tokens: F.struct(F.concat(head, F.array_join(F.transform(tokens, lambda x: x["out"]), "")).alias("safe"), F.flatten(F.transform(tokens, lambda x: x["entries"])).alias("entries"))
+    return let(marked(code, TOKEN, 5), lambda parts: let(F.transform(F.slice(parts, 2, F.size(parts)), one), lambda tokens: whole(parts[0], tokens)))
+
+
+def mapped(entries: Column, salt: str = "") -> Column:
+    """array<struct<kind, original, placeholder>> of folded()'s entries: each original of a kind once, strings, numbers, comments, identifiers."""
+    def of(kind: str) -> Column:
+        found = F.array_distinct(F.transform(F.filter(entries, lambda e: e["kind"] == kind), lambda e: e["original"]))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), label(kind, x, salt).alias("placeholder")))
+
+    return F.concat(*(of(k) for k in ("STRING", "NUMBER", "COMMENT", "IDENT")))
+
+
+def staying(skip: list[str], keep: str | None = None) -> Callable[[Column], Column]:
+    """Whether an identifier is no secret: a skip word, or one that begins with `keep`."""
+    return lambda x: x.isin(*skip) if keep is None else x.isin(*skip) | x.startswith(keep)
+
+
+def abstracted(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "", keep: str | None = None) -> Column:
+    """Strings, numbers, comments and identifiers of code without a parser as labels."""
+    return folded(code, staying([*skip_words(language), *(allow or [])], keep), salt)["safe"]
 
 
 def mapping(code: Column, language: str = "unknown", allow: list[str] | None = None, salt: str = "", keep: str | None = None) -> Column:
-    """array<struct<kind, original, placeholder>> of abstracted(): what each pass replaced, in the text it saw."""
-    def of(kind: str, found: Column) -> Column:
-        return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), label(kind, x, salt).alias("placeholder")))
+    """array<struct<kind, original, placeholder>> of abstracted()."""
+    return let(folded(code, staying([*skip_words(language), *(allow or [])], keep), salt)["entries"], lambda e: mapped(e, salt))
 
-    skip = F.array(*map(F.lit, [*skip_words(language), *(allow or [])]))
-    a = strings(code, salt)
-    b = numbers(a, salt)
-    c = comments(b, salt)
-    names = F.filter(_found(c, _edge(IDENTIFIER), 2, 1), lambda x: ~F.array_contains(skip, x) & ~(x.startswith(keep) if keep else F.lit(False)))
-    return F.concat(of("STRING", _found(code, STRING_JAVA, 1, 0)), of("NUMBER", _found(a, _edge(NUMBER), 1, 0)), of("COMMENT", _found(b, COMMENT, 1, 0)), of("IDENT", names))
+
+def _found(text: Column, pattern: str, groups: int, which: int) -> Column:
+    return let(marked(text, pattern, groups), lambda p: F.filter(F.transform(F.slice(p, 2, F.size(p)), lambda x: matched(x)[0][which]), lambda x: x != ""))
 
 
 def harvested(code: Column, skip: list[str]) -> Column:
     """The identifiers of code outside strings, comments, placeholders and skip words, each once."""
     bare = F.regexp_replace(F.regexp_replace(code, STRING_JAVA, " "), COMMENT, " ")
-    words = F.array(*map(F.lit, skip))
-    return F.filter(F.array_distinct(_found(bare, _edge(IDENTIFIER), 2, 1)), lambda x: ~F.array_contains(words, x))
+    return F.filter(F.array_distinct(_found(bare, _edge(IDENTIFIER), 2, 1)), lambda x: ~x.isin(*skip))
 
 
 def visible(text: Column) -> Column:

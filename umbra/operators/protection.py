@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from umbra.functions.patterns import let
 from umbra.operators import abstraction as A
 from umbra.operators import redaction as R
+from umbra.operators.restoring import opened
 
 MASK = "__MASK_"
 
@@ -35,21 +36,26 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
     tree = F.when(python, F.transform(F.map_entries("p.mapping"), lambda e: F.struct(F.lit("AST").alias("kind"), e["key"].alias("original"), e["value"].alias("placeholder"))))
     rows = rows.withColumns({"code": code, "failed": F.when(python, F.col("p.error")), "tree": F.coalesce(tree, F.array().cast(MAPPING))})
 
-    words = F.lit("unknown")
-    for language, kind in REGISTRY.items():
-        words = F.when(F.col("language") == language, kind).otherwise(words)
-    safe, found = F, F
-    for kind in sorted({*REGISTRY.values(), "unknown"}):
-        safe = safe.when(words == kind, A.abstracted(F.col("code"), kind, keep, salt, MASK))
-        found = found.when(words == kind, A.mapping(F.col("code"), kind, keep, salt, MASK))
-    weak = A.comments(A.numbers(A.strings(F.col("masked"), salt), salt), salt)
-    rest = F.filter(A.mapping(F.col("masked"), "python", keep, salt, MASK), lambda m: m["kind"] != "IDENT")
-    lenient = mode == "lenient"
-    failed = F.col("failed").isNotNull()
+    # the skip list of a language is chosen word by word, so that there is one scan for all of them
+    kinds = {kind: [n for n, k in REGISTRY.items() if k == kind] for kind in sorted({*REGISTRY.values()})}
+
+    def stays(x: Column) -> Column:
+        known = F
+        for kind, names in kinds.items():
+            known = known.when(F.col("language").isin(*names), x.isin(*A.skip_words(kind), *keep))
+        return known.otherwise(x.isin(*A.skip_words("unknown"), *keep)) | x.startswith(MASK)
+
+    rows = rows.withColumn("f", A.folded(F.col("code"), stays, salt))
+    found = let(F.col("f.entries"), lambda e: A.mapped(e, salt))
+    failed, lenient = F.col("failed").isNotNull(), mode == "lenient"
+    weak, rest = F.lit(None).cast("string"), F.array().cast(MAPPING)
+    if lenient:
+        weak = A.comments(A.numbers(A.strings(F.col("masked"), salt), salt), salt)
+        rest = F.filter(A.mapping(F.col("masked"), "python", keep, salt, MASK), lambda m: m["kind"] != "IDENT")
     out = rows.select(
         "path", "secrets", "masked", "language",
-        F.when(failed, weak if lenient else F.lit(None).cast("string")).otherwise(safe).alias("safe"),
-        F.when(failed, rest if lenient else F.array().cast(MAPPING)).otherwise(F.concat("tree", found)).alias("mapping"),
+        F.when(failed, weak).otherwise(F.col("f.safe")).alias("safe"),
+        F.when(failed, rest).otherwise(F.concat("tree", found)).alias("mapping"),
         (F.lit(None).cast("string") if lenient else F.col("failed")).alias("error"),
     )
     if mode != "lenient":
@@ -71,18 +77,16 @@ def _verified(rows: DataFrame, keep: list[str]) -> DataFrame:
     names = F.transform("mapping", lambda m: m["original"])
     found = F.filter(A.harvested(F.col("masked"), skip), lambda x: ~x.startswith(MASK))
     unmapped = F.size(F.array_except(found, names))
-    plain = F.filter(names, lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~F.array_contains(F.array(*map(F.lit, skip)), x))
+    plain = F.filter(names, lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~x.isin(*skip))
     error = F.when((F.col("language") != "python") & (unmapped > 0), F.concat(unmapped.cast("string"), F.lit(" identifier(s) unabstracted"))).when(F.arrays_overlap(plain, A.visible(F.col("safe"))), "an identifier is visible")
     return rows.withColumn("error", F.coalesce("error", error))
 
 
 def reopened(safe: Column, mapping: Column, secrets: Column) -> Column:
-    """Safe text with its originals: labels first, as often as they can stand inside one another, then secrets."""
-    pairs = F.transform(mapping, lambda m: F.struct(m["placeholder"].alias("placeholder"), m["original"].alias("value")))
-    out = safe
-    for _ in range(4):  # identifier or number in a comment, which is in a string, which is a label of the syntax tree
-        out = R.restored(out, pairs)
-    return R.restored(out, F.transform(secrets, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value"))))
+    """Safe text with its originals; a label that stands in the original of another one is opened too."""
+    pairs = F.transform(mapping, lambda m: F.struct(m["placeholder"].alias("placeholder"), m["original"].alias("value"), F.lit(True).alias("nests")))
+    plain = F.transform(secrets, lambda s: F.struct(s["placeholder"].alias("placeholder"), s["value"].alias("value"), F.lit(False).alias("nests")))
+    return opened(safe, F.concat(pairs, plain))
 
 
 def written_back(answers: DataFrame, protected: DataFrame) -> DataFrame:

@@ -295,9 +295,16 @@ def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file is released without its secrets and names, and comes back as it was."""
     corpus = _corpus(spark, sf_dir)
     safe = S.protect(corpus, salt=SALT)
-    back = S.written_back(safe.select("path", "safe"), safe).withColumnRenamed("content", "again")
+    again = S.reopened(F.col("safe"), F.col("mapping"), F.col("secrets"))
     gone = ~F.contains("safe", F.lit("ghp_")) & ~F.contains("safe", F.lit("total")) & F.contains("safe", F.lit("function"))
-    return corpus.join(safe, "path").join(back, "path").select("path", "error", gone.alias("hidden"), (F.col("again") == F.col("content")).alias("same")).fillna("", "error")
+    return corpus.join(safe, "path").select("path", "error", gone.alias("hidden"), (again == F.col("content")).alias("same")).fillna("", "error")
+
+
+def protect_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that is released of each file, and how many of its names, numbers, comments and strings were mapped."""
+    files = code(spark, sf_dir).select(F.concat(F.lit("src/f"), "id", F.lit(".js")).alias("path"), F.col("code").alias("content"))
+    safe = S.protect(files, salt=SALT)
+    return safe.select("path", "safe", F.size("mapping").alias("mapped"), F.size("secrets").alias("secrets"), F.col("error").isNull().alias("released"))
 
 
 def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +325,7 @@ def protect_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "protect_roundtrip": protect_roundtrip,
+    "protect_released": protect_released,
     "protect_python": protect_python,
     "secure_read": secure_read,
     "redact_match_inventory": inventory("documents"),
@@ -362,6 +370,8 @@ v AS (SELECT *, list_filter(list_distinct(regexp_extract_all(safe, {IDENT}, 2)),
 
 SQL = {
     "protect_roundtrip": "SELECT 'src/f' || c_custkey || '.js' AS path, '' AS error, true AS hidden, true AS same FROM customer",
+    "protect_released": f"""WITH {ABSTRACTED} SELECT 'src/f' || p3.id || '.js' AS path, safe, CAST(len(list_distinct(regexp_extract_all(p3.code, {_sql_text(A.STRING_SQL)}, 1))) + len(list_distinct(regexp_extract_all(p3.s, {_sql_text(A.NUMBER)}, 1))) + len(list_distinct(regexp_extract_all(p3.n, {_sql_text(A.COMMENT)}, 1)))
+  + len(list_filter(list_distinct(regexp_extract_all(p3.c, {IDENT}, 0)), lambda x: NOT starts_with(x, '<<') AND NOT list_contains({SKIP_SQL}, x))) AS INTEGER) AS mapped, 0 AS secrets, true AS released FROM p3 JOIN p4 USING (id)""",
     "protect_python": "SELECT 'f' || c_custkey || '.py' AS path, c_custkey % 10 = 0 AS blocked, false AS leaks, c_custkey % 10 <> 0 AS kept_structure FROM customer",
     "redact_match_inventory": sql("documents", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
     "redact_match_inventory_pages": sql("pages", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
