@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.functions.patterns import CATEGORIES, PATTERNS, fused, java, let, marked, matched
+from umbra.functions.patterns import anchored, let, marked, matched
 
 DEFAULT_SALT = "change-me"
 STRICT = ("strict", "gdpr", "dpdpa")
@@ -45,12 +45,14 @@ def blake_placeholder(salt: str) -> Callable:
 
 def matches(text: Column) -> Column:
     """array<struct<category, value, tail>> led by one with a null category, whose tail precedes the first match."""
+    pattern, categories = anchored()
+
     def one(part: Column) -> Column:
         groups, tail = matched(part)
         at = lambda g: F.array_position(F.transform(g, lambda x: x != ""), True).cast("int")
-        return let(groups, lambda g: F.struct(F.element_at(F.array(*map(F.lit, CATEGORIES)), at(g)).alias("category"), F.element_at(g, at(g)).alias("value"), tail.alias("tail")))
+        return let(groups, lambda g: F.struct(F.element_at(F.array(*map(F.lit, categories)), at(g)).alias("category"), F.element_at(g, at(g)).alias("value"), tail.alias("tail")))
 
-    parts = marked(text, fused({name: java(name, p) for name, p in PATTERNS.items()}), len(CATEGORIES))
+    parts = marked(text, pattern, len(categories))
     head = lambda p: F.array(F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("value"), p[0].alias("tail")))
     return let(parts, lambda p: F.concat(head(p), F.transform(F.slice(p, 2, F.size(p)), one)))
 
