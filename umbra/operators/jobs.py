@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,9 +131,36 @@ def latest(events: DataFrame, *by: str, at: str = "ts", tie: str = "event_id", v
 
 
 def tamper_hash(files: DataFrame, *by: str, path: str = "path", content: str = "content") -> DataFrame:
-    """SHA-256 of each group's contents in order of path (by code point)."""
-    rows = files.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(path, F.lit("")).alias("p"), F.coalesce(content, F.lit("")).alias("c")))).alias("f"))
-    return rows.select(*by, F.sha2(F.array_join(F.transform("f", lambda x: x["c"]), ""), 256).alias("hash"))
+    """SHA-256 of each group's contents in order of path (by code point), as the rows pass.
+
+    A group's rows come sorted to one task, which holds the digest so far and one batch: no group is ever one row.
+    """
+    kinds = dict(files.dtypes)
+    rows = files.select(*by, F.coalesce(path, F.lit("")).alias("_path"), F.coalesce(content, F.lit("")).alias("_content"))
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "_path", "_content").select(*by, "_content")
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest = None, None
+        for batch in batches:
+            done = []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True))
+            for k, text in zip(keys, batch.column(n), strict=True):
+                if digest is None or k != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = k, hashlib.sha256()
+                digest.update(text.as_buffer())
+            if done:
+                yield made(done, batch.schema)
+        if digest is not None:
+            yield made([(*key, digest.hexdigest())], batch.schema)
+
+    def made(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(columns[i], schema.field(i).type) for i in range(n)), pa.array(columns[n], pa.string())], names=[*by, "hash"])
+
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "hash string"]))
 
 
 def cache_key(kind: Column, provider: Column, model: Column, prompt: Column) -> Column:

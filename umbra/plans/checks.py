@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from umbra.operators import findings as G
 from umbra.operators.answers import first_errors
 from umbra.plans.privacy import LANGUAGE8_SQL, snippets
+from umbra.sources.files import Files
+from umbra.sources.folders import shared_folder
 from umbra.sources.readers import discovered, shown, table
 
 #: Report lines built from parts, of each tool; one expression for both engines.
@@ -188,7 +190,18 @@ def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", shown(F.col("path"), F.col("content")).alias("s")).select("c_custkey", "s.kind", "s.body")
 
 
+def dataset_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be shown of a folder of data sets, a file for each nation's customers: of each its first line and no more."""
+    at = shared_folder(spark, "headers")
+    rows = table(spark, sf_dir, "customer").repartition("c_nationkey").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows.write.partitionBy("nation").option("header", True).csv(at)
+    spark.dataSource.register(Files)
+    found = spark.read.format("umbra_files").option("include", "*.csv").load(at)
+    return found.select(F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int").alias("nation"), "kind", "body").distinct()
+
+
 QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in REPORTS} | {
+    "dataset_headers": dataset_headers,
     "parse_bandit": parse_bandit,
     "parse_eslint": parse_eslint,
     "parse_json_findings": parse_json_findings,
@@ -229,6 +242,7 @@ DIFF = f"""CASE WHEN p_partkey % 2 = 0 THEN {_diff_sql(*_SAME, '             r =
  ELSE {_diff_sql(*_SAME, '-            r = requests.get("http://x/{k}")' + chr(10), "-        except:" + chr(10), "-            requests.post(u)", '+            r = requests.get("http://x/{k}", timeout=10)' + chr(10), *_NAMED)} END"""
 
 SQL = {f"parse_{t.replace('-', '_').replace(' ', '_')}": _report_sql(t) for t in REPORTS} | {
+    "dataset_headers": "SELECT DISTINCT c_nationkey AS nation, 'schema' AS kind, 'id,name' AS body FROM customer",
     "parse_bandit": f"""WITH t AS (SELECT p_partkey, {BANDIT} AS j FROM part), r AS (SELECT p_partkey, i AS ordinal, json_extract(j, '$.results[' || i || ']') AS r FROM (SELECT *, unnest([0, 1]) AS i FROM t WHERE json_valid(j)))
 SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'bandit:' || coalesce(r ->> 'test_id', 'unknown') AS id, 'bandit' AS tool, CASE lower(coalesce(r ->> 'issue_severity', '')) WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'info' END AS severity,
  coalesce(r ->> 'issue_text', r ->> 'issue_confidence', '') AS message, r ->> 'filename' AS file, coalesce(TRY_CAST(r ->> 'line_number' AS INT), -1) AS line, -1 AS "column", CAST(NULL AS VARCHAR) AS suggestion FROM r""",
