@@ -82,3 +82,23 @@ def test_plan_of_protect(spark):
     corpus = spark.createDataFrame([("a.py", "x = 1"), ("b.js", "let total = 'a' // 5")], "path string, content string")
     plan = P.protect(corpus, salt="s")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 20
+
+
+def test_labels_that_a_corpus_shares(spark):
+    """With one digit nearly all labels are shared; files, their comments and what stands inside them come back."""
+    r = random.Random(5)
+    word = lambda: r.choice(["alpha", "beta", "total", "n"]) + str(r.randrange(60))
+    files = [(f"f{i}.js", "\n".join(f"let {word()} = '{word()} {word()}' + {r.randrange(400)} // see '{word()}' and {r.randrange(99)}" for _ in range(6))) for i in range(40)]
+    corpus = spark.createDataFrame([*files, ("g.py", "def f(x):\n    return x + 'y'\n"), ("h.js", None)], "path string, content string")
+    safe = P.protect(corpus, salt="s", digits=1, unique=True)
+    rows = {x.path: x for x in safe.select("path", "safe", "mapping", "error", P.reopened(F.col("safe"), F.col("mapping"), F.col("secrets")).alias("again")).collect()}
+    assert len(rows) == 42
+    of = {}
+    for path, content in files:
+        assert rows[path].error is None and rows[path].again == content
+        for m in rows[path].mapping:
+            assert of.setdefault((m.kind, m.placeholder), m.original) == m.original  # one original in the whole corpus
+    assert any(label.endswith("_20") for _, label in of)
+    assert {p: x.safe for p, x in rows.items()} != {x.path: x.safe for x in P.protect(corpus, salt="s", digits=1).collect()}
+    long_ = {x.path: x.safe for x in P.protect(corpus, salt="s").collect()}
+    assert {x.path: x.safe for x in P.protect(corpus, salt="s", unique=True).collect()} == long_

@@ -86,10 +86,10 @@ def language8(code: Column, path: Column) -> Column:
     )
 
 
-def label(category: str, original: Column, salt: str = "") -> Column:
+def label(category: str | Column, original: Column, salt: str = "", digits: int = DIGITS) -> Column:
     """<<CATEGORY_12 hex>>, the same for the same original and salt."""
-    name = re.sub(r"[^A-Za-z0-9]", "", category.upper())[:16]
-    return F.concat(F.lit(f"<<{name}_"), F.substring(F.sha2(F.concat(F.lit(salt), original), 256), 1, 12), F.lit(">>"))
+    name = F.lit(re.sub(r"[^A-Za-z0-9]", "", category.upper())[:16]) if isinstance(category, str) else category
+    return F.concat(F.lit("<<"), name, F.lit("_"), F.substring(F.sha2(F.concat(F.lit(salt), original), 256), 1, digits), F.lit(">>"))
 
 
 def random_label(prefix: str, n: int = 8) -> Column:
@@ -102,6 +102,29 @@ def suffixed(labels: DataFrame, by: str, original: str) -> DataFrame:
     return labels.withColumn(by, F.concat(by, F.when(n > 0, F.concat(F.lit("_"), n)).otherwise("")))
 
 
+#: Suffixes that are broadcast, at most: some 100 bytes each.
+SHARED = 100_000
+
+
+def shared_labels(entries: DataFrame, salt: str = "", digits: int = DIGITS, kinds: tuple[str, ...] = ("STRING", "NUMBER", "COMMENT", "IDENT")) -> DataFrame:
+    """kind, original, suffix (_1, _2 and so on) of the originals of a corpus whose label another one has, but for the first of each label.
+
+    entries: kind, original, repeated as they may be. Only labels of several originals are numbered, in order of the original.
+    """
+    once = entries.where(F.col("kind").isin(*kinds)).select("kind", "original").distinct().withColumn("label", label(F.col("kind"), F.col("original"), salt, digits))
+    several = once.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    numbered = once.join(several, "label").withColumn("n", F.expr("row_number() OVER (PARTITION BY label ORDER BY original) - 1"))
+    return numbered.where("n > 0").select("kind", "original", F.concat(F.lit("_"), "n").alias("suffix"))
+
+
+def suffixes_of(entries: DataFrame, shared: DataFrame, *by: str) -> DataFrame:
+    """by, suffixes (map of kind:original -> suffix) of the rows (by, kind, original) that need one; shared is broadcast if it is small."""
+    own = entries.select(*by, "kind", "original").distinct()
+    few = shared.limit(SHARED + 1).count() <= SHARED
+    found = own.join(F.broadcast(shared) if few else shared, ["kind", "original"])
+    return found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "original"), "suffix"))).alias("suffixes"))
+
+
 def strings(code: Column, salt: str = "") -> Column:
     return relabelled(code, STRING_JAVA, 1, lambda g: label("STRING", g[0], salt))
 
@@ -138,18 +161,20 @@ def _token(out: Column, entries: Column, tail: Column) -> Column:
     return F.struct(F.concat(out, tail).alias("out"), entries.alias("entries"))
 
 
-def folded(code: Column, stays: Callable[[Column], Column], salt: str = "") -> Column:
+def folded(code: Column, stays: Callable[[Column], Column], salt: str = "", named: Callable[[str, Column], Column] | None = None) -> Column:
     """struct<safe, entries: array<struct<kind, original>>> of code without a parser, in one scan.
 
     The tokens of code are read in order. Strings and numbers become labels, also those inside comments, which become
     labels with them; identifiers do that don't stay. The result is that of strings(), numbers(), comments() and
-    identifiers() one after the other, each over the text that the one before it left.
+    identifiers() one after the other, each over the text that the one before it left. named: another label of a kind and
+    an original.
     """
+    named = named or (lambda kind, x: label(kind, x, salt))
     nothing = F.array().cast(MAPPED)
 
     def inner(part: Column) -> Column:
         groups, tail = matched(part)
-        return let(groups, lambda g: F.when(g[0] != "", _token(label("STRING", g[0], salt), F.array(_entry("STRING", g[0])), tail)).otherwise(_token(label("NUMBER", g[1], salt), F.array(_entry("NUMBER", g[1])), tail)))
+        return let(groups, lambda g: F.when(g[0] != "", _token(named("STRING", g[0]), F.array(_entry("STRING", g[0])), tail)).otherwise(_token(named("NUMBER", g[1]), F.array(_entry("NUMBER", g[1])), tail)))
 
     def comment(text: Column) -> Column:
         opened = lambda p: F.struct(F.concat(p[0], F.array_join(F.transform(F.transform(F.slice(p, 2, F.size(p)), inner), lambda x: x["out"]), "")).alias("text"), F.flatten(F.transform(F.transform(F.slice(p, 2, F.size(p)), inner), lambda x: x["entries"])).alias("inside"))
@@ -158,10 +183,10 @@ def folded(code: Column, stays: Callable[[Column], Column], salt: str = "") -> C
     def one(part: Column) -> Column:
         groups, tail = matched(part)
         of = lambda g: (
-            F.when(g[4] != "", F.when(stays(g[4]), _token(g[4], nothing, tail)).otherwise(_token(label("IDENT", g[4], salt), F.array(_entry("IDENT", g[4])), tail)))
-            .when(g[0] != "", _token(label("STRING", g[0], salt), F.array(_entry("STRING", g[0])), tail))
-            .when(g[3] != "", _token(label("NUMBER", g[3], salt), F.array(_entry("NUMBER", g[3])), tail))
-            .when(g[1] != "", let(comment(g[1]), lambda c: _token(label("COMMENT", c["text"], salt), F.concat(c["inside"], F.array(_entry("COMMENT", c["text"]))), tail)))
+            F.when(g[4] != "", F.when(stays(g[4]), _token(g[4], nothing, tail)).otherwise(_token(named("IDENT", g[4]), F.array(_entry("IDENT", g[4])), tail)))
+            .when(g[0] != "", _token(named("STRING", g[0]), F.array(_entry("STRING", g[0])), tail))
+            .when(g[3] != "", _token(named("NUMBER", g[3]), F.array(_entry("NUMBER", g[3])), tail))
+            .when(g[1] != "", let(comment(g[1]), lambda c: _token(named("COMMENT", c["text"]), F.concat(c["inside"], F.array(_entry("COMMENT", c["text"]))), tail)))
             .otherwise(_token(g[2], nothing, tail))
         )
         return let(groups, of)
@@ -170,11 +195,13 @@ def folded(code: Column, stays: Callable[[Column], Column], salt: str = "") -> C
     return let(marked(code, TOKEN, 5), lambda parts: let(F.transform(F.slice(parts, 2, F.size(parts)), one), lambda tokens: whole(parts[0], tokens)))
 
 
-def mapped(entries: Column, salt: str = "") -> Column:
+def mapped(entries: Column, salt: str = "", named: Callable[[str, Column], Column] | None = None) -> Column:
     """array<struct<kind, original, placeholder>> of folded()'s entries: each original of a kind once, strings, numbers, comments, identifiers."""
+    named = named or (lambda kind, x: label(kind, x, salt))
+
     def of(kind: str) -> Column:
         found = F.array_distinct(F.transform(F.filter(entries, lambda e: e["kind"] == kind), lambda e: e["original"]))
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), label(kind, x, salt).alias("placeholder")))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), named(kind, x).alias("placeholder")))
 
     return F.concat(*(of(k) for k in ("STRING", "NUMBER", "COMMENT", "IDENT")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from umbra.functions.patterns import let
 from umbra.operators import abstraction as A
 from umbra.operators import redaction as R
 from umbra.operators.restoring import opened
+from umbra.sources.folders import Rounds
 
 MASK = "__MASK_"
 
@@ -18,13 +21,14 @@ REGISTRY: dict[str, str] = {"javascript": "javascript", "typescript": "javascrip
 MAPPING = "array<struct<kind:string,original:string,placeholder:string>>"
 
 
-def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEFAULT_SALT, mode: str = "strict", redaction: str = "reference") -> DataFrame:
+def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEFAULT_SALT, mode: str = "strict", redaction: str = "reference", digits: int = A.DIGITS, unique: bool = False) -> DataFrame:
     """path, language, safe, secrets, mapping, error of a corpus (path, content); safe is null where error isn't.
 
     The corpus is read and redacted once. Code in a language without a parser is abstracted by native expressions, Python
     by its syntax tree in an Arrow function and then by the same expressions, which hide attributes and imports too. mode
     "lenient" abstracts strings, numbers and comments of Python that can't be parsed instead of blocking it, and verifies
-    nothing.
+    nothing. digits: hexadecimal digits of a label. unique: originals of the corpus whose labels are equal get _1, _2 and so
+    on behind them, the same in every file; this reads the scanned corpus again, from the shared folder.
     """
     keep = allow or []
     rows = corpus.select("path", R.redacted(F.col("content"), salt, redaction).alias("r")).select("path", "r.secrets", A.masked(F.col("r.text")).alias("masked"))
@@ -45,8 +49,13 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
             known = known.when(F.col("language").isin(*names), x.isin(*A.skip_words(kind), *keep))
         return known.otherwise(x.isin(*A.skip_words("unknown"), *keep)) | x.startswith(MASK)
 
-    rows = rows.withColumn("f", A.folded(F.col("code"), stays, salt))
-    found = let(F.col("f.entries"), lambda e: A.mapped(e, salt))
+    plain = lambda kind, x: A.label(kind, x, salt, digits)
+    named = plain
+    if unique:
+        rows = _with_suffixes(rows, stays, salt, digits)
+        named = lambda kind, x: F.concat(plain(kind, x), F.coalesce(F.try_element_at("suffixes", F.concat(F.lit(f"{kind}:"), x)), F.lit("")))
+    rows = rows.withColumn("f", A.folded(F.col("code"), stays, salt, named))
+    found = let(F.col("f.entries"), lambda e: A.mapped(e, salt, named))
     failed, lenient = F.col("failed").isNotNull(), mode == "lenient"
     weak, rest = F.lit(None).cast("string"), F.array().cast(MAPPING)
     if lenient:
@@ -71,6 +80,24 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
     return out.select("path", "language", F.when(F.col("error").isNull(), F.col("safe")).alias("safe"), "secrets", "mapping", "error")
 
 
+def _with_suffixes(rows: DataFrame, stays: Callable[[Column], Column], salt: str, digits: int) -> DataFrame:
+    """rows with suffixes: of what a file holds, that which shares its label with something else of the corpus.
+
+    Comments hold labels, so theirs follow once the others are settled.
+    """
+    rounds = Rounds(rows.sparkSession, "protect")
+    rows = rounds.kept(rows.withColumn("suffixes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    named = lambda kind, x: F.concat(A.label(kind, x, salt, digits), F.coalesce(F.try_element_at("suffixes", F.concat(F.lit(f"{kind}:"), x)), F.lit("")))
+    for kinds in (("STRING", "NUMBER", "IDENT"), ("COMMENT",)):
+        entries = rounds.kept(rows.select("path", F.explode(F.array_distinct(A.folded(F.col("code"), stays, salt, named)["entries"])).alias("e")).select("path", "e.*").where(F.col("kind").isin(*kinds)))
+        shared = rounds.kept(A.shared_labels(entries, salt, digits, kinds))
+        if not shared.isEmpty():
+            more = A.suffixes_of(entries, shared, "path").withColumnRenamed("suffixes", "more")
+            rows = rounds.kept(rows.join(more, "path", "left").withColumn("suffixes", F.when(F.col("more").isNull(), F.col("suffixes")).otherwise(F.map_concat("suffixes", "more"))).drop("more"), rows)
+        rounds.dropped(entries, shared)
+    return rows
+
+
 def _verified(rows: DataFrame, keep: list[str]) -> DataFrame:
     """error where an identifier of unparsed code wasn't mapped, or a mapped one stands in the safe text."""
     skip = [*A.skip_words("unknown"), *keep]

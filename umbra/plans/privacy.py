@@ -307,6 +307,22 @@ def protect_released(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe.select("path", "safe", F.size("mapping").alias("mapped"), F.size("secrets").alias("secrets"), F.col("error").isNull().alias("released"))
 
 
+def protect_short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With labels of two digits, which many originals share, every file still comes back as it was."""
+    corpus = _corpus(spark, sf_dir)
+    safe = S.protect(corpus, salt=SALT, digits=2, unique=True)
+    again = S.reopened(F.col("safe"), F.col("mapping"), F.col("secrets"))
+    labels = F.transform("mapping", lambda m: m["placeholder"])
+    return corpus.join(safe, "path").select("path", (again == F.col("content")).alias("same"), (F.size(F.array_distinct(labels)) == F.size(labels)).alias("apart")).fillna(False)
+
+
+def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suffixes of a corpus' strings, numbers and names with labels of three digits."""
+    stays = A.staying(A.skip_words("javascript"))
+    entries = code(spark, sf_dir).select(F.explode(A.folded(F.col("code"), stays, SALT)["entries"]).alias("e")).select("e.*")
+    return A.shared_labels(entries, SALT, 3, ("STRING", "NUMBER", "IDENT"))
+
+
 def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("import os\n\ndef wage"), "c_custkey", F.lit("(hours):\n    token = 'ghp_"), F.lpad(F.col("c_custkey").cast("string"), 36, "q"), F.lit("'\n    return hours * 3"), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
@@ -326,6 +342,8 @@ def protect_python(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "protect_roundtrip": protect_roundtrip,
     "protect_released": protect_released,
+    "protect_short_labels": protect_short_labels,
+    "label_dictionary": label_dictionary,
     "protect_python": protect_python,
     "secure_read": secure_read,
     "redact_match_inventory": inventory("documents"),
@@ -372,6 +390,10 @@ SQL = {
     "protect_roundtrip": "SELECT 'src/f' || c_custkey || '.js' AS path, '' AS error, true AS hidden, true AS same FROM customer",
     "protect_released": f"""WITH {ABSTRACTED} SELECT 'src/f' || p3.id || '.js' AS path, safe, CAST(len(list_distinct(regexp_extract_all(p3.code, {_sql_text(A.STRING_SQL)}, 1))) + len(list_distinct(regexp_extract_all(p3.s, {_sql_text(A.NUMBER)}, 1))) + len(list_distinct(regexp_extract_all(p3.n, {_sql_text(A.COMMENT)}, 1)))
   + len(list_filter(list_distinct(regexp_extract_all(p3.c, {IDENT}, 0)), lambda x: NOT starts_with(x, '<<') AND NOT list_contains({SKIP_SQL}, x))) AS INTEGER) AS mapped, 0 AS secrets, true AS released FROM p3 JOIN p4 USING (id)""",
+    "protect_short_labels": "SELECT 'src/f' || c_custkey || '.js' AS path, true AS same, true AS apart FROM customer",
+    "label_dictionary": f"""WITH {ABSTRACTED}, x AS (SELECT DISTINCT kind, original FROM (SELECT 'STRING' AS kind, unnest(regexp_extract_all(code, {_sql_text(A.STRING_SQL)}, 1)) AS original FROM p3 UNION ALL SELECT 'NUMBER', unnest(regexp_extract_all(s, {_sql_text(A.NUMBER)}, 1)) FROM p3
+  UNION ALL SELECT 'IDENT', unnest(list_filter(list_distinct(regexp_extract_all(c, {IDENT}, 0)), lambda x: NOT starts_with(x, '<<') AND NOT list_contains({SKIP_SQL}, x))) FROM p3)),
+n AS (SELECT kind, original, row_number() OVER (PARTITION BY kind, substr(sha256('{SALT}' || original), 1, 3) ORDER BY original) - 1 AS n FROM x) SELECT kind, original, '_' || n AS suffix FROM n WHERE n > 0""",
     "protect_python": "SELECT 'f' || c_custkey || '.py' AS path, c_custkey % 10 = 0 AS blocked, false AS leaks, c_custkey % 10 <> 0 AS kept_structure FROM customer",
     "redact_match_inventory": sql("documents", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
     "redact_match_inventory_pages": sql("pages", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
