@@ -1,10 +1,11 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from samples import ODD
+from samples import ODD, stories
 
 from umbra.llm import language_model as L
 
@@ -97,3 +98,19 @@ def test_odd_rows(odd, none, made):
 def test_discounts():
     assert L.discounts(0, 0, 0, 0) == (0.5, 0.75, 0.9)
     assert all(0 <= d < k for d, k in zip(L.discounts(100, 30, 10, 4), (1, 2, 3), strict=True))
+
+
+def test_a_shard_that_is_lost_is_an_error(made):
+    docs = made(list(enumerate(stories(40))))
+    model = L.train(docs)
+    for kind in ("pair", "word"):
+        name = sorted(f for f in os.listdir(model.folder) if f.startswith(kind) and f.endswith("-key.npy"))[0]
+        whole = np.load(f"{model.folder}/{name}")
+        for broken in (None, whole[:-1]):
+            os.remove(f"{model.folder}/{name}")
+            if broken is not None:
+                np.save(f"{model.folder}/{name}", broken)
+            with pytest.raises(Exception, match="shared folder"):
+                L.scored(docs, model).collect()
+            np.save(f"{model.folder}/{name}", whole)
+    assert L.scored(docs, model).count() == 40

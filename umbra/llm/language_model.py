@@ -46,6 +46,7 @@ class Model(NamedTuple):
     unknown: float
     tokens: int
     types: int
+    lengths: dict[tuple[str, int], int]  # entries of each shard that was written, by kind and number
 
 
 def word_hash(w: bytes) -> int:
@@ -150,7 +151,7 @@ def _save(path: str, array: np.ndarray) -> None:
 
 
 def _merge(folder: str):
-    """Writes a shard's pairs and returns what they say of their words: kind, key, n1, n2, n3, total."""
+    """Writes a shard's pairs and returns what they say of their words: kind, key, n1, n2, n3, total; kind 3: how many a shard has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -168,6 +169,7 @@ def _merge(folder: str):
             key, u, w = key[starts], u[starts], w[starts]
             _save(f"{folder}/pair-{at:06d}-key.npy", key)
             _save(f"{folder}/pair-{at:06d}-count.npy", c.astype(np.min_scalar_type(int(c.max(initial=0)))))
+            yield pd.DataFrame({"kind": [3], "key": [at], "n1": [0], "n2": [0], "n3": [0], "total": [len(key)]})
             of_counts = np.bincount(np.minimum(c, 5), minlength=6)
             yield pd.DataFrame({"kind": [0], "key": [0], "n1": [of_counts[1]], "n2": [of_counts[2]], "n3": [of_counts[3]], "total": [of_counts[4]]})
             words_, where = np.unique(u, return_inverse=True)
@@ -204,24 +206,24 @@ def _word_arrays(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
 
-        def done() -> None:
+        def done() -> pd.DataFrame:
             rows = pd.concat(held)
             held.clear()
             key = rows["key"].to_numpy().view(np.uint64)
             order = np.argsort(key)
             _save(f"{folder}/word-{at:06d}-key.npy", key[order])
             _save(f"{folder}/word-{at:06d}-values.npy", rows[["c", "total", "mass", "p1"]].to_numpy(np.float64)[order])
+            return pd.DataFrame({"shard": [at], "n": [len(key)]})
 
         for b in batches:
             for shard, rows in b.groupby("shard", sort=True):
                 if shard != at:
                     if held:
-                        done()
+                        yield done()
                     at = shard
                 held.append(rows)
         if held:
-            done()
-        yield pd.DataFrame({"done": [True]})
+            yield done()
 
     return run
 
@@ -254,8 +256,9 @@ def train(docs: DataFrame) -> Model:
     word_shards = max(LEAST_SHARDS, types // TOKENS_PER_SHARD)
     every = counts.join(right, "w", "full").join(left, "w", "full").select(F.col("w").alias("key"), F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.coalesce("total", F.lit(0)).cast("double").alias("total"), F.coalesce("mass", F.lit(1.0)).alias("mass"), F.coalesce("p1", F.lit(unknown)).alias("p1"))
     every = every.withColumn("shard", F.pmod("key", F.lit(word_shards)))
-    every.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_word_arrays(folder)), "done boolean").count()
-    return Model(folder, pair_shards, word_shards, hot, d, unknown, int(n), int(types))
+    words = every.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_word_arrays(folder)), "shard long, n long").collect()  # a row for each shard
+    pairs = stats.where("kind = 3").select(F.col("key").alias("shard"), F.col("total").alias("n")).collect()
+    return Model(folder, pair_shards, word_shards, hot, d, unknown, int(n), int(types), {("pair", r.shard): r.n for r in pairs} | {("word", r.shard): r.n for r in words})
 
 
 class Reader:
@@ -279,13 +282,16 @@ class Reader:
         at = shard[order]
         edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else []
         for i, j in zip(edges[:-1], edges[1:], strict=True):
-            stem = f"{kind}-{int(at[i]):06d}"
-            if (keys := self.array(f"{stem}-key")) is None or not len(keys):
+            stem, n = f"{kind}-{int(at[i]):06d}", self.model.lengths.get((kind, int(at[i])), 0)
+            if not n:
                 continue
+            keys, found = self.array(f"{stem}-key"), self.array(f"{stem}-{values}")
+            if keys is None or found is None or not len(keys) == len(found) == n:
+                raise FileNotFoundError(f"{self.model.folder}: {stem} of the model isn't there as it was written; driver and executors need one shared folder")
             asked = key[order[i:j]]
-            found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            hit = keys[found] == asked
-            out[order[i:j][hit]] = self.array(f"{stem}-{values}")[found[hit]]
+            places = np.minimum(np.searchsorted(keys, asked), n - 1)
+            hit = keys[places] == asked
+            out[order[i:j][hit]] = found[places[hit]]
         return out
 
     def words(self, h: np.ndarray) -> np.ndarray:
