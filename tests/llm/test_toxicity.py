@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from samples import ODD
+from samples import ODD, stories
 from pyspark.sql import functions as F
 
 from umbra.llm import toxicity as X
@@ -131,3 +131,12 @@ def test_parts_are_judged_by_others(spark):
     sample = spark.createDataFrame([(f"bad word{'xyz'[p]} " + " ".join(f"n{i}" for i in range(5)), 1, p) for p in range(3) for _ in range(8)] + [("fine words here", 0, p) for p in range(3) for _ in range(400)], "text string, toxic int, part int")
     made = X.lexicons(sample)
     assert all(f"=word{'xyz'[p]}" not in made[p] and f"=word{'xyz'[p]}" in made[3] and "=bad" in made[p] for p in range(3))
+
+
+def test_the_bound_holds_for_rows_of_one_id(spark, made):
+    """An id with many texts brings no more rows than the bound, and which ones doesn't depend on their order."""
+    rows = [(1, t) for t in stories(300, words=15, seed=1)] + [(2, t) for t in stories(200, words=15, seed=2)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    once = X.labelled(made(rows), labels, positives=40, negatives=60).collect()
+    again = X.labelled(made(rows[::-1]).repartition(3), labels, positives=40, negatives=60).collect()
+    assert sorted(once) == sorted(again) and [sum(r.toxic == k for r in once) for k in (1, 0)] == [40, 60]

@@ -257,7 +257,11 @@ def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, neg
     words = F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"\s+")
     copy = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 4)), lambda i: F.xxhash64(F.slice("words", i, 5))))
     first = joined.withColumn("words", words).withColumn("copy", copy).drop("words").groupBy("copy", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    return first.select("label", "r.doc_id", "r.text").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
+    first = first.select("label", "r.doc_id", F.coalesce("r.text", F.lit("")).alias("text"))
+    # an id may have many rows: the bound holds for rows too
+    within = (F.xxhash64("doc_id", "text"), "doc_id", "text")
+    kept = first.where("label = 1").orderBy(*within).limit(positives).unionByName(first.where("label = 0").orderBy(*within).limit(negatives))
+    return kept.select("text", F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
 
 
 def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifier | None:
