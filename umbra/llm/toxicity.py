@@ -261,7 +261,7 @@ def labelled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, neg
     # an id may have many rows: the bound holds for rows too
     within = (F.xxhash64("doc_id", "text"), "doc_id", "text")
     kept = first.where("label = 1").orderBy(*within).limit(positives).unionByName(first.where("label = 0").orderBy(*within).limit(negatives))
-    return kept.select("text", F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part"))
+    return kept.select("text", F.col("label").alias("toxic"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3600)).cast("int").alias("part")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
 
 
 def train(sample: DataFrame, rate: float = 1.0, parts: int = PARTS) -> Classifier | None:
