@@ -161,3 +161,35 @@ def test_streams_to_sinks(spark, tmp_path):
 def test_internal(spark):
     r = spark.range(1).select(G.internal("mypy", F.lit("gone")).alias("f")).first().f
     assert r.id == "internal:mypy" and r.severity == "error" and r.file is None and r.line is None
+
+
+def test_validated_with_reports(spark):
+    """Reports of any tool join what the checks say; each finding once, the checks' own first."""
+    files = spark.createDataFrame([("a.js", "let x = 1"), ("b.py", "eval('1')"), ("c.py", "x = 1"), ("d.py", None)], "path string, content string")
+    eslint = '[{"filePath": "a.js", "messages": [{"ruleId": "semi", "severity": 2, "message": "m", "line": 1, "column": 2}, {"severity": 1, "message": "n"}]}]'
+    bandit = '{"results": [{"filename": "b.py", "line_number": 1, "issue_severity": "LOW", "test_id": "B1", "issue_text": "t"}]}'
+    reports = spark.createDataFrame([("a.js", "eslint", eslint), ("b.py", "bandit", bandit), ("b.py", "flake8", "b.py:1:1: E501 long\nb.py:1:1: E501 long"), ("c.py", "bandit", "{"), ("c.py", None, None), ("gone.py", "flake8", "g.py:1:1: E1 x")], "path string, tool string, stdout string")
+    rows = {r.path: r for r in G.validated(files, reports).collect()}
+    assert {p: (r.errors, r.warnings, r.info, r.status, [f.id for f in r.findings]) for p, r in rows.items()} == {
+        "a.js": (1, 1, 0, "error", ["eslint:semi", "eslint:unknown"]),
+        "b.py": (2, 0, 1, "error", ["ast:insecure-eval", "bandit:B1", "flake8:E501"]),
+        "c.py": (0, 0, 0, "ok", []),
+        "d.py": (0, 0, 0, "ok", []),
+    }
+
+
+def test_spread(spark, tmp_path):
+    """A row group is one task's, however many splits its file has; many files stay as they are."""
+    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many"))
+    cores = spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+        one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+        assert one.rdd.getNumPartitions() > cores
+        rows = S.spread(one).rdd.glom().map(len).collect()
+        assert len(rows) == cores and min(rows) > 0
+        assert "Exchange" not in S.spread(many)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

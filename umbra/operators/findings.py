@@ -90,9 +90,9 @@ def parsed_bandit(reports: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def parsed_eslint(reports: DataFrame, text: str, *keys: str) -> DataFrame:
-    files = reports.select(*keys, F.posexplode(F.from_json(F.col(text), ESLINT)).alias("f", "file"))
-    rows = files.select(*keys, "f", F.coalesce("file.filePath", "file.file").alias("path"), F.posexplode("file.messages").alias("m", "r"))
-    return rows.select(*keys, (F.col("f") * 100_000 + F.col("m")).cast("long").alias("ordinal"), F.concat(F.lit("eslint:"), F.coalesce(F.nullif("r.ruleId", F.lit("")), F.lit("unknown"))).alias("id"), F.lit("eslint").alias("tool"), F.when(F.col("r.severity") == 2, "error").otherwise("warning").alias("severity"), F.col("r.message").alias("message"), F.col("path").alias("file"), safe_int(F.col("r.line")).alias("line"), safe_int(F.col("r.column")).alias("column"), F.lit(None).cast("string").alias("suggestion"))
+    files = reports.select(*keys, F.posexplode(F.from_json(F.col(text), ESLINT)).alias("_f", "_file"))
+    rows = files.select(*keys, "_f", F.coalesce("_file.filePath", "_file.file").alias("_path"), F.posexplode("_file.messages").alias("_m", "r"))
+    return rows.select(*keys, (F.col("_f") * 100_000 + F.col("_m")).cast("long").alias("ordinal"), F.concat(F.lit("eslint:"), F.coalesce(F.nullif("r.ruleId", F.lit("")), F.lit("unknown"))).alias("id"), F.lit("eslint").alias("tool"), F.when(F.col("r.severity") == 2, "error").otherwise("warning").alias("severity"), F.col("r.message").alias("message"), F.col("_path").alias("file"), safe_int(F.col("r.line")).alias("line"), safe_int(F.col("r.column")).alias("column"), F.lit(None).cast("string").alias("suggestion"))
 
 
 def parsed_all(reports: DataFrame, *keys: str, tool: str = "tool", text: str = "stdout") -> DataFrame:

@@ -20,8 +20,23 @@ MASK = "__MASK_"
 REGISTRY: dict[str, str] = {"javascript": "javascript", "typescript": "javascript", "java": "javascript", "python": "python"}
 MAPPING = "array<struct<kind:string,original:string,placeholder:string>>"
 
+#: From code, whose secrets are masked, and its path to a struct<safe: string, mapping: MAPPING, error: string>.
+Pass = Callable[[Column, Column], Column]
+#: Language -> a pass of its own in place of the ones that are here. Others can be added; protect() takes more for one call.
+PASSES: dict[str, Pass] = {}
+FAILED = "the pass of the language gave no text"
 
-def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEFAULT_SALT, mode: str = "strict", redaction: str = "reference", digits: int = A.DIGITS, unique: bool = False) -> DataFrame:
+
+def _own(passes: dict[str, Pass], language: Column, code: Column, path: Column) -> Column:
+    """What the pass of each row's language gives; null where a language has none."""
+    out = F
+    for name, of in passes.items():
+        given = let(of(code, path), lambda r: F.struct(r["safe"].alias("safe"), F.coalesce(r["mapping"], F.array()).cast(MAPPING).alias("mapping"), F.coalesce(r["error"], F.when(r["safe"].isNull(), FAILED)).alias("error")))
+        out = out.when(language == name, given)
+    return out.otherwise(F.lit(None))
+
+
+def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEFAULT_SALT, mode: str = "strict", redaction: str = "reference", digits: int = A.DIGITS, unique: bool = False, passes: dict[str, Pass] | None = None) -> DataFrame:
     """path, language, safe, secrets, mapping, error of a corpus (path, content); safe is null where error isn't.
 
     The corpus is read and redacted once. Code in a language without a parser is abstracted by native expressions, Python
@@ -29,16 +44,31 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
     "lenient" abstracts strings, numbers and comments of Python that can't be parsed instead of blocking it, and verifies
     nothing. digits: hexadecimal digits of a label. unique: originals of the corpus whose labels are equal get _1, _2 and so
     on behind them, the same in every file; this reads the scanned corpus again, from the shared folder.
+
+    passes: more passes of languages (see PASSES), also of those that only the wider detection knows. Their labels have the
+    form of label(), and unique leaves them. What they map must be gone from the text, as with the others; what they leave
+    is theirs to say. Python that its own pass fails on is blocked; code of another language is then that of an unknown one.
     """
     keep = allow or []
+    passes = PASSES | (passes or {})
     rows = corpus.select("path", R.redacted(F.col("content"), salt, redaction).alias("r")).select("path", "r.secrets", A.masked(F.col("r.text")).alias("masked"))
     rows = rows.withColumn("language", A.language4(F.col("masked"), F.col("path")))
-    python = F.col("language") == "python"
+    python, own, reads = F.col("language") == "python", F.lit(False), F.col("language")
+    if passes:
+        wide = A.language8(F.col("masked"), F.col("path"))
+        rows = rows.withColumn("language", F.when(wide.isin(*passes) & ~F.col("language").isin(*passes), wide).otherwise(F.col("language")))
+        rows = rows.withColumn("own", _own(passes, F.col("language"), F.col("masked"), F.col("path")))
+        own = F.col("own").isNotNull() & F.col("own.error").isNull()
+        reads = F.when(F.col("own.error").isNotNull(), "unknown").otherwise(F.col("language"))
+        python = python & F.lit("python" not in passes)
     # the function sees code of other languages as null and leaves it
     rows = rows.withColumn("p", A.python_abstractor(salt, tuple(keep), "paranoid").asNondeterministic()(F.when(python, F.col("masked"))))
-    code = F.when(python, F.col("p.abstracted")).otherwise(F.col("masked"))
+    code = F.when(python, F.col("p.abstracted")).when(own, "").otherwise(F.col("masked"))
     tree = F.when(python, F.transform(F.map_entries("p.mapping"), lambda e: F.struct(F.lit("AST").alias("kind"), e["key"].alias("original"), e["value"].alias("placeholder"))))
-    rows = rows.withColumns({"code": code, "failed": F.when(python, F.col("p.error")), "tree": F.coalesce(tree, F.array().cast(MAPPING))})
+    failure = F.when(python, F.col("p.error"))
+    if "python" in passes:
+        failure = F.when(F.col("language") == "python", F.col("own.error"))
+    rows = rows.withColumns({"code": code, "failed": failure, "tree": F.coalesce(tree, F.array().cast(MAPPING))})
 
     # the skip list of a language is chosen word by word, so that there is one scan for all of them
     kinds = {kind: [n for n, k in REGISTRY.items() if k == kind] for kind in sorted({*REGISTRY.values()})}
@@ -46,7 +76,7 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
     def stays(x: Column) -> Column:
         known = F
         for kind, names in kinds.items():
-            known = known.when(F.col("language").isin(*names), x.isin(*A.skip_words(kind), *keep))
+            known = known.when(reads.isin(*names), x.isin(*A.skip_words(kind), *keep))
         return known.otherwise(x.isin(*A.skip_words("unknown"), *keep)) | x.startswith(MASK)
 
     plain = lambda kind, x: A.label(kind, x, salt, digits)
@@ -63,9 +93,9 @@ def protect(corpus: DataFrame, allow: list[str] | None = None, salt: str = R.DEF
         rest = F.filter(A.mapping(F.col("masked"), "python", keep, salt, MASK), lambda m: m["kind"] != "IDENT")
     out = rows.select(
         "path", "secrets", "masked", "language",
-        F.when(failed, weak).otherwise(F.col("f.safe")).alias("safe"),
-        F.when(failed, rest).otherwise(F.concat("tree", found)).alias("mapping"),
-        (F.lit(None).cast("string") if lenient else F.col("failed")).alias("error"),
+        F.when(own, F.col("own.safe") if passes else None).when(failed, weak).otherwise(F.col("f.safe")).alias("safe"),
+        F.when(own, F.col("own.mapping") if passes else None).when(failed, rest).otherwise(F.concat("tree", found)).alias("mapping"),
+        (F.lit(None).cast("string") if lenient else F.col("failed")).alias("error"), own.alias("own"),
     )
     if mode != "lenient":
         out = _verified(out, keep)
@@ -99,13 +129,13 @@ def _with_suffixes(rows: DataFrame, stays: Callable[[Column], Column], salt: str
 
 
 def _verified(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """error where an identifier of unparsed code wasn't mapped, or a mapped one stands in the safe text."""
+    """error where an identifier of unparsed code wasn't mapped (own: a pass that says itself what it leaves), or a mapped one stands in the safe text."""
     skip = [*A.skip_words("unknown"), *keep]
     names = F.transform("mapping", lambda m: m["original"])
     found = F.filter(A.harvested(F.col("masked"), skip), lambda x: ~x.startswith(MASK))
     unmapped = F.size(F.array_except(found, names))
     plain = F.filter(names, lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~x.isin(*skip))
-    error = F.when((F.col("language") != "python") & (unmapped > 0), F.concat(unmapped.cast("string"), F.lit(" identifier(s) unabstracted"))).when(F.arrays_overlap(plain, A.visible(F.col("safe"))), "an identifier is visible")
+    error = F.when((F.col("language") != "python") & ~F.col("own") & (unmapped > 0), F.concat(unmapped.cast("string"), F.lit(" identifier(s) unabstracted"))).when(F.arrays_overlap(plain, A.visible(F.col("safe"))), "an identifier is visible")
     return rows.withColumn("error", F.coalesce("error", error))
 
 

@@ -133,6 +133,19 @@ def validated_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.validated(rows).select("path", "language", "errors", "warnings", "info", "status", F.size("findings").alias("findings"))
 
 
+def validated_with_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each part, by its syntax tree and by what a linter says of it; every fifth has no report, every seventh is no Python."""
+    name, code = F.concat(F.lit("src/q"), "p_partkey", F.lit(".py")), F.expr(VALIDATED)
+    parts = table(spark, sf_dir, "part")
+    reports = parts.where("p_partkey % 5 > 0").select(name.alias("path"), F.lit("flake8").alias("tool"), F.expr(REPORTS["flake8"]).alias("stdout"))
+    out = G.validated(parts.select(name.alias("path"), code.alias("content")), reports)
+    said = F.array_join(F.transform("findings", lambda f: F.concat(f["id"], F.lit("@"), F.coalesce(f["line"].cast("string"), F.lit("-")))), " ")
+    return out.select("path", "language", "errors", "warnings", "info", "status", said.alias("said"))
+
+
+VALIDATED = "concat('def size():', chr(10), CASE WHEN p_size % 2 = 0 THEN '    return eval(name)' ELSE '    return 1' END, CASE WHEN p_partkey % 7 = 0 THEN ' (' ELSE '' END)"
+
+
 def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of tools in one form, also those that gave nothing usable."""
     k = F.col("p_partkey")
@@ -215,6 +228,7 @@ QUERIES = {f"parse_{t.replace('-', '_').replace(' ', '_')}": report(t) for t in
     "autofix_diff": autofix_diff,
     "ast_checks": ast_checks,
     "validated_snippets": validated_snippets,
+    "validated_with_tools": validated_with_tools,
     "tool_results": tool_results,
     "error_findings": error_findings,
     "tool_truncated": tool_truncated,
@@ -265,6 +279,13 @@ SELECT p_partkey, CAST(ordinal AS BIGINT) AS ordinal, 'eslint:' || coalesce(r ->
  UNION ALL SELECT p_partkey, 1, 'ast:insecure-eval', 'error', 'Use of eval() is insecure.', 'p' || p_partkey || '.py', 6, -1, 'Avoid eval/exec; validate inputs and avoid dynamic execution.' FROM part WHERE p_partkey % 7 <> 0
  UNION ALL SELECT p_partkey, 0, 'ast:syntax', 'error', 'SyntaxError: ''('' was never closed', '<unknown>', 7, 1, 'Fix syntax error.' FROM part WHERE p_partkey % 7 = 0)""",
     "validated_snippets": f"SELECT id || '/' || path AS path, language, CAST(e AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS info, CASE WHEN e = 1 THEN 'error' ELSE 'ok' END AS status, e AS findings FROM (SELECT *, CASE WHEN language = 'python' AND id % 12 IN (1, 2, 3, 5, 6, 7, 10, 11) THEN 1 ELSE 0 END AS e FROM ({LANGUAGE8_SQL}))",
+    "validated_with_tools": """WITH f AS (
+ SELECT p_partkey AS k, 0 AS n, CASE WHEN p_partkey % 7 = 0 THEN 'ast:syntax' ELSE 'ast:insecure-eval' END AS id, 'error' AS severity, 2 AS line FROM part WHERE p_partkey % 7 = 0 OR p_size % 2 = 0
+ UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 3 = 0 THEN 'flake8:W291' ELSE 'flake8:E501' END, CASE WHEN p_partkey % 3 = 0 THEN 'warning' ELSE 'error' END, p_partkey FROM part WHERE p_partkey % 5 > 0
+ UNION ALL SELECT p_partkey, 2, 'flake8:F401', 'error', 1 FROM part WHERE p_partkey % 5 > 0),
+ g AS (SELECT k, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, string_agg(id || '@' || line, ' ' ORDER BY n) AS said FROM f GROUP BY k)
+ SELECT 'src/q' || p_partkey || '.py' AS path, 'python' AS language, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CAST(0 AS BIGINT) AS info,
+ CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'partial' ELSE 'ok' END AS status, coalesce(said, '') AS said FROM part LEFT JOIN g ON p_partkey = k""",
     "tool_results": "SELECT p_partkey, 'flake8' AS tool, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 THEN '' ELSE p_name END AS stdout, CASE WHEN p_partkey % 7 = 0 THEN 'Invalid sandbox result type for flake8' ELSE '' END AS stderr, CASE WHEN p_partkey % 7 = 0 THEN -1 WHEN p_partkey % 3 <> 0 THEN p_size WHEN p_partkey % 2 = 0 THEN 9 ELSE 0 END AS exit_code, CASE WHEN p_partkey % 7 = 0 THEN 'invalid-result-type' ELSE '-' END AS diagnostics FROM part",
     "error_findings": CAPPED.format(cap=1000) + " SELECT path, arg_min(message, ordinal) AS message FROM f WHERE severity = 'error' GROUP BY path",
     "findings_union": " UNION ALL ".join(f"SELECT * FROM ({_report_sql(t)}) WHERE p_partkey % 4 = {i}" for i, t in UNION.items()),

@@ -77,9 +77,10 @@ def job_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who may see a job: its user, or for one without a user its address."""
-    rows = jobs(spark, sf_dir).select("job_id", F.when(F.col("user_id").isNotNull(), F.when(F.col("user_id") == 3, 200).otherwise(403)).otherwise(F.when(F.col("ip_address") == "10.0.0.1", 200).otherwise(403)).alias("answer"))
-    return rows.groupBy("answer").agg(F.count("*").alias("n"))
+    """Who may see a job: its user, or for one without a user its address. Each job is asked for by its user or another, from nine addresses."""
+    rows = jobs(spark, sf_dir).selectExpr("job_id", "user_id", "ip_address", "user_id + CAST(job_id % 3 = 0 AS INT) AS asking_user", "concat('10.0.0.', job_id % 9) AS asking_ip")
+    theirs = F.when(F.col("user_id").isNotNull(), F.col("asking_user") == F.col("user_id")).otherwise(F.col("asking_ip") == F.col("ip_address"))
+    return rows.select("job_id", F.when(theirs, 200).otherwise(403).alias("answer"))
 
 
 def tamper_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +90,9 @@ def tamper_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a session, with a token, with one that nobody has, or with neither."""
+    """Requests of a session, with a token, with one that nobody has, or with neither; who owes nothing has a token."""
     e = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN user_id END AS session_user", "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('t', user_id) WHEN 2 THEN 'none' END AS action_token")
-    tokens = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.concat(F.lit("t"), "c_custkey").alias("token"), F.col("c_custkey").alias("user_id"))
+    tokens = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.concat(F.lit("t"), "c_custkey").alias("token"), F.col("c_custkey").alias("user_id"))
     return J.token_user(e, tokens).select("event_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
 
 
@@ -196,9 +197,9 @@ SQL = {
     "upgrade_tier": f"WITH {P}, c AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderpriority = '1-URGENT') SELECT id, coalesce(CASE WHEN c.id IS NOT NULL THEN 'enterprise' ELSE tier END, '-') AS tier FROM p FULL JOIN c USING (id)",
     "delete_keys": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "job_latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
-    "job_visible": f"WITH {JOBS} SELECT CASE WHEN user_id = 3 OR (user_id IS NULL AND ip_address = '10.0.0.1') THEN 200 ELSE 403 END AS answer, count(*) AS n FROM j GROUP BY 1",
+    "job_visible": "SELECT event_id AS job_id, CASE WHEN (event_id % 4 <> 0 AND event_id % 3 <> 0) OR (event_id % 4 = 0 AND event_id % 9 = user_id % 9) THEN 200 ELSE 403 END AS answer FROM events",
     "tamper_hash": "SELECT doc_id // 10 AS job, sha256(string_agg(coalesce(text, ''), '' ORDER BY 'f' || doc_id, text)) AS hash FROM documents GROUP BY 1",
-    "token_user": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 4 = 1 AND user_id < 100 AND user_id IN (SELECT c_custkey FROM customer) THEN user_id ELSE -1 END AS user_id FROM events",
+    "token_user": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 4 = 1 AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) THEN user_id ELSE -1 END AS user_id FROM events",
     "new_jobs": f"WITH {JOBS} SELECT job_id, coalesce(user_id, -1) AS user_id, coalesce(ip_address, '-') AS ip_address, 'pending' AS status, 'task' || (job_id % 3) AS task, 'auto' AS provider, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM j",
     "key_reference": "WITH r AS (SELECT event_id, user_id, event_id % 4 IN (1, 2) AND event_id % 5 > 0 AS wanted, 'k' || (event_id % 3) AS name FROM events) SELECT event_id, coalesce(c_name, '-') AS secret_id, CASE WHEN wanted AND c_name IS NULL THEN 'API key ' || chr(39) || name || chr(39) || ' not found.' ELSE '-' END AS error FROM r LEFT JOIN customer ON wanted AND c_custkey = user_id AND 'k' || (c_custkey % 3) = name",
     "listed_keys": "SELECT c_custkey AS user_id, 'k' || (c_custkey % 3) AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",

@@ -316,6 +316,25 @@ def protect_short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.join(safe, "path").select("path", (again == F.col("content")).alias("same"), (F.size(F.array_distinct(labels)) == F.size(labels)).alias("apart")).fillna(False)
 
 
+def _functions(code: Column, path: Column) -> Column:
+    """A pass of our own for Go: the name of a file's first function and its strings; a file without function isn't taken."""
+    name = F.regexp_extract(code, r"func (\w+)", 1)
+    shown = A.label("FUNC", name, SALT)
+    of = F.array(F.struct(F.lit("FUNC").alias("kind"), name.alias("original"), shown.alias("placeholder")))
+    strings = F.filter(A.mapping(code, "unknown", [], SALT), lambda m: m["kind"] == "STRING")
+    return F.struct(A.strings(F.replace(code, name, shown), SALT).alias("safe"), F.concat(of, strings).alias("mapping"), F.when(name == "", "no function").alias("error"))
+
+
+def protect_own_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Go by a pass of its own; files that it doesn't take, every tenth, are abstracted as code of an unknown language."""
+    body = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("var pay"), "c_custkey", F.lit(' = "'), "c_mktsegment", F.lit('"'))).otherwise(F.concat(F.lit("func pay"), "c_custkey", F.lit('() string { return "'), "c_mktsegment", F.lit('" }')))
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey", F.lit(".go")).alias("path"), F.concat(F.lit("package main\n\n"), body).alias("content"))
+    safe = S.protect(files, salt=SALT, passes={"go": _functions})
+    again = S.reopened(F.col("safe"), F.col("mapping"), F.col("secrets"))
+    text = F.when(F.contains("content", F.lit("func")), F.col("safe")).when(F.contains("safe", F.lit("pay")), "shown").otherwise("hidden")
+    return files.join(safe, "path").select("path", "language", text.alias("safe"), (again == F.col("content")).alias("same"))
+
+
 def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suffixes of a corpus' strings, numbers and names with labels of three digits."""
     stays = A.staying(A.skip_words("javascript"))
@@ -344,6 +363,7 @@ QUERIES = {
     "protect_released": protect_released,
     "protect_short_labels": protect_short_labels,
     "label_dictionary": label_dictionary,
+    "protect_own_pass": protect_own_pass,
     "protect_python": protect_python,
     "secure_read": secure_read,
     "redact_match_inventory": inventory("documents"),
@@ -394,6 +414,7 @@ SQL = {
     "label_dictionary": f"""WITH {ABSTRACTED}, x AS (SELECT DISTINCT kind, original FROM (SELECT 'STRING' AS kind, unnest(regexp_extract_all(code, {_sql_text(A.STRING_SQL)}, 1)) AS original FROM p3 UNION ALL SELECT 'NUMBER', unnest(regexp_extract_all(s, {_sql_text(A.NUMBER)}, 1)) FROM p3
   UNION ALL SELECT 'IDENT', unnest(list_filter(list_distinct(regexp_extract_all(c, {IDENT}, 0)), lambda x: NOT starts_with(x, '<<') AND NOT list_contains({SKIP_SQL}, x))) FROM p3)),
 n AS (SELECT kind, original, row_number() OVER (PARTITION BY kind, substr(sha256('{SALT}' || original), 1, 3) ORDER BY original) - 1 AS n FROM x) SELECT kind, original, '_' || n AS suffix FROM n WHERE n > 0""",
+    "protect_own_pass": f"""SELECT 'p' || c_custkey || '.go' AS path, 'go' AS language, CASE WHEN c_custkey % 10 = 0 THEN 'hidden' ELSE 'package main' || chr(10) || chr(10) || 'func <<FUNC_' || substr(sha256('{SALT}' || 'pay' || c_custkey), 1, 12) || '>>() string {{ return <<STRING_' || substr(sha256('{SALT}' || '"' || c_mktsegment || '"'), 1, 12) || '>> }}' END AS safe, true AS same FROM customer""",
     "protect_python": "SELECT 'f' || c_custkey || '.py' AS path, c_custkey % 10 = 0 AS blocked, false AS leaks, c_custkey % 10 <> 0 AS kept_structure FROM customer",
     "redact_match_inventory": sql("documents", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),
     "redact_match_inventory_pages": sql("pages", "SELECT id, category, count(*) AS n FROM secret WHERE hidden GROUP BY id, category"),

@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores (a table of one small file, say) dealt out; others as they are."""
+    """A scan whose rows may lie in fewer tasks than there are cores dealt out; others as they are.
+
+    A file's row group is read by one task, however many splits the file has, so few files count as well as few splits.
+    Files are listed only where there are few splits, each of which holds a bounded number of them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores or (splits < 32 * cores and len(df.inputFiles()) < cores) else df
 
 
 def glob_regex(pattern: str) -> str:
