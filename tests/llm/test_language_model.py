@@ -114,3 +114,16 @@ def test_a_shard_that_is_lost_is_an_error(made):
                 L.scored(docs, model).collect()
             np.save(f"{model.folder}/{name}", whole)
     assert L.scored(docs, model).count() == 40
+
+
+@pytest.mark.parametrize("most, shards", [(1 << 18, 36), (20, 20)])
+def test_frequent_contexts_are_spread(made, monkeypatch, most, shards):
+    """A context with more tokens than a shard's share has pairs in many shards; the number of shards is bounded."""
+    monkeypatch.setattr(L, "TOKENS_PER_SHARD", 200)
+    monkeypatch.setattr(L, "MOST_SHARDS", most)
+    texts = [" ".join(f"the {w}" for w in t.split()) for t in stories(60, words=60, vocabulary=500)]
+    docs, plain = made(list(enumerate(texts))), Plain(texts)
+    model = L.train(docs)
+    assert plain.n == 7260 and model.pair_shards == shards and set(model.hot) == {L.word_hash(b"the"), L.word_hash(L.START)}
+    assert max(n for (kind, _), n in model.lengths.items() if kind == "pair") < 3 * 1000 / shards * 2
+    assert all(abs(r.score - plain.score(texts[r.doc_id])) < 1e-6 * max(1, -r.score) for r in L.scored(docs, model).collect())

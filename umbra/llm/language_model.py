@@ -1,9 +1,9 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and read from memory-mapped sorted hash arrays.
 
 Tokens are the words of a text, A-Z lower-cased, then one end. Words are known by their 64-bit hash. Three passes:
-word counts; word pairs, merged by shards of the context's hash (pairs of words with over 1/1000 of all tokens, 1000 at
-most, are spread by both hashes, so no shard holds a frequent context); and the contexts and continuations that the
-merged pairs give. The model is a folder of .npy arrays sorted by hash: pair shards (key, count) and word shards (key,
+word counts; word pairs, merged by shards of the context's hash (a context with more tokens than a shard is meant to hold
+is spread by both hashes: there are at most as many as shards); and the contexts and continuations that the merged pairs
+give. Shards hold half a million tokens each, more where there would be over MOST_SHARDS of them. The model is a folder of .npy arrays sorted by hash: pair shards (key, count) and word shards (key,
 count, context total, back-off mass, continuation probability). Scoring maps them into memory and looks up the distinct
 pairs of each block of texts. All counts cover all training texts, and grow with them.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fold, mounted, new_folder, stored, table, tidy, words
 
 START, END = b" <s>", b" </s>"  # the space keeps them apart from any word
-BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, HOT_SHARE, OPEN, BLOB_BYTES = 1 << 21, 1 << 19, 16, 1000, 4096, 4 << 20
+BLOCK_TOKENS, TOKENS_PER_SHARD, LEAST_SHARDS, MOST_SHARDS, OPEN, BLOB_BYTES = 1 << 21, 1 << 19, 16, 1 << 18, 4096, 4 << 20
 
 
 class Model(NamedTuple):
@@ -236,10 +236,11 @@ def train(docs: DataFrame) -> Model:
     os.makedirs(folder)
     counts = stored(_texts(docs).mapInPandas(tidy(_word_counts), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
     n, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = tuple(sorted(r.w & (1 << 64) - 1 for r in counts.where(F.col("c") * HOT_SHARE > n).collect()))  # HOT_SHARE of them at most
+    share = max(TOKENS_PER_SHARD, n // MOST_SHARDS)
+    hot = tuple(sorted(r.w & (1 << 64) - 1 for r in counts.where(F.col("c") > share).collect()))  # fewer than n / share, which MOST_SHARDS bounds
     # every text begins with START: its context is as frequent as the end, and may be too
     hot = tuple(sorted({*hot, word_hash(START)}))
-    pair_shards = max(LEAST_SHARDS, n // TOKENS_PER_SHARD)
+    pair_shards = max(LEAST_SHARDS, n // share)
     blobs = _texts(docs).mapInPandas(tidy(_pair_blobs(np.array(hot, dtype=np.uint64), pair_shards)), "shard long, data binary")
     stats = blobs.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_merge(folder)), "kind int, key long, n1 long, n2 long, n3 long, total long")
     stats = stored(stats.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total")]), "stats", few=True)
@@ -253,7 +254,7 @@ def train(docs: DataFrame) -> Model:
     cut = F.when(k == 1, e[0]).when(k == 2, e[1]).otherwise(e[2])
     right = stats.where("kind = 2").select(F.col("key").alias("w"), ((k - cut) / F.lit(float(total or 1)) + unknown).alias("p1"))
     left = stats.where("kind = 1").select(F.col("key").alias("w"), "total", ((F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]) / k).alias("mass"))
-    word_shards = max(LEAST_SHARDS, types // TOKENS_PER_SHARD)
+    word_shards = max(LEAST_SHARDS, types // share)
     every = counts.join(right, "w", "full").join(left, "w", "full").select(F.col("w").alias("key"), F.coalesce("c", F.lit(0)).cast("double").alias("c"), F.coalesce("total", F.lit(0)).cast("double").alias("total"), F.coalesce("mass", F.lit(1.0)).alias("mass"), F.coalesce("p1", F.lit(unknown)).alias("p1"))
     every = every.withColumn("shard", F.pmod("key", F.lit(word_shards)))
     words = every.repartition(parts, "shard").sortWithinPartitions("shard").mapInPandas(tidy(_word_arrays(folder)), "shard long, n long").collect()  # a row for each shard
