@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ast
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.functions.patterns import ASCII_EDGE, relabelled
+from umbra.functions.patterns import ASCII_EDGE, let, relabelled
+from umbra.operators.text import stripped
 
 CAP, RAW_LIMIT = 1000, 20_000
 
@@ -172,16 +172,117 @@ def fixed_python(code: Column) -> Column:
     return F.regexp_replace(timed, SPELT_INIT, "def __init__(")
 
 
-def _diffs(before: pd.Series, after: pd.Series) -> pd.Series:
-    def one(a: str, b: str) -> str:
-        return "" if (a or "").strip() == (b or "").strip() else "\n".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), "original", "suggested", lineterm=""))
+#: What ends a line, and how a diff names its two sides.
+ENDS, SIDES = r"\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029", ("--- original", "+++ suggested")
 
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=object)
 
+def lines(text: Column) -> Column:
+    """array<string>: the lines of a text with their ends."""
+    return F.regexp_extract_all(text, F.lit(f"[^{ENDS}]*+(?:\\r\\n|[{ENDS}])|[^{ENDS}]++"), F.lit(0))
 
-def diff(before: Column, after: Column) -> Column:
-    """A unified diff; empty for texts that differ at their ends only."""
-    return F.pandas_udf(_diffs, "string")(before, after)
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements two arrays begin with in common."""
+    unlike = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(unlike > 0, unlike - 1).otherwise(F.size(a))
+
+
+def _rising(pairs: Column) -> Column:
+    """The longest run of pairs (i, j), given by ascending i, in which j rises too."""
+
+    def step(at: Column, x: Column) -> Column:
+        k, held = F.size(at["back"]), F.size(F.filter(at["tails"], lambda t: t["j"] < x["j"]))
+        back = F.when(held > 0, F.get(at["tails"], held - 1)["k"]).otherwise(-1)
+        tails = F.concat(F.slice(at["tails"], 1, held), F.array(F.struct(k.alias("k"), x["j"].alias("j"))), F.slice(at["tails"], held + 2, F.size(at["tails"])))
+        return F.struct(tails.alias("tails"), F.concat(at["back"], F.array(back)).alias("back"))
+
+    begun = F.struct(F.array().cast("array<struct<k:int,j:int>>").alias("tails"), F.array().cast("array<int>").alias("back"))
+
+    def walked(at: Column) -> Column:
+        last = F.struct(F.get(at["tails"], F.size(at["tails"]) - 1)["k"].alias("k"), F.array().cast("array<int>").alias("chosen"))
+        back = F.aggregate(at["tails"], last, lambda w, _: F.struct(F.get(at["back"], w["k"]).alias("k"), F.concat(w["chosen"], F.array(w["k"])).alias("chosen")), lambda w: F.reverse(w["chosen"]))
+        return F.transform(back, lambda k: F.get(pairs, k))
+
+    return F.aggregate(pairs, begun, step, walked)
+
+
+CHANGE = "struct<i:int,n:int,j:int,m:int>"
+
+
+def changes(files: DataFrame, *keys: str, before: str = "before", after: str = "after") -> DataFrame:
+    """key: struct of keys, a, b, changes of each file's two texts.
+
+    a and b are the lines, changes an array<struct<i, n, j, m>> in order: after i lines of a, n of them give way to the m
+    lines that follow j lines of b; texts that differ by white space at their ends only have none. What both begin and end with is laid aside. Lines that the rest of
+    either side holds just once are its anchors: they are found by one aggregation over lines, and of those the longest run
+    that is in order on both sides stays. Between two anchors, what is equal next to them stays too. An empty or null text
+    has no lines. Rows with the same keys and texts have no anchors: their
+    changes are right but wider.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    of = ["key", "texts"]
+    same = (stripped(text(before)) == stripped(text(after))).alias("same")
+    rows = files.select(F.struct(*keys).alias("key"), F.xxhash64(text(before), text(after)).alias("texts"), same, lines(text(before)).alias("a"), lines(text(after)).alias("b"))
+    rows = rows.withColumn("head", _alike(F.col("a"), F.col("b")))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c))
+    rows = rows.withColumn("tail", _alike(F.reverse(rest("a")), F.reverse(rest("b"))))
+    places = lambda c: F.transform(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")), lambda x, i: F.struct(x.alias("line"), (i + F.col("head")).alias("at"), F.lit(c).alias("side")))
+    held = rows.where("NOT same").select(*of, F.explode(F.concat(places("a"), places("b"))).alias("x")).groupBy(*of, F.col("x.line").alias("line"))
+    mine = lambda side: F.count(F.when(F.col("x.side") == side, 1)) == 1
+    once = held.agg(mine("a").alias("in_a"), mine("b").alias("in_b"), F.count("*").alias("c"), F.min(F.when(F.col("x.side") == "a", F.col("x.at"))).alias("i"), F.min(F.when(F.col("x.side") == "b", F.col("x.at"))).alias("j"))
+    once = once.where("in_a AND in_b AND c = 2").groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))
+    # an anchor before and behind the rest, where its ends are
+    last = F.array(F.struct((F.size("a") - F.col("tail")).alias("i"), (F.size("b") - F.col("tail")).alias("j")))
+    rows = rows.join(once, of, "left").withColumn("stops", F.concat(F.when(F.col("pairs").isNotNull(), _rising(F.col("pairs"))).otherwise(F.array().cast("array<struct<i:int,j:int>>")), last))
+
+    def gap(stop: Column, at: Column) -> Column:
+        """What differs between the anchor before (or the head's end) and this one."""
+        i = F.when(at == 0, F.col("head")).otherwise(F.get("stops", at - 1)["i"] + 1)
+        j = F.when(at == 0, F.col("head")).otherwise(F.get("stops", at - 1)["j"] + 1)
+        return let(F.struct(i.alias("i"), j.alias("j"), F.slice("a", i + 1, stop["i"] - i).alias("x"), F.slice("b", j + 1, stop["j"] - j).alias("y")), shrunk)
+
+    def shrunk(g: Column) -> Column:
+        return let(_alike(g["x"], g["y"]), lambda p: let(_alike(F.reverse(F.slice(g["x"], p + 1, F.size(g["x"]))), F.reverse(F.slice(g["y"], p + 1, F.size(g["y"])))), lambda q: F.struct((g["i"] + p).alias("i"), (F.size(g["x"]) - p - q).alias("n"), (g["j"] + p).alias("j"), (F.size(g["y"]) - p - q).alias("m"))))
+
+    found = F.filter(F.transform("stops", gap), lambda c: (c["n"] > 0) | (c["m"] > 0))
+    return rows.select("key", "a", "b", F.when(F.col("same"), F.array().cast(f"array<{CHANGE}>")).otherwise(found).alias("changes"))
+
+
+def diffs(files: DataFrame, *keys: str, before: str = "before", after: str = "after", context: int = 3) -> DataFrame:
+    """keys, diff: a unified diff of each file's texts; empty for texts that differ by white space at their ends only.
+
+    Lines keep their ends and are joined by line feeds; changes at most 2 * context lines apart share a hunk. See changes().
+    """
+    rows = changes(files, *keys, before=before, after=after)
+
+    def grouped(hunks: Column, c: Column) -> Column:
+        last = F.element_at(hunks, -1)
+        end = let(F.element_at(last, -1), lambda x: x["i"] + x["n"])
+        near = (F.size(hunks) > 0) & (c["i"] - end <= 2 * context)
+        return F.when(near, F.concat(F.slice(hunks, 1, F.size(hunks) - 1), F.array(F.concat(last, F.array(c))))).otherwise(F.concat(hunks, F.array(F.array(c))))
+
+    def span(start: Column, n: Column) -> Column:
+        return F.concat((start + F.when(n == 0, 0).otherwise(1)).cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
+
+    def part(sign: str, of: str, start: Column, n: Column) -> Column:
+        return F.transform(F.slice(of, start + 1, F.greatest(n, F.lit(0))), lambda x: F.concat(F.lit(sign), x))
+
+    def hunk(h: Column) -> Column:
+        first, last = F.get(h, F.lit(0)), F.element_at(h, -1)
+        before_it = F.least(first["i"], F.lit(context))
+        behind = F.least(F.size("a") - last["i"] - last["n"], F.lit(context))
+        a, b = first["i"] - before_it, first["j"] - before_it
+        title = F.concat(F.lit("@@ -"), span(a, last["i"] + last["n"] + behind - a), F.lit(" +"), span(b, last["j"] + last["m"] + behind - b), F.lit(" @@"))
+
+        def shown(c: Column, at: Column) -> Column:
+            since = F.when(at == 0, a).otherwise(let(F.get(h, at - 1), lambda x: x["i"] + x["n"]))
+            return F.concat(part(" ", "a", since, c["i"] - since), part("-", "a", c["i"], c["n"]), part("+", "b", c["j"], c["m"]))
+
+        return F.concat(F.array(title), F.flatten(F.transform(h, shown)), part(" ", "a", last["i"] + last["n"], behind))
+
+    hunks = F.aggregate("changes", F.array().cast(f"array<array<{CHANGE}>>"), grouped)
+    text = F.array_join(F.concat(F.array(*map(F.lit, SIDES)), F.flatten(F.transform(hunks, hunk))), "\n")
+    return rows.select("key", F.when(F.size("changes") > 0, text).otherwise("").alias("diff")).select("key.*", "diff")
 
 
 #: What a finding of the syntax tree says: id, severity, message, suggestion.

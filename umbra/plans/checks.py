@@ -117,7 +117,7 @@ AUTOFIX = """concat('class A:', chr(10), '    def _init_(self):', chr(10), '
 
 def autofix_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr(AUTOFIX)
-    return table(spark, sf_dir, "part").select("p_partkey", G.diff(made, G.fixed_python(made)).alias("diff"))
+    return G.diffs(table(spark, sf_dir, "part").select("p_partkey", made.alias("before"), G.fixed_python(made).alias("after")), "p_partkey")
 
 
 def ast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
