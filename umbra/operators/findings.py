@@ -227,7 +227,8 @@ def changes(files: DataFrame, *keys: str, before: str = "before", after: str = "
     rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c))
     rows = rows.withColumn("tail", _alike(F.reverse(rest("a")), F.reverse(rest("b"))))
     places = lambda c: F.transform(F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail")), lambda x, i: F.struct(x.alias("line"), (i + F.col("head")).alias("at"), F.lit(c).alias("side")))
-    held = rows.where("NOT same").select(*of, F.explode(F.concat(places("a"), places("b"))).alias("x")).groupBy(*of, F.col("x.line").alias("line"))
+    # no filter: it would be pushed below a repartition, and the texts made there too
+    held = rows.select(*of, F.explode(F.when(~F.col("same"), F.concat(places("a"), places("b")))).alias("x")).groupBy(*of, F.col("x.line").alias("line"))
     mine = lambda side: F.count(F.when(F.col("x.side") == side, 1)) == 1
     once = held.agg(mine("a").alias("in_a"), mine("b").alias("in_b"), F.count("*").alias("c"), F.min(F.when(F.col("x.side") == "a", F.col("x.at"))).alias("i"), F.min(F.when(F.col("x.side") == "b", F.col("x.at"))).alias("j"))
     once = once.where("in_a AND in_b AND c = 2").groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))

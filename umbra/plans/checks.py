@@ -10,7 +10,7 @@ from umbra.operators.answers import first_errors
 from umbra.plans.privacy import LANGUAGE8_SQL, snippets
 from umbra.sources.files import Files
 from umbra.sources.folders import shared_folder
-from umbra.sources.readers import discovered, shown, table
+from umbra.sources.readers import discovered, shown, spread, table
 
 #: Report lines built from parts, of each tool; one expression for both engines.
 REPORTS = {
@@ -109,7 +109,7 @@ def discover_files_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def autofix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr(AUTOFIX)
-    return table(spark, sf_dir, "part").select("p_partkey", G.fixed_python(made).alias("fixed"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", G.fixed_python(made).alias("fixed"))
 
 
 AUTOFIX = """concat('class A:', chr(10), '    def _init_(self):', chr(10), '        try:', chr(10), '            r = requests.get("http://x/', CAST(p_partkey AS STRING), '"', CASE WHEN p_partkey % 2 = 0 THEN ', timeout=3' ELSE '' END, ')', chr(10), '        except:', chr(10), '            requests.post(u)')"""
@@ -117,7 +117,7 @@ AUTOFIX = """concat('class A:', chr(10), '    def _init_(self):', chr(10), '
 
 def autofix_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr(AUTOFIX)
-    return G.diffs(table(spark, sf_dir, "part").select("p_partkey", made.alias("before"), G.fixed_python(made).alias("after")), "p_partkey")
+    return G.diffs(spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", made.alias("before"), G.fixed_python(made).alias("after")), "p_partkey")
 
 
 def ast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
