@@ -92,15 +92,20 @@ def redact(corpus: DataFrame, text: str = "content", salt: str = DEFAULT_SALT, m
     return corpus.withColumn("_r", redacted(F.col(text), salt, mode)).withColumns({"redacted": F.col("_r.text"), "secrets": F.col("_r.secrets")}).drop("_r")
 
 
+def _each(corpus: DataFrame, *keys: str) -> DataFrame:
+    """keys and s, each secret. Of an inner explode Spark infers filters on the array: redaction made twice more, below any exchange."""
+    return corpus.select(*keys, F.explode_outer("secrets").alias("s")).where("s IS NOT NULL")
+
+
 def secret_map(corpus: DataFrame, *keys: str) -> DataFrame:
     """A row for each key and distinct placeholder: category, placeholder, original."""
-    rows = corpus.select(*keys, F.explode("secrets").alias("s"))
+    rows = _each(corpus, *keys)
     return rows.select(*keys, F.col("s.category").alias("category"), F.col("s.placeholder").alias("placeholder"), F.col("s.value").alias("original")).distinct()
 
 
 def events(corpus: DataFrame, *keys: str) -> DataFrame:
     """How many items of each category were hidden; never their values."""
-    rows = corpus.select(*keys, F.explode("secrets").alias("s"))
+    rows = _each(corpus, *keys)
     return rows.groupBy(*keys, F.col("s.category").alias("category")).agg(F.count("*").alias("n"))
 
 

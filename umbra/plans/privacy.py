@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.patterns import CATEGORIES, PATTERNS, fused, ungrouped
@@ -26,8 +26,13 @@ BUILT = """concat(
  ' w 123e4567-e89b-12d3-a456-', lpad(CAST(c_custkey AS STRING), 12, '0'), ' z "aB3dE5gH7jK9mN1pQ', lpad(CAST(c_custkey AS STRING), 6, 'y'), '" low "', lpad(CAST(c_custkey % 10 AS STRING), 24, 'a'), '" end')"""
 
 
+def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of customers, dealt out: the table is small, what is made of a row is dear."""
+    return spread(table(spark, sf_dir, "customer").select(*columns))
+
+
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(BUILT).alias("content"))
+    return customers(spark, sf_dir, "c_custkey").select(F.col("c_custkey").alias("id"), F.expr(BUILT).alias("content"))
 
 
 def _sql_text(s: str) -> str:
@@ -140,7 +145,7 @@ CODE_SQL = CODE.replace("\\\\", "\\")
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(CODE_SPARK).alias("code"))
+    return customers(spark, sf_dir, "c_custkey", "c_name").select(F.col("c_custkey").alias("id"), F.expr(CODE_SPARK).alias("code"))
 
 
 def _label_sql(text: str, pattern: str, category: str) -> str:
@@ -248,17 +253,22 @@ def leak_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "error", F.col("safe").isNull().alias("blocked"))
 
 
+def _names(rows: DataFrame, names: Column) -> DataFrame:
+    """id and each name; outer, as an inner explode makes the names again in a filter below the exchange."""
+    return rows.select("id", F.explode_outer(names).alias("name")).where("name IS NOT NULL")
+
+
 def leak_gate_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers of the code that no mapping has: an anti join of names."""
     rows = _gate(spark, sf_dir)
-    seen = rows.select("id", F.explode(A.harvested(F.col("code"), A.skip_words("javascript"))).alias("name"))
-    return seen.join(rows.select("id", F.explode("names").alias("name")), ["id", "name"], "left_anti")
+    seen = _names(rows, A.harvested(F.col("code"), A.skip_words("javascript")))
+    return seen.join(_names(rows, F.col("names")), ["id", "name"], "left_anti")
 
 
 def leak_gate_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapped names that still stand in the safe text: a semi join of names."""
     rows = _gate(spark, sf_dir)
-    return rows.select("id", F.explode("names").alias("name")).join(rows.select("id", F.explode(A.visible(F.col("safe"))).alias("name")), ["id", "name"], "left_semi")
+    return _names(rows, F.col("names")).join(_names(rows, A.visible(F.col("safe"))), ["id", "name"], "left_semi")
 
 
 def secret_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +285,7 @@ def mask_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def python_ast_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("def area"), F.col("c_custkey").cast("string"), F.lit('(width, height=2):\n    "doc"\n    label = "'), F.col("c_name"), F.lit('"\n    return width * height'), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
     out = A.python_abstractor(SALT, level="paranoid")(made)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), out.alias("r")).select("id", "r.abstracted", F.coalesce(F.size("r.mapping"), F.lit(-1)).alias("names"), "r.error")
+    return customers(spark, sf_dir, "c_custkey", "c_name").select(F.col("c_custkey").alias("id"), out.alias("r")).select("id", "r.abstracted", F.coalesce(F.size("r.mapping"), F.lit(-1)).alias("names"), "r.error")
 
 
 def privacy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +338,7 @@ def _functions(code: Column, path: Column) -> Column:
 def protect_own_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Go by a pass of its own; files that it doesn't take, every tenth, are abstracted as code of an unknown language."""
     body = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("var pay"), "c_custkey", F.lit(' = "'), "c_mktsegment", F.lit('"'))).otherwise(F.concat(F.lit("func pay"), "c_custkey", F.lit('() string { return "'), "c_mktsegment", F.lit('" }')))
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), "c_custkey", F.lit(".go")).alias("path"), F.concat(F.lit("package main\n\n"), body).alias("content"))
+    files = customers(spark, sf_dir, "c_custkey", "c_mktsegment").select(F.concat(F.lit("p"), "c_custkey", F.lit(".go")).alias("path"), F.concat(F.lit("package main\n\n"), body).alias("content"))
     safe = S.protect(files, salt=SALT, passes={"go": _functions})
     again = S.reopened(F.col("safe"), F.col("mapping"), F.col("secrets"))
     text = F.when(F.contains("content", F.lit("func")), F.col("safe")).when(F.contains("safe", F.lit("pay")), "shown").otherwise("hidden")
@@ -344,7 +354,7 @@ def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("import os\n\ndef wage"), "c_custkey", F.lit("(hours):\n    token = 'ghp_"), F.lpad(F.col("c_custkey").cast("string"), 36, "q"), F.lit("'\n    return hours * 3"), F.when(F.col("c_custkey") % 10 == 0, " (").otherwise(""))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
+    return customers(spark, sf_dir, "c_custkey").select(F.concat(F.lit("f"), "c_custkey", F.lit(".py")).alias("path"), made.alias("content"))
 
 
 def secure_read(spark: SparkSession, sf_dir: str) -> DataFrame:
