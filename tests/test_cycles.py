@@ -95,3 +95,19 @@ def test_a_dense_graph(spark):
     assert C.strong_components(edges).groupBy("component").count().collect()[0][1] == 500
     assert time.time() - began < 30
     assert [r.cycle for r in L.cycle_reports(edges).collect()] == [[0, 1, 0]]
+
+
+def test_rounds_send_nothing_through_the_driver(spark, monkeypatch):
+    """No join of the rounds is a broadcast, and the session's own setting stands again afterwards."""
+    monkeypatch.setattr(C, "GATHERED", 0)
+    seen, kept = set(), C.Rounds.kept
+
+    def watched(self, rows, *instead):
+        seen.add("BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString())
+        return kept(self, rows, *instead)
+
+    monkeypatch.setattr(C.Rounds, "kept", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.createDataFrame([(i, i + 1 if i % 6 < 5 else i - 5) for i in range(60)] + [(3, 70), (70, 1)], KIND)
+    assert L.cycle_reports(df).count() == 10 and seen == {False}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before

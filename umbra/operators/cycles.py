@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.sources.folders import Rounds
+from umbra.sources.folders import Rounds, without_broadcasts
 
 #: Colours are used once two contractions, along and against the edges, leave more of them than this share.
 LEFT = 0.75
@@ -29,6 +29,11 @@ GATHERED = 250_000
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node on a cycle; edges a, b. A null end is no edge; an edge from a node to itself is a cycle."""
+    with without_broadcasts(edges.sparkSession):
+        return _strong_components(edges)
+
+
+def _strong_components(edges: DataFrame) -> DataFrame:
     rounds = Rounds(edges.sparkSession, "components")
     edges = rounds.kept(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
     loops, rest = edges.where("a = b").select(F.col("a").alias("node")), edges.where("a != b")
@@ -216,6 +221,11 @@ def witnesses(edges: DataFrame) -> DataFrame:
     Every node of a component follows its least successor there; of the rings that this makes in a component, the one with
     the least node is its cycle.
     """
+    with without_broadcasts(edges.sparkSession):
+        return _witnesses(edges)
+
+
+def _witnesses(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     parts = strong_components(edges)
     rounds = Rounds(edges.sparkSession, "witnesses")

@@ -95,10 +95,10 @@ def cycle_reports(edges: DataFrame, most: int = 1000) -> DataFrame:
     has all of it, a row for each lock.
     """
     steps = witnesses(edges)
-    length = steps.groupBy("component").agg(F.count("*").alias("length"))
-    shown = steps.where(F.col("position") < most).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda x: x["node"]).alias("locks"))
+    first = F.collect_list(F.when(F.col("position") < most, F.struct("position", "node")))
+    shown = steps.groupBy("component").agg(F.count("*").alias("length"), F.transform(F.array_sort(first), lambda x: x["node"]).alias("locks"))
     whole = F.concat("locks", F.when(F.col("length") <= most, F.slice("locks", 1, 1)).otherwise(F.slice("locks", 1, 0)))
-    return shown.join(length, "component").select(F.col("component").alias("lock"), "length", whole.alias("cycle"))
+    return shown.select(F.col("component").alias("lock"), "length", whole.alias("cycle"))
 
 
 def double_acquires(acquires: DataFrame, *by: str) -> DataFrame:
