@@ -120,3 +120,16 @@ def test_a_log_over_runs_stops_and_replays(spark, tmp_path):
     R.append_audit(spark.createDataFrame([("four",)], "value string"), log, "job-1")
     assert log_of(spark, log) == ["four", "one", "three", "two", "two"]
     shutil.rmtree(state)
+
+
+def test_many_keys_are_few_groups(spark, tmp_path, monkeypatch):
+    """Keys share buckets, so calls to the state store don't grow with them; keys of several types, also null, come back as they were."""
+    monkeypatch.setattr(M, "BUCKETS", 2)
+    rows = [(i if i else None, f"\"{i % 3}\\", T0 / 1e6 + (i * 7 % 50) * 60 + k * 7200, 100 * i + k) for i in range(40) for k in range(3)] + [(-1, "x", T0 / 1e6 + 90_000, 9999)]
+    spark.createDataFrame(rows, "a long, b string, s double, n long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("a long, b string, s double, n long, ts timestamp").parquet(str(tmp_path / "in"))
+    out = M.cache_answers(stream, "a", "b", n="n", ttl="3 hours", late="10 minutes")
+    groups = [p for p in str(out._jdf.queryExecution().analyzed()).split("\n") if "bucket" in p]
+    assert groups
+    got = S.finished(out, "cache", "append")
+    assert sorted(((r.a, r.b, r.n, r.hit) for r in got.collect()), key=repr) == sorted(((a, b, n, n % 100 == 1) for a, b, _, n in rows[:-1]), key=repr)
